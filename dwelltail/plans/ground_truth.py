@@ -234,9 +234,9 @@ def bootstrap_state(spark, sf):
 
 
 @query(
-    f"""with {TAIL}, ix as (select *, row_number() over (order by id) - 1 as idx from tl),
- f as (select * from ix where idx < 1000),
- dd as (select i as draw, {hash_sql(3, '0', 'i')} % (select count(*) from f) as idx
+    f"""with {TAIL}, t as (select * from tl order by id limit 1000),
+ f as (select *, row_number() over (order by id) - 1 as idx from t),
+ dd as (select i as draw, {hash_sql(3, '0', 'i')} % 1000 as idx
  from (select unnest(range(0, 1000)) as i)) select draw, id, state, y from dd join f using (idx)"""
 )
 def bootstrap_first_n(spark, sf):
