@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dwelltail.functions.special import normal_cdf, normal_log_pdf, normal_pdf, normal_tail
+from dwelltail.functions.special import SQRT2, erfc, normal_cdf, normal_log_pdf, normal_pdf, normal_tail
 
 #: Halvings of a bisection; enough for full double precision of the interval.
 STEPS = 60
@@ -24,7 +24,7 @@ def _sum(terms: list[Column]) -> Column:
 
 
 def components(k: int) -> list[tuple[Column, Column, Column]]:
-    return [(F.col("w")[i], F.col("mu")[i], F.col("sigma")[i]) for i in range(k)]
+    return [(F.get("w", F.lit(i)), F.get("mu", F.lit(i)), F.get("sigma", F.lit(i))) for i in range(k)]
 
 
 def gmm_pdf(y: Column, k: int) -> Column:
@@ -80,6 +80,25 @@ def emm_tail(y: Column, k: int) -> Column:
     return F.when(y > F.col("u"), above).otherwise(gmm_tail(y, k))
 
 
+def with_tail(df: DataFrame, y: Column, k: int, out: str, pareto: bool = False) -> DataFrame:
+    """Adds the tail probability at ``y`` to record-sized rows.
+
+    The standardised distances become columns first: the long erfc expression then refers to
+    plain columns, which keeps the generated code short enough to be compiled.
+    """
+    columns = df.columns
+    rows = df.withColumn("_at", y)
+    for i, (_, m, s) in enumerate(components(k)):
+        rows = rows.withColumn(f"_z{i}", (F.col("_at") - m) / (s * F.lit(SQRT2)))
+    for i in range(k):
+        rows = rows.withColumn(f"_e{i}", erfc(F.col(f"_z{i}")))
+    bulk = _sum([F.lit(0.5) * w * F.col(f"_e{i}") for i, (w, _, _) in enumerate(components(k))])
+    if pareto:
+        above = F.col("norm") * gpd_tail(F.col("_at") - F.col("u"), F.col("xi"), F.col("beta"))
+        bulk = F.when(F.col("_at") > F.col("u"), above).otherwise(bulk)
+    return rows.select(*columns, bulk.alias(out))
+
+
 def bisect(decreasing, target: Column, lo: float, hi: Column | float, steps: int = STEPS) -> Column:
     """Root of ``decreasing(y) = target`` on [lo, hi] by a fixed number of halvings."""
     hi = hi if isinstance(hi, Column) else F.lit(float(hi))

@@ -48,7 +48,9 @@ def erfc(x: Column) -> Column:
     inverse = F.lit(1.0) / (y * y)
     far = decay * (F.lit(INV_SQRT_PI) - inverse * _ratio(inverse, FAR_NUM, FAR_DEN)) / y
     outer = F.when(y <= 4.0, mid).when(y < 27.0, far).otherwise(F.lit(0.0))
-    return F.when(y <= 0.46875, near).when(x > 0, outer).otherwise(F.lit(2.0) - outer)
+    # outer for positive x and 2 - outer for negative x, with one copy of the long expression
+    mirrored = F.abs(F.when(x > 0, F.lit(0.0)).otherwise(F.lit(2.0)) - outer)
+    return F.when(y <= 0.46875, near).otherwise(mirrored)
 
 
 def normal_pdf(y: Column, mu: Column, sigma: Column) -> Column:

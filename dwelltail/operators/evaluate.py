@@ -19,8 +19,8 @@ def quantile_of(model: str, k: int) -> Callable[[Column], Column]:
     return (lambda q: mixtures.gmm_quantile(q, k)) if model == "gmm" else (lambda q: mixtures.emm_quantile(q, k))
 
 
-def tail_of(model: str, k: int) -> Callable[[Column], Column]:
-    return (lambda y: mixtures.gmm_tail(y, k)) if model == "gmm" else (lambda y: mixtures.emm_tail(y, k))
+def add_tail(df: DataFrame, y: Column, model: str, k: int, out: str) -> DataFrame:
+    return mixtures.with_tail(df, y, k, out, pareto=model != "gmm")
 
 
 def pdf_of(model: str, k: int) -> Callable[[Column], Column]:
@@ -53,9 +53,8 @@ def quantile_errors(
 
 def tail_errors(measured: DataFrame, params: DataFrame, keys: list[str], model: str, k: int) -> DataFrame:
     """model, q, log10_err: mean over states of |log10 tail(y_q) - log10(1 - q)|, floor 1e-16."""
-    joined = measured.join(fitted(params).drop("n"), keys)
-    tail = F.greatest(tail_of(model, k)(F.col("y_q")), F.lit(FLOOR))
-    error = F.abs(F.log10(tail) - F.log10(1 - F.col("q")))
+    joined = add_tail(measured.join(fitted(params).drop("n"), keys), F.col("y_q"), model, k, "_tail")
+    error = F.abs(F.log10(F.greatest("_tail", F.lit(FLOOR))) - F.log10(1 - F.col("q")))
     return joined.groupBy(F.lit(model).alias("model"), "q").agg(F.avg(error).alias("log10_err"))
 
 
@@ -73,8 +72,8 @@ def violation_probability(
 ) -> DataFrame:
     """``dvp``: probability that the delay of a record in its state exceeds the budget."""
     small = cut(fitted(params).drop("n", "n_tail", "status"))
-    scored = attach(requests, small, keys)
-    return scored.select(*requests.columns, tail_of(model, k)(F.col(budget)).alias("dvp"))
+    scored = add_tail(attach(requests, small, keys), F.col(budget), model, k, "dvp")
+    return scored.select(*requests.columns, "dvp")
 
 
 def calibration(
@@ -93,9 +92,8 @@ def calibration(
     )
     measured = counted.select(*keys, "n", F.inline(pairs))
     joined = measured.join(fitted(params).drop("n", "n_tail"), keys)
-    return joined.select(
-        *keys, "budget", "n", "observed", tail_of(model, k)(F.col("budget")).alias("predicted")
-    )
+    scored = add_tail(joined, F.col("budget"), model, k, "predicted")
+    return scored.select(*keys, "budget", "n", "observed", "predicted")
 
 
 def log_likelihood(rows: DataFrame, params: DataFrame, keys: list[str], value: str, models: dict[str, Column]) -> DataFrame:
@@ -149,15 +147,15 @@ def state_report(
         histogram, "pdf", F.col("x"), {"data": F.col("density"), model: pdf_of(model, k)(F.col("x"))}
     )
     curve = tail_curve(rows, cut(tail_grid(rows, keys, value)), keys, value).join(model_columns, keys)
-    tail = shaped(curve, "tail", F.col("t"), {"data": F.col("tail"), model: tail_of(model, k)(F.col("t"))})
+    curve = add_tail(curve, F.col("t"), model, k, "_model")
+    tail = shaped(curve, "tail", F.col("t"), {"data": F.col("tail"), model: F.col("_model")})
     measured = cut(conditional_quantiles(rows, keys, value, levels, "cont")).join(model_columns, keys)
     predicted = measured.withColumn("_p", quantile_of(model, k)(F.col("q")))
     quantile = shaped(
         predicted, "quantile", F.col("q"), {"data": F.col("y_q"), model: F.col("_p"), "ratio": F.col("_p") / F.col("y_q")}
     )
-    error = F.abs(
-        F.log10(F.greatest(tail_of(model, k)(F.col("y_q")), F.lit(FLOOR))) - F.log10(1 - F.col("q"))
-    )
+    measured = add_tail(measured, F.col("y_q"), model, k, "_tail")
+    error = F.abs(F.log10(F.greatest("_tail", F.lit(FLOOR))) - F.log10(1 - F.col("q")))
     tail_error = shaped(measured, "tail_error", F.col("q"), {model: error})
     wide = measured.groupBy(*keys).agg(
         *[F.max(F.when(F.col("q") == q, F.col("y_q"))).alias(f"q{i}") for i, q in enumerate(levels)]

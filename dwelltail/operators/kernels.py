@@ -22,10 +22,13 @@ from dwelltail.session import attach, cut
 
 #: exp(-z^2 / 2) is zero in double precision beyond this many bandwidths.
 REACH = 38.7
-#: Nearer cells that decide the sum unless a row is isolated.
+#: Cells within this many bandwidths decide the sum unless a row is isolated.
 NEAR_REACH = 10.0
-CELLS_PER_BANDWIDTH = 4
+#: Cells per bandwidth for the near sum, and the finer ones for isolated rows.
+COARSE, FINE = 2, 32
 ORDER = 24
+#: Below this sum of kernels a row counts as isolated.
+LONELY = 1e-6
 
 
 def _sum(terms: list[Column]) -> Column:
@@ -155,24 +158,24 @@ def nkde(
 # --- sums of kernels at every row, by moments of cells in y ---
 
 
-def _cell(value: Column, bandwidth: float) -> Column:
-    return F.floor(value * F.lit(CELLS_PER_BANDWIDTH / bandwidth))
+def _cell(value: Column, bandwidth: float, per: int) -> Column:
+    return F.floor(value * F.lit(per / bandwidth))
 
 
-def _offset(value: Column, cell: Column, bandwidth: float) -> Column:
+def _offset(value: Column, cell: Column, bandwidth: float, per: int) -> Column:
     """Distance from the middle of a cell in bandwidths."""
-    return value / F.lit(bandwidth) - (cell + 0.5) / F.lit(float(CELLS_PER_BANDWIDTH))
+    return value / F.lit(bandwidth) - (cell + 0.5) / F.lit(float(per))
 
 
-def cell_moments(df: DataFrame, keys: list[str], value: str, bandwidth: float) -> DataFrame:
+def cell_moments(df: DataFrame, keys: list[str], value: str, bandwidth: float, per: int = COARSE) -> DataFrame:
     """keys, _cell, m0 .. m24: sums of exp(-d^2/2) d^p / p! with d the offset in the cell."""
-    placed = df.select(*keys, F.col(value).alias("_y"), _cell(F.col(value), bandwidth).alias("_cell"))
-    placed = placed.withColumn("_d", _offset(F.col("_y"), F.col("_cell"), bandwidth))
+    placed = df.select(*keys, F.col(value).alias("_y"), _cell(F.col(value), bandwidth, per).alias("_cell"))
+    placed = placed.withColumn("_d", _offset(F.col("_y"), F.col("_cell"), bandwidth, per))
     placed = placed.withColumn("_e", F.exp(F.lit(-0.5) * F.col("_d") * F.col("_d")))
-    terms, power = [], F.col("_e")
-    for p in range(ORDER + 1):
-        terms.append(F.sum(power * F.lit(1.0 / math.factorial(p))).alias(f"m{p}"))
-        power = power * F.col("_d")
+    terms = [
+        F.sum(F.col("_e") * F.pow("_d", F.lit(float(p))) * F.lit(1.0 / math.factorial(p))).alias(f"m{p}")
+        for p in range(ORDER + 1)
+    ]
     return placed.groupBy(*keys, "_cell").agg(*terms)
 
 
@@ -186,39 +189,47 @@ def combine_moments(moments: DataFrame, pairs: DataFrame, keys: list[str], sourc
     )
 
 
-def kernel_sums(
-    targets: DataFrame, row_id: str, keys: list[str], value: str, moments: DataFrame, bandwidth: float
+def _series() -> Column:
+    total = F.col(f"m{ORDER}")
+    for p in range(ORDER - 1, -1, -1):
+        total = total * F.col("_d") + F.col(f"m{p}")
+    return total
+
+
+def kernel_log_sums(
+    targets: DataFrame, row_id: str, keys: list[str], value: str, moments, bandwidth: float, own: bool
 ) -> DataFrame:
-    """row_id, keys, y and ``total``: the sum of exp(-((y - y_j)/h)^2 / 2) over the group's sources.
+    """row_id, keys and ``log_sum``: ln of the sum of exp(-((y - y_j)/h)^2 / 2) over the group's sources.
 
-    Each row meets the cells within ten bandwidths; rows that find next to nothing there
-    meet all cells that can contribute at all.
+    ``moments(per)`` gives the group's cell moments at a resolution; ``own`` says that the row is
+    itself a source, to be left out. A row meets the cells within ten bandwidths. Where that
+    sum is next to nothing, the row meets all finer cells of its group, summed as logarithms;
+    its own cell then holds no other source.
     """
-    moments = cut(moments)
-    near = _meet(targets, row_id, keys, value, moments, bandwidth, NEAR_REACH)
-    near = cut(near)
-    lonely = F.coalesce(F.col("total"), F.lit(0.0)) < 1e-9
-    rest = near.filter(lonely).drop("total")
+    rows = targets.select(row_id, *keys, F.col(value).cast("double").alias("_y"))
+    wide = int(math.ceil(NEAR_REACH * COARSE))
+    middle = _cell(F.col("_y"), bandwidth, COARSE)
+    cells = rows.withColumn("_cell", F.explode(F.sequence(middle - wide, middle + wide)))
+    met = attach(cells, moments(COARSE), [*keys, "_cell"])
+    met = met.withColumn("_d", _offset(F.col("_y"), F.col("_cell"), bandwidth, COARSE))
+    term = F.exp(F.lit(-0.5) * F.col("_d") * F.col("_d")) * _series()
+    summed = met.withColumn("_t", term).groupBy(row_id).agg(F.sum("_t").alias("_t"))
+    near = rows.join(summed, row_id, "left")
+    near = cut(near.withColumn("_t", F.coalesce("_t", F.lit(0.0)) - F.lit(1.0 if own else 0.0)))
+    lonely = F.col("_t") < LONELY
+    result = near.filter(~lonely).select(row_id, *keys, F.log("_t").alias("log_sum"))
+    rest = near.filter(lonely).drop("_t")
     if rest.isEmpty():
-        return near
-    far = _meet(rest.withColumnRenamed("_y", value), row_id, keys, value, moments, bandwidth, REACH)
-    return near.filter(~lonely).unionByName(far)
-
-
-def _meet(targets, row_id, keys, value, moments, bandwidth, reach) -> DataFrame:
-    wide = int(math.ceil(reach * CELLS_PER_BANDWIDTH))
-    placed = targets.select(row_id, *keys, F.col(value).cast("double").alias("_y"))
-    own = _cell(F.col("_y"), bandwidth)
-    cells = placed.withColumn("_cell", F.explode(F.sequence(own - wide, own + wide)))
-    joined = attach(cells, moments, [*keys, "_cell"])
-    d = _offset(F.col("_y"), F.col("_cell"), bandwidth)
-    joined = joined.withColumn("_d", d)
-    series = F.col(f"m{ORDER}")
-    for p in range(ORDER - 1, -1, -1):
-        series = series * F.col("_d") + F.col(f"m{p}")
-    one = F.exp(F.lit(-0.5) * F.col("_d") * F.col("_d")) * series
-    summed = joined.withColumn("_t", one).groupBy(row_id).agg(F.sum("_t").alias("total"))
-    return placed.join(summed, row_id, "left")
+        return result
+    fine = rest.join(moments(FINE), keys)
+    fine = fine.withColumn("_d", _offset(F.col("_y"), F.col("_cell"), bandwidth, FINE))
+    if own:
+        fine = fine.filter(F.col("_cell") != _cell(F.col("_y"), bandwidth, FINE))
+    log_term = F.lit(-0.5) * F.col("_d") * F.col("_d") + F.log(F.greatest(_series(), F.lit(5e-324)))
+    fine = fine.withColumn("_l", log_term)
+    top = fine.groupBy(row_id, *keys).agg(F.collect_list("_l").alias("_ls"))
+    shifted = F.aggregate("_ls", F.lit(0.0), lambda acc, v: acc + F.exp(v - F.array_max("_ls")))
+    return result.unionByName(top.select(row_id, *keys, (F.array_max("_ls") + F.log(shifted)).alias("log_sum")))
 
 
 def nkde_loo(
@@ -245,19 +256,20 @@ def nkde_loo(
         else:
             df_dense = df
         for bandwidth in bandwidths:
-            moments = cell_moments(df, columns, value, bandwidth).withColumnsRenamed(dict(zip(columns, near)))
-            around = combine_moments(moments, pairs.drop("n"), columns, near, F.lit(1.0))
-            sums = kernel_sums(df_dense, row_id, columns, value, around, bandwidth)
-            # a row's own kernel is exp(0) = 1
-            sums = sums.select(
-                row_id, *columns, (F.coalesce("total", F.lit(0.0)) - 1.0).alias("_others")
-            )
+
+            def around(per: int, bandwidth: float = bandwidth, pairs: DataFrame = pairs) -> DataFrame:
+                moments = cell_moments(df, columns, value, bandwidth, per).withColumnsRenamed(dict(zip(columns, near)))
+                return combine_moments(moments, pairs.drop("n"), columns, near, F.lit(1.0))
+
+            sums = kernel_log_sums(df_dense, row_id, columns, value, around, bandwidth, own=True)
             if some is not None:
                 gap = F.col("_gap") / F.lit(bandwidth)
-                alone = some.groupBy(row_id, *columns).agg(F.sum(F.exp(F.lit(-0.5) * gap * gap)).alias("_others"))
-                sums = sums.unionByName(alone)
-            others = F.greatest(F.col("_others"), F.lit(5e-324))
-            density = F.log(others) - F.log((F.col("_rows") - 1) * F.lit(bandwidth * SQRT_2PI))
+                terms = some.groupBy(row_id, *columns).agg(F.collect_list(F.lit(-0.5) * gap * gap).alias("_ls"))
+                shifted = F.aggregate("_ls", F.lit(0.0), lambda acc, v: acc + F.exp(v - F.array_max("_ls")))
+                sums = sums.unionByName(
+                    terms.select(row_id, *columns, (F.array_max("_ls") + F.log(shifted)).alias("log_sum"))
+                )
+            density = F.col("log_sum") - F.log((F.col("_rows") - 1) * F.lit(bandwidth * SQRT_2PI))
             results.append(
                 attach(sums, sizes, columns)
                 .agg(F.avg(density).alias("loglik"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dwelltail.functions.special import SQRT_2PI
-from dwelltail.operators.kernels import REACH, cell_moments, combine_moments, kernel_sums, normal_reference
+from dwelltail.operators.kernels import ORDER, REACH, cell_moments, combine_moments, kernel_log_sums, normal_reference
 from dwelltail.operators.matching import _pairs_within
 from dwelltail.session import attach, cut
 
@@ -56,18 +56,22 @@ def cv_ckde(
         pairs = _pairs_within(states, states, columns, [0.0] * d, hx, REACH / math.sqrt(d)).drop("n")
         kernel = F.exp(F.lit(-0.5 * d) * F.col("dist") * F.col("dist"))
         pairs = cut(pairs.withColumn("_k", kernel))
-        others = lambda table: table.select("*", held).filter(F.col("_held") != F.col(fold))
-        moments = others(cell_moments(df, [*columns, fold], value, hy)).drop(fold)
-        moments = moments.withColumnsRenamed(dict(zip(columns, near)))
-        around = combine_moments(moments, pairs, [*columns, "_held"], near, F.col("_k"))
-        around = around.withColumnRenamed("_held", fold)
-        mass = others(counts).drop(fold).withColumnsRenamed(dict(zip(columns, near)))
+        others = lambda table: table.select("*", held).filter(F.col("_held") != F.col(fold)).drop(fold)
+
+        def around(per: int, hy: float = hy, pairs: DataFrame = pairs) -> DataFrame:
+            moments = others(cell_moments(df, [*columns, fold], value, hy, per)).groupBy(*columns, "_held", "_cell")
+            moments = moments.agg(*[F.sum(f"m{p}").alias(f"m{p}") for p in range(ORDER + 1)])
+            moments = moments.withColumnsRenamed(dict(zip(columns, near)))
+            mixed = combine_moments(moments, pairs, [*columns, "_held"], near, F.col("_k"))
+            return mixed.withColumnRenamed("_held", fold)
+
+        mass = others(counts).withColumnsRenamed(dict(zip(columns, near)))
         mass = pairs.join(mass, near).groupBy(*columns, F.col("_held").alias(fold)).agg(
             F.sum(F.col("_k") * F.col("n")).alias("_mass")
         )
-        sums = attach(kernel_sums(df, row_id, [*columns, fold], value, around, hy), mass, [*columns, fold])
-        total = F.greatest(F.coalesce("total", F.lit(0.0)), F.lit(5e-324))
-        density = F.log(total) - F.log(F.col("_mass") * F.lit(hy * SQRT_2PI))
+        sums = kernel_log_sums(df, row_id, [*columns, fold], value, around, hy, own=False)
+        sums = attach(sums, mass, [*columns, fold])
+        density = F.col("log_sum") - F.log(F.col("_mass") * F.lit(hy * SQRT_2PI))
         scored = sums.groupBy(fold).agg(F.avg(density).alias("loglik"))
         scored = scored.select(F.lit(float(multiple)).alias("param"), fold, "loglik")
         results = scored if results is None else results.unionByName(scored)

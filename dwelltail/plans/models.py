@@ -7,7 +7,6 @@ import math
 from pyspark.sql import functions as F
 
 from dwelltail.functions import integrals, mixtures
-from dwelltail.functions.special import student_t_pdf  # noqa: F401
 from dwelltail.operators import (
     centres,
     conditional_net,
@@ -203,11 +202,9 @@ def gmm_pdf(spark, sf):
 )
 def gmm_tail(spark, sf):
     scored = attach(derived.tail_rows(spark, sf), gmm(spark, sf).drop("n", "status"), STATE)
+    scored = mixtures.with_tail(scored, F.col("y"), K, "tail")
     return scored.select(
-        "id",
-        "state",
-        F.round(F.log10(mixtures.gmm_tail(F.col("y"), K)), 6).alias("log10_tail"),
-        F.round(mixtures.gmm_cdf(F.col("y"), K), 9).alias("cdf"),
+        "id", "state", F.round(F.log10("tail"), 6).alias("log10_tail"), F.round(1 - F.col("tail"), 9).alias("cdf")
     )
 
 
@@ -240,18 +237,19 @@ def emm_pdf(spark, sf):
 
 @query(f"with {EM} select id, state, round({q.emm_tail_sql('y')}, 9) as tail from tl join em using (state)")
 def emm_tail(spark, sf):
-    return _emm_rows(spark, sf).select("id", "state", F.round(mixtures.emm_tail(F.col("y"), BULK), 9).alias("tail"))
+    scored = mixtures.with_tail(_emm_rows(spark, sf), F.col("y"), BULK, "tail", pareto=True)
+    return scored.select("id", "state", F.round("tail", 9).alias("tail"))
 
 
 QLEVELS = [0.5, 0.9, 0.99, 0.999, 0.9999]
 
 
 def _levels_sql(levels, source: str) -> str:
-    return f"{source}_q as (select state, q from {source}, (select unnest({level_list(levels)}) as q))"
+    return f"{source}_lv as (select state, q from {source}, (select unnest({level_list(levels)}) as q))"
 
 
 def _emm_quantile_sql(levels) -> str:
-    return f"""{EM}, {_levels_sql(levels, 'em')}, ej as (select * from em_q join em using (state)),
+    return f"""{EM}, {_levels_sql(levels, 'em')}, ej as (select * from em_lv join em using (state)),
  {q.bisect_sql('ej', ['state', 'q'], q.gmm_tail_sql('@Y@', BULK), '(1 - q)', 'u', 'eb')},
  eq as (select state, q, case when 1 - q < norm then u + beta / xi * (pow((1 - q) / norm, -xi) - 1) else root end as y_hat
  from ej join eb using (state, q))"""
@@ -259,7 +257,7 @@ def _emm_quantile_sql(levels) -> str:
 
 def _gmm_quantile_sql(levels) -> str:
     hi = "greatest(" + ", ".join(f"m{i} + 40 * s{i}" for i in range(K)) + ")"
-    return f"""{_levels_sql(levels, 'gm')}, gj as (select * from gm_q join gm using (state)),
+    return f"""{_levels_sql(levels, 'gm')}, gj as (select * from gm_lv join gm using (state)),
  {q.bisect_sql('gj', ['state', 'q'], q.gmm_tail_sql('@Y@', K), '(1 - q)', hi, 'gb')},
  gq as (select state, q, root as y_hat from gb)"""
 
@@ -469,7 +467,9 @@ LOO_WIDTHS, LOO_EPS = [10.0, 25.0], [0.05, 0.2]
 
 
 def _loo_sql(eps: float) -> str:
-    terms = ", ".join(f"sum(exp(-0.5 * pow((a.y - b.y) / {h}, 2))) - 1 as k{i}" for i, h in enumerate(LOO_WIDTHS))
+    terms = ", ".join(
+        f"sum(exp(-0.5 * pow((a.y - b.y) / {h}, 2))) filter (where a.id <> b.id) as k{i}" for i, h in enumerate(LOO_WIDTHS)
+    )
     parts = " union all ".join(
         f"select {h}::double as bandwidth, {eps}::double as epsilon, "
         f"avg(ln(k{i} / ((n - 1) * {h} * {q.special.SQRT_2PI!r}::double))) as loglik from l"
@@ -692,8 +692,8 @@ def eval_store(spark, sf):
     measured = quantiles.conditional_quantiles(data, keys, "delay", [0.9, 0.99], "cont")
     total = measured.filter("q = 0.9").agg(F.sum("n")).scalar()
     joined = measured.withColumn("n_train", total).join(_bc_params(spark, sf).drop("n"), keys)
-    tail = F.greatest(mixtures.gmm_tail(F.col("y_q"), 2), F.lit(evaluate.FLOOR))
-    value = F.abs(F.log10(tail) - F.log10(1 - F.col("q")))
+    joined = mixtures.with_tail(joined, F.col("y_q"), 2, "_tail")
+    value = F.abs(F.log10(F.greatest("_tail", F.lit(evaluate.FLOOR))) - F.log10(1 - F.col("q")))
     result = joined.withColumn("model", F.lit("gmm")).withColumn("metric", F.lit("log10_err")).withColumn("value", value)
     io.write_evaluation(io.conform(result, EVALUATION), path)
     read = io.read_evaluation(spark, path)
