@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dwelltail.functions.mixtures import gmm_tail
-from dwelltail.functions.special import normal_log_pdf, normal_pdf
+from dwelltail.functions.special import SQRT_2PI, normal_log_pdf, normal_pdf
 from dwelltail.operators.ranks import disc_rank, select_ranks
 from dwelltail.operators.tails import gpd_from_moments
 from dwelltail.session import attach, complete_rows, cut
@@ -68,40 +68,31 @@ def fit_gmm(
 
 
 def _em_step(rows: DataFrame, params: DataFrame, keys: list[str], k: int, extra: list[str]) -> DataFrame:
+    each = range(k)
     joined = attach(rows, params, keys)
-    y = F.col("_y")
-    for i in range(k):
-        density = F.col(f"_w{i}") * normal_pdf(y, F.col(f"_m{i}"), F.col(f"_s{i}"))
-        joined = joined.withColumn(f"_d{i}", density)
-    joined = joined.withColumn("_d", _sum([F.col(f"_d{i}") for i in range(k)]))
+    density = [f"_w{i} * exp(-0.5D * pow((_y - _m{i}) / _s{i}, 2D)) / (_s{i} * {SQRT_2PI!r}D) as _d{i}" for i in each]
+    total = " + ".join(f"_d{i}" for i in each)
     # far from every component all densities underflow; such a row is shared evenly
-    share = [
-        F.when(F.col("_d") > 0, F.col(f"_d{i}") / F.col("_d")).otherwise(F.lit(1.0 / k)) for i in range(k)
+    share = [f"if({total} > 0, _d{i} / ({total}), {1.0 / k!r}D) as _r{i}" for i in each]
+    shift = [f"_y - _m{i} as _x{i}" for i in each]
+    shared = joined.selectExpr("*", *density).selectExpr("*", *share, *shift)
+    kept = ["n", *extra, "_v", *[f"_m{i}" for i in each], *[f"_s{i}" for i in each]]
+    sums = [
+        f"sum({term}) as _{name}{i}"
+        for i in each
+        for name, term in (("n", f"_r{i}"), ("a", f"_r{i} * _x{i}"), ("b", f"_r{i} * _x{i} * _x{i}"))
     ]
-    for i in range(k):
-        joined = joined.withColumn(f"_r{i}", share[i])
-    sums = []
-    for i in range(k):
-        shift = y - F.col(f"_m{i}")
-        sums += [
-            F.sum(f"_r{i}").alias(f"_n{i}"),
-            F.sum(F.col(f"_r{i}") * shift).alias(f"_a{i}"),
-            F.sum(F.col(f"_r{i}") * shift * shift).alias(f"_b{i}"),
-        ]
-    kept = ["n", *extra, "_v", *[f"_m{i}" for i in range(k)], *[f"_s{i}" for i in range(k)]]
-    total = joined.groupBy(*keys).agg(*sums, *[F.first(c).alias(c) for c in kept])
+    texts = [*sums, *[f"first({c}) as {c}" for c in kept]]
+    summed = shared.groupBy(*keys).agg(*[F.expr(text) for text in texts])
     columns = []
-    for i in range(k):
-        held = F.col(f"_n{i}") > 1e-12
-        step = F.col(f"_a{i}") / F.col(f"_n{i}")
-        variance = F.col(f"_b{i}") / F.col(f"_n{i}") - step * step
-        floor = F.lit(VARIANCE_FLOOR) * F.col("_v")
+    for i in each:
+        variance = f"_b{i} / _n{i} - pow(_a{i} / _n{i}, 2D)"
         columns += [
-            (F.col(f"_n{i}") / F.col("n")).alias(f"_w{i}"),
-            F.when(held, F.col(f"_m{i}") + step).otherwise(F.col(f"_m{i}")).alias(f"_m{i}"),
-            F.when(held, F.sqrt(F.greatest(variance, floor))).otherwise(F.col(f"_s{i}")).alias(f"_s{i}"),
+            f"_n{i} / n as _w{i}",
+            f"if(_n{i} > 1e-12, _m{i} + _a{i} / _n{i}, _m{i}) as _m{i}",
+            f"if(_n{i} > 1e-12, sqrt(greatest({variance}, {VARIANCE_FLOOR!r}D * _v)), _s{i}) as _s{i}",
         ]
-    return total.select(*keys, "n", *extra, "_v", *columns)
+    return summed.selectExpr(*keys, "n", *extra, "_v", *columns)
 
 
 def fit_emm(

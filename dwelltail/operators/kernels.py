@@ -25,8 +25,8 @@ REACH = 38.7
 #: Cells within this many bandwidths decide the sum unless a row is isolated.
 NEAR_REACH = 10.0
 #: Cells per bandwidth for the near sum, and the finer ones for isolated rows.
-COARSE, FINE = 2, 32
-ORDER = 24
+COARSE, FINE = 3, 32
+ORDER = 12
 #: Below this sum of kernels a row counts as isolated.
 LONELY = 1e-6
 
@@ -168,7 +168,7 @@ def _offset(value: Column, cell: Column, bandwidth: float, per: int) -> Column:
 
 
 def cell_moments(df: DataFrame, keys: list[str], value: str, bandwidth: float, per: int = COARSE) -> DataFrame:
-    """keys, _cell, m0 .. m24: sums of exp(-d^2/2) d^p / p! with d the offset in the cell."""
+    """keys, _cell, m0 .. m12: sums of exp(-d^2/2) d^p / p! with d the offset in the cell."""
     placed = df.select(*keys, F.col(value).alias("_y"), _cell(F.col(value), bandwidth, per).alias("_cell"))
     placed = placed.withColumn("_d", _offset(F.col("_y"), F.col("_cell"), bandwidth, per))
     placed = placed.withColumn("_e", F.exp(F.lit(-0.5) * F.col("_d") * F.col("_d")))
@@ -179,8 +179,10 @@ def cell_moments(df: DataFrame, keys: list[str], value: str, bandwidth: float, p
     return placed.groupBy(*keys, "_cell").agg(*terms)
 
 
-def combine_moments(moments: DataFrame, pairs: DataFrame, keys: list[str], source: list[str], weight: Column) -> DataFrame:
-    """Weighted moments per target group: ``pairs`` links ``keys`` to the moments' ``source`` columns."""
+def combine_moments(
+    moments: DataFrame, pairs: DataFrame, keys: list[str], source: list[str], weight: Column
+) -> DataFrame:
+    """Weighted moments per ``keys``: ``pairs`` links x to the moments' ``source`` columns."""
     return (
         pairs.withColumn("_w", weight)
         .join(moments, source)
@@ -201,8 +203,8 @@ def kernel_log_sums(
 ) -> DataFrame:
     """row_id, keys and ``log_sum``: ln of the sum of exp(-((y - y_j)/h)^2 / 2) over the group's sources.
 
-    ``moments(per)`` gives the group's cell moments at a resolution; ``own`` says that the row is
-    itself a source, to be left out. A row meets the cells within ten bandwidths. Where that
+    ``moments(per, only)`` gives the cell moments at a resolution, of all groups or of the listed
+    ones; ``own`` says that the row is itself a source, to be left out. A row meets the cells within ten bandwidths. Where that
     sum is next to nothing, the row meets all finer cells of its group, summed as logarithms;
     its own cell then holds no other source.
     """
@@ -210,18 +212,19 @@ def kernel_log_sums(
     wide = int(math.ceil(NEAR_REACH * COARSE))
     middle = _cell(F.col("_y"), bandwidth, COARSE)
     cells = rows.withColumn("_cell", F.explode(F.sequence(middle - wide, middle + wide)))
-    met = attach(cells, moments(COARSE), [*keys, "_cell"])
+    met = attach(cells, moments(COARSE, None), [*keys, "_cell"])
     met = met.withColumn("_d", _offset(F.col("_y"), F.col("_cell"), bandwidth, COARSE))
     term = F.exp(F.lit(-0.5) * F.col("_d") * F.col("_d")) * _series()
     summed = met.withColumn("_t", term).groupBy(row_id).agg(F.sum("_t").alias("_t"))
     near = rows.join(summed, row_id, "left")
-    near = cut(near.withColumn("_t", F.coalesce("_t", F.lit(0.0)) - F.lit(1.0 if own else 0.0)))
     lonely = F.col("_t") < LONELY
+    near = near.withColumn("_t", F.coalesce("_t", F.lit(0.0)) - F.lit(1.0 if own else 0.0))
+    near = cut(near, measure=F.count(F.when(lonely, 1)))
     result = near.filter(~lonely).select(row_id, *keys, F.log("_t").alias("log_sum"))
-    rest = near.filter(lonely).drop("_t")
-    if rest.isEmpty():
+    if not near._measured:
         return result
-    fine = rest.join(moments(FINE), keys)
+    rest = near.filter(lonely).drop("_t")
+    fine = rest.join(moments(FINE, rest.select(*keys).distinct()), keys)
     fine = fine.withColumn("_d", _offset(F.col("_y"), F.col("_cell"), bandwidth, FINE))
     if own:
         fine = fine.filter(F.col("_cell") != _cell(F.col("_y"), bandwidth, FINE))
@@ -257,9 +260,10 @@ def nkde_loo(
             df_dense = df
         for bandwidth in bandwidths:
 
-            def around(per: int, bandwidth: float = bandwidth, pairs: DataFrame = pairs) -> DataFrame:
+            def around(per: int, only: DataFrame | None, bandwidth: float = bandwidth, pairs: DataFrame = pairs) -> DataFrame:
                 moments = cell_moments(df, columns, value, bandwidth, per).withColumnsRenamed(dict(zip(columns, near)))
-                return combine_moments(moments, pairs.drop("n"), columns, near, F.lit(1.0))
+                linked = pairs.drop("n") if only is None else pairs.drop("n").join(only, columns, "left_semi")
+                return combine_moments(moments, linked, columns, near, F.lit(1.0))
 
             sums = kernel_log_sums(df_dense, row_id, columns, value, around, bandwidth, own=True)
             if some is not None:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dwelltail.session import attach, cut
+from dwelltail.session import attach, cut, row_count
 
 #: Total rows up to which plain windows per key are used.
 PLAIN_ROWS = 2_000_000
@@ -40,7 +40,7 @@ def scan_ordered(
     sums, last = sums or {}, last or {}
     following, previous = following or {}, previous or {}
     df = cut(df)
-    total = df.count()
+    total = row_count(df)
     if total <= plain_rows:
         return _scan(df, keys, order, sums, last, following, previous)
 

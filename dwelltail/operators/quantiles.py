@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dwelltail.operators.ranks import disc_rank, select_ranks
-from dwelltail.session import attach_bounded, complete_rows
+from dwelltail.session import attach, attach_bounded, complete_rows
 
 
 def level_grid(top: float, bottom: float, count: int) -> list[float]:
@@ -37,8 +37,12 @@ def quantiles_wide(
     for i, q in enumerate(levels):
         ranks[f"_b{i}"] = _floor_rank(q)
         ranks[f"_t{i}"] = _ceil_rank(q)
-    found = select_ranks(df, keys, value, ranks, levels, **options)
-    return found.select(*keys, "n", *[_between(i, q).alias(f"q{i}") for i, q in enumerate(levels)])
+    found = select_ranks(df, keys, value, ranks, levels, together=2, **options)
+    between = [
+        f"_b{i} + ((n - 1) * {float(q)!r}D - floor((n - 1) * {float(q)!r}D)) * (_t{i} - _b{i}) as q{i}"
+        for i, q in enumerate(levels)
+    ]
+    return found.selectExpr(*keys, "n", *between)
 
 
 def _floor_rank(q: float):
@@ -49,12 +53,6 @@ def _ceil_rank(q: float):
     return lambda n: (F.ceil((n - 1) * F.lit(float(q))) + 1).cast("long")
 
 
-def _between(i: int, q: float) -> Column:
-    position = (F.col("n") - 1) * F.lit(float(q))
-    part = position - F.floor(position)
-    return F.col(f"_b{i}") + part * (F.col(f"_t{i}") - F.col(f"_b{i}"))
-
-
 def long_form(wide: DataFrame, keys: list[str], levels: list[float], value: str = "y_q") -> DataFrame:
     """keys, n, q, y_q: one row per group and level."""
     pairs = F.array(
@@ -101,8 +99,6 @@ def measure_states(
 def lower_tail_mean(df: DataFrame, keys: list[str], value: str, alpha: float) -> DataFrame:
     """Value at risk (interpolated alpha-quantile) and mean of the rows at or below it."""
     at_risk = quantiles_wide(df, keys, value, [alpha], "cont").withColumnRenamed("q0", "var")
-    from dwelltail.session import attach
-
     joined = attach(complete_rows(df, value, keys), at_risk, keys)
     return joined.groupBy(*keys).agg(
         F.first("n").alias("n"),
@@ -113,8 +109,6 @@ def lower_tail_mean(df: DataFrame, keys: list[str], value: str, alpha: float) ->
 
 def exceed_counts(df: DataFrame, keys: list[str], value: str, levels: list[float]) -> DataFrame:
     """How many rows lie at or above each interpolated quantile."""
-    from dwelltail.session import attach
-
     wide = quantiles_wide(df, keys, value, levels, "cont")
     joined = attach(complete_rows(df, value, keys), wide, keys)
     counted = joined.groupBy(*keys).agg(

@@ -38,75 +38,67 @@ def select_ranks(
     accuracy: int = ACCURACY,
     slack: float = 4.0,
     plain_rows: int = PLAIN_ROWS,
+    together: int = 1,
 ) -> DataFrame:
     """One row per group: keys, ``n`` and, per name in ``ranks``, the value of that rank.
 
     ``ranks`` maps an output name to a function n -> 1-based rank; ranks outside
-    1..n give NULL. ``levels`` names the shares near which the ranks lie and narrows the brackets.
+    1..n give NULL. ``levels`` names the shares near which the ranks lie and narrows the
+    brackets. Each run of ``together`` ascending names shares one bracket.
     """
     rows = complete_rows(df.select(*keys, F.col(value).alias("_v")), "_v", keys)
     if not keys:
         rows = rows.withColumn("_all", F.lit(0))
     by = keys or ["_all"]
     names = list(ranks)
+    groups = [list(range(i, min(i + together, len(names)))) for i in range(0, len(names), together)]
     margin = slack / accuracy
 
     grid = _grid(levels, margin)
     sketch = rows.groupBy(*by).agg(
         F.count("*").alias("n"), F.percentile_approx("_v", grid, accuracy).alias("_g")
     )
-    spots = F.array(*[F.lit(p) for p in grid])
-    columns = []
-    for i, name in enumerate(names):
-        rank = ranks[name](F.col("n"))
-        share = rank / F.col("n")
-        below = F.filter(F.arrays_zip(spots.alias("p"), F.col("_g").alias("g")), _at_most(share - margin))
-        above = F.filter(F.arrays_zip(spots.alias("p"), F.col("_g").alias("g")), _at_least(share + margin))
-        columns += [
-            F.when(rank.between(1, F.col("n")), rank).alias(f"_r{i}"),
-            F.when(F.size(below) > 0, below[F.size(below) - 1]["g"]).alias(f"_lo{i}"),
-            F.when(F.size(above) > 0, above[0]["g"]).alias(f"_hi{i}"),
-        ]
-    brackets = cut(sketch.select(*by, "n", *columns))
-    found = cut(_count_within(rows, brackets, by, len(names), plain_rows))
-
-    missed = F.lit(False)
-    for i in range(len(names)):
-        missed = missed | (F.col(f"_r{i}").isNotNull() & F.col(f"_a{i}").isNull())
-    again = found.filter(missed).select(*by)
-    if not again.isEmpty():
-        opened = brackets.join(again, by, "left_semi")
-        for i in range(len(names)):
-            opened = opened.withColumn(f"_lo{i}", F.lit(None)).withColumn(f"_hi{i}", F.lit(None))
-        second = _count_within(rows, cut(opened), by, len(names), plain_rows)
-        found = found.filter(~missed).unionByName(second)
+    ranked = sketch.select(
+        *by, "n", "_g", F.lit(grid).alias("_p"), *[ranks[name](F.col("n")).alias(f"_r{i}") for i, name in enumerate(names)]
+    )
+    wanted = [f"if(_r{i} between 1 and n, _r{i}, null) as _r{i}" for i in range(len(names))]
+    ends = []
+    for g, members in enumerate(groups):
+        low, high = f"_r{members[0]} / n - {margin!r}", f"_r{members[-1]} / n + {margin!r}"
+        ends.append(f"get(_g, size(filter(_p, p -> p <= {low})) - 1) as _lo{g}")
+        ends.append(f"get(_g, size(filter(_p, p -> p < {high}))) as _hi{g}")
+    brackets = cut(ranked.selectExpr(*by, "n", *wanted, *ends))
+    missed = " or ".join(f"(_r{i} is not null and _a{i} is null)" for i in range(len(names)))
+    found = _count_within(rows, brackets, by, len(names), len(groups), plain_rows)
+    found = cut(found, measure=F.count(F.expr(f"if({missed}, 1, null)")))
+    if found._measured:
+        opened = brackets.join(found.filter(missed).select(*by), by, "left_semi")
+        opened = opened.withColumns({f"_{e}{g}": F.lit(None) for g in range(len(groups)) for e in ("lo", "hi")})
+        second = _count_within(rows, cut(opened), by, len(names), len(groups), plain_rows)
+        found = found.filter(f"not ({missed})").unionByName(second)
     return found.select(*keys, "n", *[F.col(f"_a{i}").alias(name) for i, name in enumerate(names)])
 
 
-def _count_within(rows: DataFrame, brackets: DataFrame, by: list[str], wanted: int, plain_rows: int) -> DataFrame:
+def _count_within(
+    rows: DataFrame, brackets: DataFrame, by: list[str], wanted: int, groups: int, plain_rows: int
+) -> DataFrame:
     """Exact values of the bracketed ranks; NULL where a bracket does not hold its rank."""
-    bounded = attach(rows, brackets, by)
-    cell, inside = F.lit(0), F.lit(False)
-    for i in range(wanted):
-        from_lo = F.col(f"_lo{i}").isNull() | (F.col("_v") >= F.col(f"_lo{i}"))
-        to_hi = F.col(f"_hi{i}").isNull() | (F.col("_v") <= F.col(f"_hi{i}"))
-        cell = cell + from_lo.cast("int")
-        inside = inside | (from_lo & to_hi)
+    from_lo = [f"(_lo{g} is null or _v >= _lo{g})" for g in range(groups)]
+    inside = " or ".join(f"({from_lo[g]} and (_hi{g} is null or _v <= _hi{g}))" for g in range(groups))
+    cell = " + ".join(f"cast({c} as int)" for c in from_lo)
     # Within a cell the bracketed values come first: all brackets open there end in one range.
     counted = (
-        bounded.select(*by, cell.alias("_cell"), F.when(inside, F.col("_v")).alias("_v"))
+        attach(rows, brackets, by)
+        .selectExpr(*by, f"{cell} as _cell", f"if({inside}, _v, null) as _v")
         .groupBy(*by, "_cell", "_v")
         .agg(F.count("*").alias("_c"))
-        .withColumn("_open", F.col("_v").isNull().cast("int"))
+        .selectExpr("*", "cast(_v is null as int) as _open")
     )
     running = scan_ordered(counted, by, ["_cell", "_open", "_v"], sums={"_cum": "_c"}, plain_rows=plain_rows)
-    reached = attach(running, brackets, by)
-    hits = []
-    for i in range(wanted):
-        holds = (F.col("_cum") >= F.col(f"_r{i}")) & (F.col("_cum") - F.col("_c") < F.col(f"_r{i}"))
-        hits.append(F.max(F.when(holds, F.col("_v"))).alias(f"_a{i}"))
-    ranks = [F.first(f"_r{i}").alias(f"_r{i}") for i in range(wanted)]
-    return reached.groupBy(*by).agg(F.first("n").alias("n"), *ranks, *hits)
+    ranks = [f"first(_r{i}) as _r{i}" for i in range(wanted)]
+    hits = [f"max(if(_cum >= _r{i} and _cum - _c < _r{i}, _v, null)) as _a{i}" for i in range(wanted)]
+    reached = attach(running, brackets, by).groupBy(*by)
+    return reached.agg(*[F.expr(text) for text in ("first(n) as n", *ranks, *hits)])
 
 
 def _grid(levels: list[float] | None, margin: float) -> list[float]:
@@ -114,11 +106,3 @@ def _grid(levels: list[float] | None, margin: float) -> list[float]:
         return sorted(_EVEN)
     around = {round(q + s * 2 * margin, 12) for q in levels for s in (-1, 1)}
     return sorted(p for p in around if 0 < p < 1) or [0.5]
-
-
-def _at_most(limit: Column) -> Callable[[Column], Column]:
-    return lambda item: item["p"] <= limit
-
-
-def _at_least(limit: Column) -> Callable[[Column], Column]:
-    return lambda item: item["p"] >= limit

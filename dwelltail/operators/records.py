@@ -95,11 +95,21 @@ def row_range(records: DataFrame, lo: int, hi: int, order: str = "id") -> DataFr
     return records.filter(F.col(order).between(cut["_lo"], cut["_hi"]))
 
 
-def _change(time: str, enter: str | None, leave: str | None) -> Column:
+#: Hop -> (time of entry, time of exit).
+STAYS = {
+    "uplink": ("starttime", "servicetime_uplink"),
+    "compute": ("servicetime_uplink", "servicetime_compute"),
+    "downlink": ("servicetime_compute", "endtime"),
+}
+
+
+def _change(time: str) -> Column:
+    """What happens at one of a packet's times: net change per hop, and entries that stay."""
     fields = [F.col(time).alias("t")]
-    for hop in ("uplink", "compute", "downlink"):
-        fields.append(F.lit(int(hop == enter)).alias(f"in_{hop}"))
-        fields.append(F.lit(int(hop == leave)).alias(f"out_{hop}"))
+    for hop, (entry, leave) in STAYS.items():
+        fields.append(F.lit(int(time == entry) - int(time == leave)).alias(f"net_{hop}"))
+        stays = (F.col(leave) > F.col(entry)).cast("int") if time == entry else F.lit(0)
+        fields.append(stays.alias(f"in_{hop}"))
     return F.struct(*fields)
 
 
@@ -107,24 +117,15 @@ def occupancy_snapshots(logs: DataFrame, **scan_options) -> DataFrame:
     """How many packets of the run are in each hop when a packet reaches a snapshot point.
 
     A packet is in a hop from entry up to, not including, exit. The hop being entered counts
-    only packets that entered strictly earlier. Changes are summed per (run, time) before
+    only packets that entered strictly earlier, so those that enter at the instant and stay are
+    taken off again. Changes are summed per (run, time) before
     the shuffle, so many packets at one instant are one row of the running sum.
     """
     hops = ("uplink", "compute", "downlink")
-    changes = logs.select(
-        "run_id",
-        F.inline(
-            F.array(
-                _change("starttime", "uplink", None),
-                _change("servicetime_uplink", "compute", "uplink"),
-                _change("servicetime_compute", "downlink", "compute"),
-                _change("endtime", None, "downlink"),
-            )
-        ),
-    )
+    times = ("starttime", "servicetime_uplink", "servicetime_compute", "endtime")
+    changes = logs.select("run_id", F.inline(F.array(*[_change(time) for time in times])))
     at_time = changes.groupBy("run_id", "t").agg(
-        *[F.sum(f"in_{h}").alias(f"in_{h}") for h in hops],
-        *[F.sum(F.col(f"in_{h}") - F.col(f"out_{h}")).alias(f"net_{h}") for h in hops],
+        *[F.sum(f"{c}_{h}").alias(f"{c}_{h}") for h in hops for c in ("in", "net")]
     )
     curve = scan_ordered(
         at_time, ["run_id"], ["t"], sums={f"occ_{h}": f"net_{h}" for h in hops}, **scan_options

@@ -58,12 +58,19 @@ def cv_ckde(
         pairs = cut(pairs.withColumn("_k", kernel))
         others = lambda table: table.select("*", held).filter(F.col("_held") != F.col(fold)).drop(fold)
 
-        def around(per: int, hy: float = hy, pairs: DataFrame = pairs) -> DataFrame:
-            moments = others(cell_moments(df, [*columns, fold], value, hy, per)).groupBy(*columns, "_held", "_cell")
-            moments = moments.agg(*[F.sum(f"m{p}").alias(f"m{p}") for p in range(ORDER + 1)])
+        def around(per: int, only: DataFrame | None, hy: float = hy, pairs: DataFrame = pairs) -> DataFrame:
+            moments = cell_moments(df, [*columns, fold], value, hy, per)
             moments = moments.withColumnsRenamed(dict(zip(columns, near)))
-            mixed = combine_moments(moments, pairs, [*columns, "_held"], near, F.col("_k"))
-            return mixed.withColumnRenamed("_held", fold)
+            linked = pairs if only is None else pairs.join(only.select(*columns).distinct(), columns, "left_semi")
+            mixed = combine_moments(moments, linked, [*columns, fold], near, F.col("_k"))
+            if only is not None:
+                mixed = mixed.join(only.withColumnRenamed(fold, "_held"), columns).filter(F.col("_held") != F.col(fold))
+            else:
+                mixed = others(mixed)
+            summed = mixed.groupBy(*columns, "_held", "_cell").agg(
+                *[F.sum(f"m{p}").alias(f"m{p}") for p in range(ORDER + 1)]
+            )
+            return summed.withColumnRenamed("_held", fold)
 
         mass = others(counts).withColumnsRenamed(dict(zip(columns, near)))
         mass = pairs.join(mass, near).groupBy(*columns, F.col("_held").alias(fold)).agg(
@@ -84,5 +91,6 @@ def best_of_grid(scores: DataFrame, fold: str = "fold") -> DataFrame:
         F.avg("loglik").alias("mean_loglik"),
         F.max_by(fold, F.struct("loglik", -F.col(fold))).alias("best_fold"),
     )
+    means = cut(means)
     top = means.agg(F.max_by("param", F.struct("mean_loglik", -F.col("param")))).scalar()
     return means.withColumn("is_best", (F.col("param") == top).cast("int"))

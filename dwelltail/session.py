@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a checked side is broadcast (narrow rows: a few dozen MB at most).
@@ -32,6 +32,7 @@ def get_session(cores: str = "*", partitions: int = 8, app: str = "dwelltail") -
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "4096")
         .config("spark.driver.memory", "12g")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -59,12 +60,31 @@ def shared_dir(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="dwelltail-")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and cut its lineage there."""
+def cut(df: DataFrame, measure: Column | None = None) -> DataFrame:
+    """Materialise ``df`` in the shared folder and cut its lineage there.
+
+    The rows are counted while they are written; ``row_count`` then costs no job, and neither
+    does ``measured`` for the aggregate given as ``measure``. A table that was cut already is
+    returned as it is.
+    """
+    if getattr(df, "_stored_rows", None) is not None and measure is None:
+        return df
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    counted = Observation()
+    metrics = [F.count(F.lit(1)).alias("rows")]
+    if measure is not None:
+        metrics.append(measure.alias("measure"))
+    stored = df.observe(counted, *metrics).checkpoint(eager=True)
+    stored._stored_rows = counted.get["rows"]
+    stored._measured = counted.get.get("measure")
+    return stored
+
+
+def row_count(df: DataFrame) -> int:
+    known = getattr(df, "_stored_rows", None)
+    return df.count() if known is None else known
 
 
 def salt_of(columns: list[str], salts: int = SALTS) -> Column:
@@ -86,7 +106,7 @@ def attach(
     of every key, so that one hot key does not end in one task.
     """
     small = cut(small)
-    if small.count() <= max_broadcast_rows:
+    if row_count(small) <= max_broadcast_rows:
         return rows.join(F.broadcast(small), keys, how)
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     spread = rows.withColumn("_salt", salt_of(rows.columns))
