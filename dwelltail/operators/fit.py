@@ -39,10 +39,10 @@ def fit_gmm(
     if level is not None:
         ranks["u"] = disc_rank(level)
         levels = [*levels, level]
-    starts = select_ranks(rows, keys, "_y", ranks, levels)
-    spread = rows.groupBy(*keys).agg(F.var_pop("_y").alias("_v"))
+    # the variance is taken in the sketch pass of the selection
+    starts = select_ranks(rows, keys, "_y", ranks, levels, stats={"_s2": "var_pop(_v)"})
     extra = ["u"] if level is not None else []
-    params = starts.join(spread, keys).select(
+    params = starts.withColumnRenamed("_s2", "_v").select(
         *keys,
         "n",
         *extra,

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dwelltail.operators.ranks import disc_rank, select_ranks
-from dwelltail.session import attach, attach_bounded, complete_rows
+from dwelltail.session import attach, attach_bounded, complete_rows, cut
 
 
 def level_grid(top: float, bottom: float, count: int) -> list[float]:
@@ -37,12 +37,13 @@ def quantiles_wide(
     for i, q in enumerate(levels):
         ranks[f"_b{i}"] = _floor_rank(q)
         ranks[f"_t{i}"] = _ceil_rank(q)
+    stats = list(options.get("stats") or {})
     found = select_ranks(df, keys, value, ranks, levels, together=2, **options)
     between = [
         f"_b{i} + ((n - 1) * {float(q)!r}D - floor((n - 1) * {float(q)!r}D)) * (_t{i} - _b{i}) as q{i}"
         for i, q in enumerate(levels)
     ]
-    return found.selectExpr(*keys, "n", *between)
+    return found.selectExpr(*keys, "n", *stats, *between)
 
 
 def _floor_rank(q: float):
@@ -71,7 +72,7 @@ def restricted_quantiles(
     df: DataFrame, states: DataFrame, keys: list[str], value: str, levels: list[float], kind: str = "disc"
 ) -> DataFrame:
     """Quantiles of the listed states only; ``states`` is a top-N list, bounded by its N."""
-    wanted = attach_bounded(df, states.select(*keys), keys)
+    wanted = attach_bounded(df, cut(states.select(*keys)), keys)
     return conditional_quantiles(wanted, keys, value, levels, kind)
 
 
@@ -85,8 +86,7 @@ def wide_with_states(quantiles: DataFrame, states: DataFrame, keys: list[str], l
 
 def measure(df: DataFrame, keys: list[str], value: str, levels: list[float], **options) -> DataFrame:
     """Mean, count and interpolated quantiles per state."""
-    mean = complete_rows(df, value, keys).groupBy(*keys).agg(F.avg(value).alias("mean"))
-    return quantiles_wide(df, keys, value, levels, "cont", **options).join(mean, keys)
+    return quantiles_wide(df, keys, value, levels, "cont", stats={"mean": "avg(_v)"}, **options)
 
 
 def measure_states(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dwelltail.operators.ordered import scan_ordered
 from dwelltail.operators.ranks import select_ranks
-from dwelltail.session import BROADCAST_ROWS, attach
+from dwelltail.session import attach, cut
 
 #: Rows that one task numbers on its own.
 ROWS_PER_BUCKET = 500_000
@@ -30,38 +30,60 @@ def normal(seed: int, *parts: Column) -> Column:
     return radius * F.cos(F.lit(6.283185307179586) * uniform(seed, *parts, F.lit("a")))
 
 
-def dense_index(
-    df: DataFrame, order: str, keys: list[str] | None = None, rows_per_bucket: int = ROWS_PER_BUCKET
-) -> DataFrame:
-    """``idx`` = 0 .. n-1 within ``keys``, along (bucket, order); ``order`` is unique there.
+def _bucketed(df: DataFrame, order: str, keys: list[str], rows_per_bucket: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with their ``_bucket``, and per (keys, bucket) the ``_start`` of its positions.
 
     The bucket is the order value modulo a bucket count that follows the table size, so
     a large group is numbered by many tasks. One bucket means plain order.
     """
-    keys = keys or []
     buckets = max(1, -(-df.count() // rows_per_bucket))
     parted = df.withColumn("_bucket", F.pmod(F.col(order), F.lit(buckets)))
-    by = [*keys, "_bucket"]
-    sizes = parted.groupBy(*by).agg(F.count("*").alias("_size")).withColumn("_all", F.lit(0))
-    offsets = scan_ordered(sizes, [*keys, "_all"], ["_bucket"], sums={"_end": "_size"})
+    sizes = parted.groupBy(*keys, "_bucket").agg(F.count("*").alias("_size")).withColumn("_all", F.lit(0))
+    ends = scan_ordered(sizes, [*keys, "_all"], ["_bucket"], sums={"_end": "_size"})
+    return parted, ends.select(*keys, "_bucket", (F.col("_end") - F.col("_size")).alias("_start"))
+
+
+def dense_index(
+    df: DataFrame, order: str, keys: list[str] | None = None, rows_per_bucket: int = ROWS_PER_BUCKET
+) -> DataFrame:
+    """``idx`` = 0 .. n-1 within ``keys``, along (bucket, order); ``order`` is unique there."""
+    by = [*(keys or []), "_bucket"]
+    parted, starts = _bucketed(df, order, keys or [], rows_per_bucket)
     numbered = parted.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(order)))
-    placed = attach(numbered, offsets.select(*by, (F.col("_end") - F.col("_size")).alias("_start")), by)
+    placed = attach(numbered, starts, by)
     return placed.select(*df.columns, (F.col("_start") + F.col("_rn") - 1).alias("idx"))
 
 
 def bootstrap(
     df: DataFrame, order: str, n: int, replicas: int, seed: int = 1, rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:
-    """``replicas`` samples of n rows each, drawn with replacement from the whole table."""
-    indexed = dense_index(df, order, rows_per_bucket=rows_per_bucket)
+    """``replicas`` samples of n rows each, drawn with replacement from the whole table.
+
+    The drawn positions are traced to their buckets first; only rows of buckets that were hit
+    are shuffled and numbered.
+    """
+    parted, starts = _bucketed(df, order, [], rows_per_bucket)
     total = df.agg(F.count("*").alias("n")).scalar()
     draws = df.sparkSession.range(n * replicas).select(
         F.floor(F.col("id") / n).cast("int").alias("replica"), (F.col("id") % n).alias("draw")
     )
-    draws = draws.withColumn("idx", hashed(seed, F.col("replica"), F.col("draw")) % total)
-    if n * replicas <= BROADCAST_ROWS:
-        draws = F.broadcast(draws)
-    return indexed.join(draws, "idx").select("replica", "draw", *df.columns)
+    draws = draws.select(
+        F.lit(0).alias("_all"), (hashed(seed, F.col("replica"), F.col("draw")) % total).alias("_at"), "replica", "draw"
+    )
+    marks = starts.select(
+        F.lit(0).alias("_all"), F.col("_start").alias("_at"), F.lit(-1).alias("replica"),
+        F.lit(-1).cast("long").alias("draw"), F.struct("_bucket", "_start").alias("_mark"),
+    )
+    merged = marks.unionByName(draws, allowMissingColumns=True)
+    traced = scan_ordered(merged, ["_all"], ["_at", "replica", "draw"], last={"_in": "_mark"}).filter("draw >= 0")
+    located = cut(
+        traced.select("replica", "draw", "_in._bucket", (F.col("_at") - F.col("_in._start") + 1).alias("_rn"))
+    )
+    hit = attach(parted, located.select("_bucket").distinct(), ["_bucket"])
+    numbered = hit.withColumn(
+        "_rn", F.row_number().over(Window.partitionBy("_bucket").orderBy(order)).cast("long")
+    )
+    return attach(numbered, located, ["_bucket", "_rn"]).select("replica", "draw", *df.columns)
 
 
 def bootstrap_state(

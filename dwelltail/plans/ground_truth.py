@@ -24,6 +24,7 @@ from dwelltail.plans.registry import (
     rounded,
     scratch,
 )
+from dwelltail.session import cut
 from dwelltail.sources import derived, io
 from dwelltail.sources.schemas import DELAY_COLUMNS, STATE_COLUMNS, state_columns
 
@@ -286,7 +287,7 @@ def state_quantiles_join(spark, sf):
 def quantiles_wide(spark, sf):
     levels = [0.99, 0.999, 0.9999]
     data = derived.dataset(spark, sf, "bc")
-    top = states.top_states(data, BC_KEYS, 30)
+    top = cut(states.top_states(data, BC_KEYS, 30))
     long = quantiles.restricted_quantiles(data, top, BC_KEYS, "delay", levels)
     wide = quantiles.wide_with_states(long, top, BC_KEYS, levels)
     return wide.withColumn("prob", F.round("prob", 9))

@@ -15,9 +15,12 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows up to which a checked side is broadcast (narrow rows: a few dozen MB at most).
-BROADCAST_ROWS = 200_000
+#: Estimated bytes up to which a counted side is broadcast.
+BROADCAST_BYTES = 64 * 1024 * 1024
+#: Elements an array column is taken to have in that estimate.
+ARRAY_LENGTH = 64
 #: Copies of the small side when it is too large to broadcast.
 SALTS = 16
 
@@ -92,21 +95,34 @@ def salt_of(columns: list[str], salts: int = SALTS) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(salts)).cast("int")
 
 
+def row_bytes(data_type: T.DataType) -> int:
+    """Rough size of one value."""
+    if isinstance(data_type, T.StructType):
+        return sum(row_bytes(f.dataType) for f in data_type.fields)
+    if isinstance(data_type, T.ArrayType):
+        return ARRAY_LENGTH * row_bytes(data_type.elementType)
+    return 64 if isinstance(data_type, T.StringType) else 8
+
+
+def broadcast_fits(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    return row_count(df) * row_bytes(df.schema) <= limit
+
+
 def attach(
     rows: DataFrame,
     small: DataFrame,
     keys: list[str],
     how: str = "inner",
-    max_broadcast_rows: int = BROADCAST_ROWS,
+    max_broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Join a per-key table to record-sized ``rows``.
 
-    ``small`` is materialised and counted first. Within the bound it is broadcast and the
-    records are not shuffled; beyond it the records are spread over ``SALTS`` copies
+    ``small`` is materialised and counted first. Within the bound in bytes it is broadcast and
+    the records are not shuffled; beyond it the records are spread over ``SALTS`` copies
     of every key, so that one hot key does not end in one task.
     """
     small = cut(small)
-    if row_count(small) <= max_broadcast_rows:
+    if broadcast_fits(small, max_broadcast_bytes):
         return rows.join(F.broadcast(small), keys, how)
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     spread = rows.withColumn("_salt", salt_of(rows.columns))

@@ -152,6 +152,22 @@ def test_bootstrap_is_reproducible_and_whole(spark):
     assert first.exceptAll(again).count() == 0
 
 
+def test_bootstrap_draws_the_hashed_positions(spark):
+    """Many small buckets: every draw is the row at its position along (bucket, id)."""
+    df = spark.range(300).withColumn("v", F.col("id") * 2)
+    buckets = 30
+    along = sorted(range(300), key=lambda i: (i % buckets, i))
+    drawn = sampling.bootstrap(df, "id", 50, 2, seed=9, rows_per_bucket=10)
+    positions = {
+        (r["replica"], r["draw"]): r["p"]
+        for r in drawn.select("replica", "draw", (sampling.hashed(9, F.col("replica"), F.col("draw")) % 300).alias("p")).collect()
+    }
+    rows = drawn.collect()
+    assert len(rows) == 100
+    for r in rows:
+        assert r["id"] == along[positions[r["replica"], r["draw"]]]
+
+
 def test_caps_and_folds(spark):
     df = spark.range(1000).withColumn("s", F.when(F.col("id") < 700, 1).otherwise(2))
     capped = sampling.cap_per_value(df, "s", [1, 2], 50, "id")
@@ -175,7 +191,7 @@ def test_salted_join_equals_broadcast(spark):
     rows = spark.range(600).select((F.col("id") % 3).alias("k"), "id")
     small = spark.range(4).select(F.col("id").alias("k"), (F.col("id") * 10).alias("w"))
     for how in ("inner", "left"):
-        salted = attach(rows, small, ["k"], how, max_broadcast_rows=0).select("k", "id", "w")
+        salted = attach(rows, small, ["k"], how, max_broadcast_bytes=0).select("k", "id", "w")
         plain = rows.join(small, ["k"], how).select("k", "id", "w")
         assert salted.exceptAll(plain).count() == 0 and salted.count() == 600
 
