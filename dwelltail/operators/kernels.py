@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from dwelltail.functions.special import SQRT_2PI, normal_cdf, normal_pdf
 from dwelltail.operators.matching import _pairs_within, eps_neighbors, neighbor_weights, scales_of, support
+from dwelltail.operators.sampling import normal, uniform
 from dwelltail.session import attach, cut
 
 #: exp(-z^2 / 2) is zero in double precision beyond this many bandwidths.
@@ -379,3 +380,37 @@ def lscde_pdf(
         (mean * F.lit(stds[-1]) + F.lit(means[-1])).alias("mean"),
         (F.sqrt(spread) * F.lit(stds[-1])).alias("std"),
     )
+
+
+def lscde_sample(
+    queries: DataFrame,
+    df: DataFrame,
+    columns: list[str],
+    value: str,
+    centres: list[tuple],
+    alpha: list[float],
+    row_id: str,
+    bandwidth: float = 0.5,
+    seed: int = 1,
+) -> DataFrame:
+    """A draw of y for every query row: a centre by its weight at x, then normal noise around it."""
+    means, stds = scales_of(df, [*columns, value])
+    rows = queries.withColumns(
+        {f"_z{i}": (F.col(c) - F.lit(m)) / F.lit(s) for i, (c, m, s) in enumerate(zip(columns, means, stds))}
+    )
+    weights = {}
+    for j, (weight, centre) in enumerate(zip(alpha, centres)):
+        sq_x = _sum([(F.col(f"_z{i}") - F.lit(float(c))) ** 2 for i, c in enumerate(centre[:-1])])
+        weights[f"_k{j}"] = F.lit(weight) * F.exp(F.lit(-0.5 / bandwidth**2) * sq_x)
+    rows = rows.withColumns(weights)
+    total = _sum([F.col(name) for name in weights])
+    rows = rows.withColumn("_c", uniform(seed, F.col(row_id), F.lit("c")) * total)
+    reached, picked = F.lit(0.0), None
+    for j, centre in enumerate(centres[:-1]):
+        reached = reached + F.col(f"_k{j}")
+        hit, at = F.col("_c") < reached, F.lit(float(centre[-1]))
+        picked = F.when(hit, at) if picked is None else picked.when(hit, at)
+    last = F.lit(float(centres[-1][-1]))
+    middle = last if picked is None else picked.otherwise(last)
+    drawn = middle + F.lit(bandwidth) * normal(seed, F.col(row_id))
+    return rows.select(*queries.columns, (drawn * F.lit(stds[-1]) + F.lit(means[-1])).alias("sample"))

@@ -40,15 +40,18 @@ def tail_probability(df: DataFrame, keys: list[str], value: str, points: list[fl
 
 
 def tail_grid(
-    df: DataFrame, keys: list[str], value: str, points: int = GRID_POINTS, top: float = 0.99999
+    df: DataFrame,
+    keys: list[str],
+    value: str,
+    points: int = GRID_POINTS,
+    top: float = 0.99999,
+    to_maximum: bool = False,
 ) -> DataFrame:
-    """Per state ``points`` log-spaced values from ceil(p80) to ceil(p ``top``)."""
-    ends = quantiles_wide(df, keys, value, [0.8, top], "cont")
+    """Per state ``points`` log-spaced values from ceil(p80) to ceil(p ``top``), or to ceil(max + 1)."""
+    ends = quantiles_wide(df, keys, value, [0.8, top], "cont", stats={"_max": "max(_v)"})
+    end = F.ceil(F.col("_max") + 1) if to_maximum else F.ceil("q1")
     return ends.select(
-        *keys,
-        "n",
-        F.ceil("q0").cast("double").alias("lo"),
-        F.ceil("q1").cast("double").alias("hi"),
+        *keys, "n", F.ceil("q0").cast("double").alias("lo"), end.cast("double").alias("hi")
     ).select("*", _log_grid(points).alias("grid"))
 
 

@@ -523,6 +523,14 @@ def lscde_pdf(spark, sf):
     return rounded(kernels.lscde_pdf(rows, rows, ["x"], "y", chosen, alpha, LS_WIDTH))
 
 
+@query()
+def lscde_sample(spark, sf):
+    rows = derived.kernel_rows(spark, sf)
+    chosen = _normalised_centres(rows)
+    alpha = kernels.lscde_alpha(kernels.lscde_fit(rows, ["x"], "y", chosen, LS_WIDTH), chosen, LS_WIDTH, 0.1)
+    return rounded(kernels.lscde_sample(rows.select("id", "x"), rows, ["x"], "y", chosen, alpha, "id", LS_WIDTH))
+
+
 # --- centres ---
 
 

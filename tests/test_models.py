@@ -149,6 +149,8 @@ def test_hill_histogram_and_tail_edges(spark):
     curve = tails.tail_curve(df, grids, ["state"], "y", points=5).filter("state = 1").orderBy("j").collect()
     values = list(range(1, 21))
     assert [r["tail"] for r in curve] == [sum(v >= r["t"] for v in values) / 20 for r in curve]
+    longer = tails.tail_grid(df, ["state"], "y", points=5, to_maximum=True).filter("state = 1").first()
+    assert (longer["lo"], longer["hi"]) == (17.0, 21.0)
 
 
 def kernel_table(seed=4, n=240):
@@ -256,6 +258,11 @@ def test_least_squares_density_integrates_to_one(spark):
     grid = spark.createDataFrame([(2.0, -40.0 + 0.1 * i) for i in range(1000)], "x double, y double")
     mass = kernels.lscde_pdf(grid, df, ["x"], "y", chosen, alpha).agg(F.sum("pdf") * 0.1).first()[0]
     assert mass == pytest.approx(1.0, abs=1e-6)
+    many = spark.range(4000).select("id", F.lit(2.0).alias("x"))
+    drawn = kernels.lscde_sample(many, df, ["x"], "y", chosen, alpha, "id").agg(F.avg("sample"), F.stddev_pop("sample")).first()
+    at = spark.createDataFrame([(2.0, 12.0)], "x double, y double")
+    want = kernels.lscde_pdf(at, df, ["x"], "y", chosen, alpha).first()
+    assert tuple(drawn) == pytest.approx((want["mean"], want["std"]), rel=0.05)
 
 
 def test_centres(spark):
