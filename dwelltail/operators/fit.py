@@ -145,36 +145,59 @@ def fit_kernel_mixture(
     centres: list[float],
     iterations: int = 10,
     scales: tuple[float, ...] = (0.7, 0.3),
+    train_scales: bool = False,
 ) -> DataFrame:
     """Weights per state of normal kernels at given centres, with scales shared by all states.
 
-    Scales are shares of the overall standard deviation; only the weights are fitted. Output:
-    keys, n and the arrays w, mu, sigma of the mixture (centre-major order).
+    Scales start as shares of the overall standard deviation and stay, unless ``train_scales`` updates
+    them with the weights. Output: keys, n and the arrays w, mu, sigma (centre-major order).
     """
     rows = complete_rows(df.select(*keys, F.col(value).alias("_y")), "_y", keys)
     deviation = rows.agg(F.stddev_pop("_y")).first()[0]
-    kernels = [(c, s * deviation) for c in centres for s in scales]
-    k = len(kernels)
+    widths = [s * deviation for s in scales]
+    where = [(c, j) for c in centres for j in range(len(scales))]
+    k = len(where)
     params = rows.groupBy(*keys).agg(F.count("*").alias("n"))
     params = cut(params.select(*keys, "n", *[F.lit(1.0 / k).alias(f"_w{i}") for i in range(k)]))
-    dense = rows
-    for i, (mu, sigma) in enumerate(kernels):
-        dense = dense.withColumn(f"_k{i}", normal_pdf(F.col("_y"), F.lit(mu), F.lit(sigma)))
     for _ in range(iterations):
-        joined = attach(dense, params, keys)
-        joined = joined.withColumn("_d", _sum([F.col(f"_w{i}") * F.col(f"_k{i}") for i in range(k)]))
+        joined = attach(rows, params, keys)
+        terms = [F.col(f"_w{i}") * normal_pdf(F.col("_y"), F.lit(c), F.lit(widths[j])) for i, (c, j) in enumerate(where)]
+        joined = joined.select(*keys, "n", "_y", *[t.alias(f"_k{i}") for i, t in enumerate(terms)])
+        joined = joined.withColumn("_d", _sum([F.col(f"_k{i}") for i in range(k)]))
         share = [
-            F.when(F.col("_d") > 0, F.col(f"_w{i}") * F.col(f"_k{i}") / F.col("_d")).otherwise(F.lit(1.0 / k))
-            for i in range(k)
+            F.when(F.col("_d") > 0, F.col(f"_k{i}") / F.col("_d")).otherwise(F.lit(1.0 / k)) for i in range(k)
         ]
-        stepped = joined.groupBy(*keys).agg(
-            F.first("n").alias("n"), *[F.avg(share[i]).alias(f"_w{i}") for i in range(k)]
+        squares = []
+        if train_scales:
+            gaps = [F.col("_y") - F.lit(c) for c, _ in where]
+            squares = [F.sum(share[i] * gaps[i] * gaps[i]).alias(f"_q{i}") for i in range(k)]
+        stepped = cut(
+            joined.groupBy(*keys).agg(
+                F.first("n").alias("n"), *[F.avg(share[i]).alias(f"_w{i}") for i in range(k)], *squares
+            )
         )
-        params = cut(stepped)
+        if train_scales:
+            widths = _shared_widths(stepped, [j for _, j in where], widths)
+            stepped = cut(stepped.drop(*[f"_q{i}" for i in range(k)]))
+        params = stepped
     return params.select(
         *keys,
         "n",
         F.array(*[F.col(f"_w{i}") for i in range(k)]).alias("w"),
-        F.array(*[F.lit(float(mu)) for mu, _ in kernels]).alias("mu"),
-        F.array(*[F.lit(float(sigma)) for _, sigma in kernels]).alias("sigma"),
+        F.array(*[F.lit(float(c)) for c, _ in where]).alias("mu"),
+        F.array(*[F.lit(float(widths[j])) for _, j in where]).alias("sigma"),
     )
+
+
+def _shared_widths(stepped: DataFrame, scale_of: list[int], widths: list[float]) -> list[float]:
+    """Deviation around the centres per shared scale, over all states (one row of sums)."""
+    sums = []
+    for j in range(len(widths)):
+        own = [i for i, s in enumerate(scale_of) if s == j]
+        sums.append(F.sum(_sum([F.col(f"_q{i}") for i in own])).alias(f"q{j}"))
+        sums.append(F.sum(F.col("n") * _sum([F.col(f"_w{i}") for i in own])).alias(f"m{j}"))
+    row = stepped.agg(*sums).first()
+    return [
+        (row[f"q{j}"] / row[f"m{j}"]) ** 0.5 if row[f"m{j}"] > 0 and row[f"q{j}"] > 0 else old
+        for j, old in enumerate(widths)
+    ]

@@ -11,7 +11,6 @@ from dwelltail.plans.registry import (
     BD,
     BU,
     CURVE,
-    EV,
     KERN,
     LOGS,
     RECORDS,

@@ -117,6 +117,15 @@ def test_mixture_fit_recovers_components(spark):
     assert found[7]["status"] == "few_rows" and found[7]["w"] is None
 
 
+def test_kernel_mixture_trains_shared_scales(spark):
+    rng = np.random.default_rng(12)
+    rows = [(s, float(rng.normal(0.0 if rng.random() < p else 50.0, 3.0))) for s, p in ((0, 0.2), (1, 0.7)) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "state int, y double")
+    found = {r["state"]: r for r in fit.fit_kernel_mixture(df, ["state"], "y", [0.0, 50.0], 6, (0.7,), True).collect()}
+    assert found[0]["sigma"] == pytest.approx([3.0, 3.0], abs=0.15)
+    assert (found[0]["w"][0], found[1]["w"][0]) == pytest.approx((0.2, 0.7), abs=0.03)
+
+
 def test_pareto_fits_recover_shape(spark):
     rng = np.random.default_rng(2)
     values = 3.0 / 0.2 * ((1 - rng.random(40000)) ** -0.2 - 1)
