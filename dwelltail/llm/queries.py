@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dwelltail.llm import mixing
+from dwelltail.llm import mixing, quality_ledger
 from dwelltail.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,3 +22,13 @@ def query(function):
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op2_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = quality_ledger.ledger(table(spark, sf_dir, "documents"), ["doc_id"])
+    base_ok = quality_ledger.passes(quality_ledger.POLICIES["base"])
+    return entries.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~base_ok).alias("base_failed"),
+        (base_ok & quality_ledger.passes(quality_ledger.POLICIES["v1"])).alias("kept"), "failed",
+    )
