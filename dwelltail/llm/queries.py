@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dwelltail.llm import mixing, quality_ledger
+from dwelltail.llm import mixing, multiset_hash, quality_ledger
 from dwelltail.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,3 +32,8 @@ def op2_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~base_ok).alias("base_failed"),
         (base_ok & quality_ledger.passes(quality_ledger.POLICIES["v1"])).alias("kept"), "failed",
     )
+
+
+@query
+def op3_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset_hash.compare_edited(table(spark, sf_dir, "documents"))
