@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from dwelltail.llm import mixing, multiset_hash, quality_ledger
+from dwelltail.llm import langid, mixing, multiset_hash, quality_ledger
 from dwelltail.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +38,11 @@ def op2_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset_hash.compare_edited(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.filter(~langid.held_out(F.col("doc_id"))))
+    named = langid.predict(docs.select("doc_id", "text"), model)
+    return named.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
