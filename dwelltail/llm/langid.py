@@ -51,26 +51,29 @@ def gram_counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.nda
     """(document, feature, count) of the n-grams of a block, and per document whether it has a letter."""
     lowered = [f" {(t or '').lower()} ".encode("utf-32-le", "surrogatepass") for t in texts]
     codes = np.frombuffer(b"".join(lowered), np.uint32)
-    owner = np.repeat(np.arange(len(texts)), [len(t) // 4 for t in lowered])
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) // 4 for t in lowered])
     letter = _letters()[codes]
     has_letter = np.bincount(owner[letter], minlength=len(texts)) > 0
-    keep = letter | np.r_[True, letter[:-1] | (owner[1:] != owner[:-1])]
-    symbol = np.where(letter, codes, 32)[keep].astype(np.uint64)
-    owner = owner[keep]
-    found = np.zeros(len(texts) * BUCKETS, np.int32)
-    rolled = np.zeros(len(symbol), np.uint64)
+    keep = letter.copy()  # of a run of other symbols the first stays, as a space
+    keep[:1] = True
+    keep[1:] |= letter[:-1]
+    keep[1:] |= owner[1:] != owner[:-1]
+    symbol = codes.copy()
+    symbol[~letter] = 32
+    symbol, owner = symbol[keep], owner[keep]
+    first_cell = owner.astype(np.int64) * BUCKETS
+    cells = []
+    rolled = np.zeros(len(symbol), np.uint32)
     for size in range(1, max(SIZES) + 1):
-        if len(symbol) < size:
-            break
-        rolled = rolled[: len(symbol) - size + 1] * np.uint64(0x100000001B3) + symbol[size - 1 :]
+        rolled = rolled[: len(symbol) - size + 1] * np.uint32(0x01000193) + symbol[size - 1 :]
         if size in SIZES:
-            inside = owner[: len(rolled)] == owner[size - 1 :]
-            mixed = (rolled + np.uint64(size)) * np.uint64(0x9E3779B97F4A7C15)
-            mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            feature = (mixed >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-            np.add.at(found, (owner[: len(rolled)] * BUCKETS + feature)[inside], 1)
-    cells = np.flatnonzero(found)
-    return cells >> BUCKET_BITS, cells & (BUCKETS - 1), found[cells], has_letter
+            mixed = (rolled + np.uint32(size)) * np.uint32(0x9E3779B1)
+            mixed = (mixed ^ (mixed >> np.uint32(15))) * np.uint32(0x85EBCA6B)
+            cell = first_cell[: len(rolled)] + (mixed >> np.uint32(32 - BUCKET_BITS))
+            cells.append(cell[owner[: len(rolled)] == owner[size - 1 :]])
+    found = np.bincount(np.concatenate(cells), minlength=len(texts) * BUCKETS)
+    filled = np.flatnonzero(found)
+    return filled >> BUCKET_BITS, filled & (BUCKETS - 1), found[filled], has_letter
 
 
 def tfidf(document, feature, count, idf, n) -> np.ndarray:
