@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dwelltail.llm import langid, mixing, multiset_hash, quality_ledger
+from dwelltail.llm import langid, mixing, multiset_hash, piece_viterbi, quality_ledger
 from dwelltail.llm.common import table
 
+#: Vocabulary of the encoding query; another file can be named in the environment.
+PIECE_MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -46,3 +50,13 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.train(docs.filter(~langid.held_out(F.col("doc_id"))))
     named = langid.predict(docs.select("doc_id", "text"), model)
     return named.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op9_piece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, and whether they decode to it."""
+    pieces = piece_viterbi.load_pieces(PIECE_MODEL, ranked=True)
+    coded = piece_viterbi.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces)
+    back = piece_viterbi.decode(coded, pieces)
+    exact = F.coalesce(F.col("text"), F.lit("")) == F.col("decoded")
+    return back.select("doc_id", "n_tokens", "ids", exact.alias("round_trip"))
