@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dwelltail.llm import langid, mixing, multiset_hash, piece_viterbi, quality_ledger
+from dwelltail.llm import langid, mixing, multiset_hash, page_template, piece_viterbi, quality_ledger
 from dwelltail.llm.common import table
 
 #: Vocabulary of the encoding query; another file can be named in the environment.
@@ -60,3 +60,9 @@ def op9_piece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = piece_viterbi.decode(coded, pieces)
     exact = F.coalesce(F.col("text"), F.lit("")) == F.col("decoded")
     return back.select("doc_id", "n_tokens", "ids", exact.alias("round_trip"))
+
+
+@query
+def op1_page_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return page_template.extract(pages)
