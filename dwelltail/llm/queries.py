@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dwelltail.llm import langid, mixing, multiset_hash, page_template, piece_viterbi, quality_ledger
+from dwelltail.llm import langid, license_index, mixing, multiset_hash, page_template, piece_viterbi, quality_ledger
 from dwelltail.llm.common import table
 
 #: Vocabulary of the encoding query; another file can be named in the environment.
@@ -66,3 +66,9 @@ def op9_piece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_page_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return page_template.extract(pages)
+
+
+@query
+def op5_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return license_index.scan(docs, license_index.word_weights(docs)).drop("text")
