@@ -8,7 +8,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dwelltail.llm import langid, license_index, mixing, multiset_hash, page_template, piece_viterbi, quality_ledger
+from dwelltail.llm import (
+    langid,
+    license_index,
+    mixing,
+    multiset_hash,
+    page_template,
+    piece_viterbi,
+    quality_ledger,
+    secret_forest,
+)
 from dwelltail.llm.common import table
 
 #: Vocabulary of the encoding query; another file can be named in the environment.
@@ -72,3 +81,14 @@ def op1_page_template(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return license_index.scan(docs, license_index.word_weights(docs)).drop("text")
+
+
+@query
+def op4_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate with its place, kind, hash and score, and whether it is a secret."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    found = secret_forest.scan(docs, secret_forest.learn(docs)).select("doc_id", F.explode("findings").alias("f"))
+    return found.select(
+        "doc_id", "f.place", "f.kind", F.sha2("f.value", 256).alias("value_sha256"), F.round("f.score", 6).alias("score"),
+        (F.col("f.score") >= secret_forest.THRESHOLD).alias("is_secret"),
+    )
