@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dwelltail.llm import (
+    chosen_path,
     langid,
     license_index,
     mixing,
@@ -92,3 +93,8 @@ def op4_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "f.place", "f.kind", F.sha2("f.value", 256).alias("value_sha256"), F.round("f.score", 6).alias("score"),
         (F.col("f.score") >= secret_forest.THRESHOLD).alias("is_secret"),
     )
+
+
+@query
+def op7_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.join(table(spark, sf_dir, "documents"))
