@@ -31,10 +31,10 @@ from dwelltail.llm.common import text_blocks, without
 
 MARK = "▁"
 #: Words whose segmentation a task remembers; beyond, it starts afresh.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 #: Score below the worst piece for a character that is spelled in bytes.
 BYTE_PENALTY = 10.0
-_BLOCK = 4 << 20
+_BLOCK = 1 << 20
 _WORD = re.compile(r" *[^ \n]+| +|\n+")
 
 
@@ -141,15 +141,17 @@ def marked_words(text: str | None) -> list[str]:
     return _WORD.findall(f" {text}") if text else []
 
 
-def encode(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
-    """``docs`` with ``ids`` and their number ``n_tokens``."""
-    kept = without(docs, ("ids", "n_tokens"))
+def encode(docs: DataFrame, pieces: Pieces, text: str = "text", verify: bool = False) -> DataFrame:
+    """``docs`` with ``ids`` and their number ``n_tokens``; with ``verify`` also ``round_trip``, whether the ids spell the text."""
+    added = ("ids", "n_tokens", "round_trip") if verify else ("ids", "n_tokens")
+    kept = without(docs, added)
     rows = docs.select(*kept, F.col(text).alias("_text"))
 
     def encoded(batches):
-        search, known = SharedPrefixViterbi(pieces), {}
+        search, known, table = SharedPrefixViterbi(pieces), {}, decode_table(pieces)
         for block in text_blocks(batches, "_text", _BLOCK):
-            words = [marked_words(t) for t in block.column("_text").to_pylist()]
+            texts = block.column("_text").to_pylist()
+            words = [marked_words(t) for t in texts]
             fresh = set(chain.from_iterable(words)).difference(known)
             if len(known) + len(fresh) > REMEMBERED:
                 known, fresh = {}, set(chain.from_iterable(words))
@@ -161,13 +163,19 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
             ends = np.cumsum([0, *map(len, words)])
             ids = np.fromiter(chain.from_iterable(found), np.int32, int(lengths[-1]))
             offsets = lengths[ends].astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [block.column(c) for c in kept] + [pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)), pa.array(np.diff(offsets).astype(np.int64))],
-                names=[*kept, "ids", "n_tokens"],
-            )
+            columns = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)), pa.array(np.diff(offsets).astype(np.int64))]
+            if verify:
+                columns.append(pa.array([(t or "") == spelled for t, spelled in zip(texts, spellings(ids, offsets, table))]))
+            yield pa.RecordBatch.from_arrays([block.column(c) for c in kept] + columns, names=[*kept, *added])
 
-    schema = docs.select(*kept, F.array(F.lit(0)).alias("ids"), F.lit(0).cast("long").alias("n_tokens")).schema
-    return rows.mapInArrow(encoded, schema)
+    types = {"ids": F.array(F.lit(0)), "n_tokens": F.lit(0).cast("long"), "round_trip": F.lit(True)}
+    return rows.mapInArrow(encoded, docs.select(*kept, *[types[c].alias(c) for c in added]).schema)
+
+
+def spellings(ids: np.ndarray, offsets: np.ndarray, table: list[bytes]):
+    """The texts that the stretches of ids spell, without the space put before the first word."""
+    for start, end in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        yield b"".join(map(table.__getitem__, ids[start:end].tolist())).decode("utf-8", "replace")[1:]
 
 
 def decode_table(pieces: Pieces) -> list[bytes]:
@@ -186,11 +194,8 @@ def decode(coded: DataFrame, pieces: Pieces, ids: str = "ids", into: str = "deco
         table = decode_table(pieces)
         for batch in batches:
             column = batch.column(ids)
-            numbers, offsets = column.values.to_numpy(zero_copy_only=False).tolist(), column.offsets.to_pylist()
-            texts = [
-                b"".join(map(table.__getitem__, numbers[a:b])).decode("utf-8", "replace")[1:]
-                for a, b in zip(offsets[:-1], offsets[1:])
-            ]
+            numbers, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+            texts = list(spellings(numbers, offsets, table))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(texts, pa.string())], names=[*kept, into])
 
     return rows.mapInArrow(decoded, coded.select(*kept, F.lit("").alias(into)).schema)
