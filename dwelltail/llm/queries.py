@@ -12,6 +12,7 @@ from dwelltail.llm import (
     chosen_path,
     langid,
     license_index,
+    lyndon_suffix,
     mixing,
     multiset_hash,
     page_template,
@@ -96,3 +97,8 @@ def op4_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.join(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_lyndon_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lyndon_suffix.dedup(table(spark, sf_dir, "documents"))
