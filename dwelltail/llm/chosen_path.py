@@ -41,7 +41,7 @@ LEAF = 256
 #: Equal min-hashes (of ``TOKENS``) that make a candidate; a pair at the threshold has 51 of them on average.
 LEAST_EQUAL = 38
 #: Shingles of a verification block.
-BLOCK_SHINGLES = 200_000
+BLOCK_SHINGLES = 100_000
 
 _SEED = np.random.default_rng(7)
 _FACTORS = _SEED.integers(1, 2**63, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -210,7 +210,10 @@ def candidate_edges(nodes: DataFrame) -> DataFrame:
         placed = sized.select("node", "sketch", "path", F.col("_n").isNotNull().alias("large"), blocks.cast("long").alias("block"))
         dealt = placed.repartition("path", "block").sortWithinPartitions("path", "block", "node")
         found = cut(dealt.mapInArrow(_compared, "node long, other long, path long, sketch binary"))
-        linked = found.filter("sketch is null and node <> other").select("node", "other")
+        # A node meets a bounded number of smaller nodes; linking those with the smallest of them leaves one edge per node.
+        met = found.filter("sketch is null and node <> other").groupBy("node").agg(F.array_sort(F.collect_set("other")).alias("_met"))
+        least = F.array_min("_met")
+        linked = met.select(F.explode(F.array_union(F.array("node"), F.slice("_met", 2, F.size("_met")))).alias("node"), least.alias("other")).distinct()
         edges = linked if edges is None else edges.unionByName(linked)
         rows = found.filter("sketch is not null").select("node", "sketch", "path")
         if rows.isEmpty():
