@@ -223,5 +223,5 @@ def redact(docs: DataFrame, forest: Forest, text: str = "text", path: str = "sou
         elif name == size:
             columns.append(F.when(F.size("_secrets") > 0, F.length("_clean")).otherwise(F.col(size)).cast(docs.schema[size].dataType).alias(size))
         else:
-            columns.append(F.col(f"_in_{name}" if name.lower() == "findings" else name))
+            columns.append(F.col(f"_in_{name}" if name.lower() == "findings" else name).alias(name))
     return changed.select(*columns)
