@@ -1,22 +1,26 @@
 """Running sums and neighbour carries along an order, for runs of any length.
 
-A window over a whole run would put that run into one task. Here a short table is
-served by that plain window, chosen after its rows were counted; a long one is split by range into blocks, each
-block is scanned on its own, and what earlier (or later) blocks contribute is
-a small per-block table joined back.
+A window over a whole run would put that run into one task. Here the table is split by range
+into blocks, each block is scanned on its own, and what earlier (or later) blocks contribute
+is a small per-block table joined back. The number of blocks follows the row count, one included; rows and results
+do not depend on it.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dwelltail.session import attach, cut, row_count
 
-#: Total rows up to which plain windows per key are used.
-PLAIN_ROWS = 2_000_000
-ROWS_PER_BLOCK = 1_000_000
-MAX_BLOCKS = 20_000
+#: Rows of a block of a table with one block; blocks grow in number and in size with the square root of the table.
+BLOCK_ROWS = 20_000
+
+
+def block_count(total: int) -> int:
+    return max(1, math.isqrt(total // BLOCK_ROWS))
 
 
 def scan_ordered(
@@ -27,8 +31,7 @@ def scan_ordered(
     last: dict[str, str] | None = None,
     following: dict[str, str] | None = None,
     previous: dict[str, str] | None = None,
-    plain_rows: int = PLAIN_ROWS,
-    rows_per_block: int = ROWS_PER_BLOCK,
+    blocks: int | None = None,
 ) -> DataFrame:
     """Add columns computed along ``order`` within ``keys``; (keys, order) must be unique.
 
@@ -36,15 +39,16 @@ def scan_ordered(
     ``last``       out -> column: last non-NULL value at or before the row;
     ``following``  out -> column: first non-NULL value at or after the row;
     ``previous``   out -> column: last non-NULL value strictly before the row.
+
+    ``blocks`` sets their number; by default it follows from the rows of ``df``, which are counted unless
+    the table was stored. Only a table of several blocks is stored here.
     """
     sums, last = sums or {}, last or {}
     following, previous = following or {}, previous or {}
-    df = cut(df)
-    total = row_count(df)
-    if total <= plain_rows:
+    blocks = block_count(row_count(df)) if blocks is None else blocks
+    if blocks == 1:  # no other block contributes
         return _scan(df, keys, order, sums, last, following, previous)
 
-    blocks = min(MAX_BLOCKS, max(2, -(-total // rows_per_block)))
     # The block ids come from a sampled range partitioning, so they are stored before they
     # are used twice: a second evaluation could choose other bounds.
     ranged = cut(

@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dwelltail.operators.ordered import PLAIN_ROWS, scan_ordered
+from dwelltail.operators.ordered import scan_ordered
 from dwelltail.session import attach, complete_rows, cut
 
 ACCURACY = 10_000
@@ -37,7 +37,7 @@ def select_ranks(
     levels: list[float] | None = None,
     accuracy: int = ACCURACY,
     slack: float = 4.0,
-    plain_rows: int = PLAIN_ROWS,
+    blocks: int | None = None,
     together: int = 1,
     stats: dict[str, str] | None = None,
 ) -> DataFrame:
@@ -74,12 +74,12 @@ def select_ranks(
         ends.append(f"get(_g, size(filter(_p, p -> p < {high}))) as _hi{g}")
     brackets = cut(ranked.selectExpr(*by, "n", *stats, *wanted, *ends))
     missed = " or ".join(f"(_r{i} is not null and _a{i} is null)" for i in range(len(names)))
-    found = _count_within(rows, brackets, by, len(names), len(groups), plain_rows, list(stats))
+    found = _count_within(rows, brackets, by, len(names), len(groups), blocks, list(stats))
     found = cut(found, measure=F.count(F.expr(f"if({missed}, 1, null)")))
     if found._measured:
         opened = brackets.join(found.filter(missed).select(*by), by, "left_semi")
         opened = opened.withColumns({f"_{e}{g}": F.lit(None) for g in range(len(groups)) for e in ("lo", "hi")})
-        second = _count_within(rows, cut(opened), by, len(names), len(groups), plain_rows, list(stats))
+        second = _count_within(rows, cut(opened), by, len(names), len(groups), blocks, list(stats))
         found = found.filter(f"not ({missed})").unionByName(second)
     return found.select(*keys, "n", *stats, *[F.col(f"_a{i}").alias(name) for i, name in enumerate(names)])
 
@@ -90,7 +90,7 @@ def _count_within(
     by: list[str],
     wanted: int,
     groups: int,
-    plain_rows: int,
+    blocks: int | None,
     carried: list[str] | None = None,
 ) -> DataFrame:
     """Exact values of the bracketed ranks; NULL where a bracket does not hold its rank."""
@@ -105,7 +105,7 @@ def _count_within(
         .agg(F.count("*").alias("_c"))
         .selectExpr("*", "cast(_v is null as int) as _open")
     )
-    running = scan_ordered(counted, by, ["_cell", "_open", "_v"], sums={"_cum": "_c"}, plain_rows=plain_rows)
+    running = scan_ordered(cut(counted), by, ["_cell", "_open", "_v"], sums={"_cum": "_c"}, blocks=blocks)
     ranks = [f"first(_r{i}) as _r{i}" for i in range(wanted)]
     kept = [f"first({name}) as {name}" for name in ("n", *(carried or []))]
     hits = [f"max(if(_cum >= _r{i} and _cum - _c < _r{i}, _v, null)) as _a{i}" for i in range(wanted)]

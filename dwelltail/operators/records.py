@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from dwelltail.operators.ordered import scan_ordered
 from dwelltail.operators.ranks import select_ranks
+from dwelltail.operators.sampling import first_along
 from dwelltail.session import attach
 from dwelltail.sources.schemas import DELAY_COLUMNS, SNAPSHOTS, STATE_COLUMNS
 
@@ -83,7 +84,7 @@ def sort_records(records: DataFrame) -> DataFrame:
 
 def first_rows(records: DataFrame, n: int) -> DataFrame:
     """The first n rows in (run, packet) order."""
-    return records.orderBy("run_id", "id").limit(n)
+    return first_along(records, ["run_id", "id"], n)
 
 
 def row_range(records: DataFrame, lo: int, hi: int, order: str = "id") -> DataFrame:

@@ -99,8 +99,9 @@ RECORDS = (
   h2_downlink::double as h2_downlink_netstate, h3_downlink::double as h3_downlink_netstate
   from logs join snaps using (run_id, id))"""
 )
-CURVE = """slots as (select r.run_id, s.slot from (select distinct (user_id % 2)::int as run_id from events) r,
-  (select unnest(range(0, 720))::int as slot) s),
+CURVE = """hours as (select floor(date_diff('second', timestamp '2024-01-01', ts) / 3600)::int as hour from events),
+ slots as (select r.run_id, s.slot from (select distinct (user_id % 2)::int as run_id from events) r,
+  (select unnest(range(min(hour), max(hour) + 1))::int as slot from hours) s),
  hourly as (select (user_id % 2)::int as run_id,
   floor(date_diff('second', timestamp '2024-01-01', ts) / 3600)::int as slot,
   sum(case when event_type in ('click','view') then value else 0 end) as arrived,

@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dwelltail.session import cut
+
 _EPOCH = "timestamp_ntz'2024-01-01 00:00:00'"
-HOURS = 720
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,15 +85,13 @@ def curve_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(arriving, F.col("value")).otherwise(0.0).alias("arrived"),
             F.when(leaving, F.col("value")).otherwise(0.0).alias("departed"),
         )
-        .filter(F.col("slot").between(0, HOURS - 1))
         .groupBy("run_id", "slot")
         .agg(F.sum("arrived").alias("arrived"), F.sum("departed").alias("departed"))
     )
-    slots = (
-        hourly.select("run_id")
-        .distinct()
-        .select("run_id", F.explode(F.sequence(F.lit(0), F.lit(HOURS - 1))).alias("slot"))
-    )
+    hourly = cut(hourly)
+    ends = hourly.agg(F.min("slot").alias("first"), F.max("slot").alias("last")).first()
+    hours = F.sequence(F.lit(ends["first"] or 0), F.lit(ends["last"] or 0))
+    slots = hourly.select("run_id").distinct().select("run_id", F.explode(hours).alias("slot"))
     return slots.join(hourly, ["run_id", "slot"], "left").na.fill(0.0, ["arrived", "departed"])
 
 

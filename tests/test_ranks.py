@@ -31,7 +31,7 @@ def expected(rows, q):
 
 @pytest.mark.parametrize("seed", [1, 2])
 @pytest.mark.parametrize(
-    "options", [{}, {"plain_rows": 0}, {"accuracy": 20}, {"accuracy": 20, "slack": 0.0}]
+    "options", [{}, {"blocks": 3}, {"accuracy": 20}, {"accuracy": 20, "slack": 0.0}]
 )
 def test_disc_quantiles_equal_sorting(spark, seed, options):
     rows = skewed(seed)

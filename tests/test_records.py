@@ -9,7 +9,7 @@ from dwelltail.operators.ordered import scan_ordered
 from dwelltail.session import attach, incomplete_count
 from dwelltail.sources import derived, io
 
-BLOCKS = {"plain_rows": 0, "rows_per_block": 40}
+BLOCKS = {"blocks": 25}
 
 
 def make_logs(seed, n=120):
@@ -67,7 +67,7 @@ def test_record_identities(spark, small):
     assert off.count() == 0
 
 
-@pytest.mark.parametrize("options", [{}, {"plain_rows": 0, "rows_per_block": 7}])
+@pytest.mark.parametrize("options", [{}, {"blocks": 1}, {"blocks": 17}])
 def test_scan_in_blocks_equals_loop(spark, options):
     rng = np.random.default_rng(8)
     rows = [(int(k), i, float(rng.integers(0, 9)), None if rng.random() < 0.6 else float(i)) for k in (0, 1) for i in range(60)]
@@ -99,7 +99,7 @@ def brute_virtual(a, d, strict=False):
 
 
 @pytest.mark.parametrize("strict", [False, True])
-@pytest.mark.parametrize("options", [{}, {"plain_rows": 0, "rows_per_block": 30}])
+@pytest.mark.parametrize("options", [{}, {"blocks": 6}])
 def test_virtual_delay_equals_loop(spark, options, strict):
     rng = np.random.default_rng(11)
     rows, want = [], {}
@@ -134,30 +134,60 @@ def test_neighbours_equal_all_pairs(spark):
             assert max(r["dist"] for r in got) == pytest.approx(np.sort(dist)[4])
 
 
-@pytest.mark.parametrize("rows_per_bucket", [10, 10_000])
-def test_dense_index_numbers_every_row_once(spark, rows_per_bucket):
-    df = spark.range(100).select(F.col("id"), (F.col("id") % 3 == 0).cast("int").alias("g"))
+@pytest.mark.parametrize("rows_per_block", [7, 10_000, None])
+def test_dense_index_counts_along_the_order(spark, rows_per_block):
+    df = spark.range(100).select(F.col("id"), (F.col("id") % 3 == 0).cast("int").alias("g")).repartition(4)
     for keys in ([], ["g"]):
-        rows = sampling.dense_index(df, "id", keys, rows_per_bucket).collect()
+        rows = sampling.dense_index(df, "id", keys, rows_per_block).collect()
         for g in {r["g"] for r in rows} if keys else {None}:
-            own = sorted(r["idx"] for r in rows if g is None or r["g"] == g)
-            assert own == list(range(len(own)))
+            own = sorted((r["id"], r["idx"]) for r in rows if g is None or r["g"] == g)
+            assert [i for _, i in own] == list(range(len(own)))
+
+
+@pytest.mark.parametrize("n", [0, 1, 40, 99, 100, 101])
+def test_first_rows(spark, n):
+    df = spark.range(100).select((F.col("id") % 3).alias("run_id"), F.col("id")).repartition(4)
+    ordered = sorted((i % 3, i) for i in range(100))
+    assert sorted(map(tuple, records.first_rows(df, n).collect())) == ordered[:n]
+    assert sorted(r["id"] for r in sampling.first_along(df, ["id"], n).collect()) == list(range(min(n, 100)))
+
+
+def test_constant_column_has_no_score(spark):
+    assert [r["v"] for r in sampling.zscore(spark.createDataFrame([(1.0,), (1.0,)], "v double"), ["v"]).collect()] == [None, None]
 
 
 def test_bootstrap_is_reproducible_and_whole(spark):
     df = spark.range(500).withColumn("v", F.col("id") * 2)
-    first = sampling.bootstrap(df, "id", 400, 3, seed=4, rows_per_bucket=50)
+    first = sampling.bootstrap(df, "id", 400, 3, seed=4, rows_per_block=50)
     assert first.count() == 1200
-    again = sampling.bootstrap(df.repartition(7), "id", 400, 3, seed=4, rows_per_bucket=50)
+    again = sampling.bootstrap(df.repartition(7), "id", 400, 3, seed=4)
     assert first.exceptAll(again).count() == 0
+    assert sampling.bootstrap(df.limit(0), "id", 4, 2).count() == 0
+
+
+@pytest.mark.parametrize("rows_per_block", [1, 7, 60])
+def test_draws_do_not_depend_on_the_blocks(spark, rows_per_block):
+    """Registered draws against their SQL positions: row number along the id, whatever the block size."""
+    df = spark.range(0, 120, 2).withColumn("g", (F.col("id") % 3).cast("int"))
+    ids = [r["id"] for r in df.collect()]
+    drawn = sampling.bootstrap(df, "id", 30, 2, seed=5, rows_per_block=rows_per_block).collect()
+    hashes = {
+        (r["r"], r["d"]): r["h"] for r in spark.range(60).select(
+            F.floor(F.col("id") / 30).alias("r"), (F.col("id") % 30).alias("d"),
+            sampling.hashed(5, F.floor(F.col("id") / 30).cast("int"), F.col("id") % 30).alias("h"),
+        ).collect()
+    }
+    assert {(r["replica"], r["draw"]): r["id"] for r in drawn} == {k: ids[h % 60] for k, h in hashes.items()}
+    per_state = sampling.bootstrap_state(df, "id", ["g"], seed=3, rows_per_block=rows_per_block).select("g", "draw", "id")
+    plain = sampling.bootstrap_state(df, "id", ["g"], seed=3).select("g", "draw", "id")
+    assert sorted(map(tuple, per_state.collect())) == sorted(map(tuple, plain.collect()))
 
 
 def test_bootstrap_draws_the_hashed_positions(spark):
-    """Many small buckets: every draw is the row at its position along (bucket, id)."""
+    """Many small blocks: every draw is the row at its position along the id."""
     df = spark.range(300).withColumn("v", F.col("id") * 2)
-    buckets = 30
-    along = sorted(range(300), key=lambda i: (i % buckets, i))
-    drawn = sampling.bootstrap(df, "id", 50, 2, seed=9, rows_per_bucket=10)
+    along = list(range(300))
+    drawn = sampling.bootstrap(df, "id", 50, 2, seed=9, rows_per_block=10)
     positions = {
         (r["replica"], r["draw"]): r["p"]
         for r in drawn.select("replica", "draw", (sampling.hashed(9, F.col("replica"), F.col("draw")) % 300).alias("p")).collect()
