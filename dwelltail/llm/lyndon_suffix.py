@@ -39,7 +39,7 @@ SIDE = (LENGTH - CORE) // 2
 #: Letters of a string once the shared part is one letter.
 LETTERS = LENGTH - CORE - SIDE + 1
 #: Bytes of text whose pieces one task sorts, on average.
-BUCKET_BYTES = 48 << 20
+BUCKET_BYTES = 20 << 20
 #: Letters of a suffix array at least; one group of surroundings is never cut.
 ARRAY_LETTERS = 60_000
 _BLOCK = 2 << 20
@@ -110,7 +110,7 @@ def from6(raw: bytes) -> np.ndarray:
     return wide.view("<u8").reshape(-1)
 
 
-PACKED = "bucket int, owners binary, counts binary, minimisers binary, pieces binary, starts binary, small binary"
+PACKED = "bucket int, owners binary, keys binary, counts binary, minimisers binary, pieces binary, starts binary, small binary"
 
 
 def _packed(buckets: int):
@@ -141,82 +141,90 @@ def _packed(buckets: int):
             bucket[settled] = -1
             dealt = np.argsort(bucket, kind="stable")
             edges = np.r_[0, np.flatnonzero(np.diff(bucket[dealt])) + 1, len(dealt)]
-            columns = [[] for _ in range(7)]
+            columns = [[] for _ in range(8)]
             for a, b in zip(edges[:-1], edges[1:]):
                 rows = dealt[a:b]
                 number = int(bucket[rows[0]])
                 owner, count = np.unique(document[rows], return_counts=True)
                 done = number < 0
                 for column, value in zip(columns, (
-                    int(keys[0] % buckets) if done else number, np.stack([ids[owner], keys[owner]], 1).tobytes(), count.astype(np.uint32).tobytes(),
+                    int(keys[0] % buckets) if done else number, np.diff(ids[owner], prepend=0).tobytes(), keys[owner].tobytes(), count.astype(np.uint32).tobytes(),
                     None if done else low6(minimiser[rows] & _LOW48), None if done else low6(piece[rows] & _LOW48),
                     start[rows].tobytes(), small[rows].tobytes(),
                 )):
                     column.append(value)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(columns[0], pa.int32())] + [pa.array(c, pa.binary()) for c in columns[1:]],
-                names=["bucket", "owners", "counts", "minimisers", "pieces", "starts", "small"],
+                names=["bucket", "owners", "keys", "counts", "minimisers", "pieces", "starts", "small"],
             )
 
     return pack
 
 
-def by_owner(owner_key: np.ndarray, ids: np.ndarray, parts: list[np.ndarray], kind: int):
-    """Rows (_key, _order, kind, spans): the values of each owner packed one after the other."""
-    order = np.argsort(owner_key, kind="stable")
-    key, ids = owner_key[order], ids[order]
+def by_owner(owner: np.ndarray, keys: np.ndarray, ids: np.ndarray, parts: list[np.ndarray], kind: int):
+    """Rows (_key, _order, kind, spans): the values of each owner (a place in keys and ids) packed one after the other."""
+    order = np.argsort(owner, kind="stable")
+    owner = owner[order]
     packed = np.stack([p[order].astype(np.uint32) for p in parts], 1)
-    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-    ends = np.r_[first[1:], len(key)].astype(np.int64)
+    first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, np.int64)
+    ends = np.r_[first[1:], len(owner)].astype(np.int64)
     return pa.RecordBatch.from_arrays([
-        pa.array(key[first]), pa.array(ids[first]), pa.array(np.full(len(first), kind, np.int32)),
+        pa.array(keys[owner[first]]), pa.array(ids[owner[first]]), pa.array(np.full(len(first), kind, np.int32)),
         pa.array([packed[a:b].tobytes() for a, b in zip(first, ends)], pa.binary()),
     ], names=["_key", "_order", "kind", "spans"])
 
 
 def compared_pieces(rows: list[dict]):
     """Spans of one bucket that are repeated (kind 0), and places whose surroundings must be sorted (kind 1)."""
-    groups = {False: [], True: []}
+    open_rows = []
     for row in rows:
-        owners = np.frombuffer(row["owners"], np.int64).reshape(-1, 2)
-        counts = np.frombuffer(row["counts"], np.uint32)
-        groups[row["pieces"] is None].append((np.repeat(owners, counts, axis=0), row))
-    for owners, row in groups[True]:
-        small = np.frombuffer(row["small"], np.uint8).reshape(-1, 4)
-        start = np.frombuffer(row["starts"], np.uint32)
-        yield by_owner(owners[:, 1], owners[:, 0], [start, small[:, 0].astype(np.uint32) + LENGTH], 0)
-    if not groups[False]:
+        if row["pieces"] is not None:
+            open_rows.append(row)
+            continue
+        ids, keys = np.cumsum(np.frombuffer(row["owners"], np.int64)), np.frombuffer(row["keys"], np.int32)
+        owner = np.repeat(np.arange(len(ids)), np.frombuffer(row["counts"], np.uint32))
+        length = np.frombuffer(row["small"], np.uint8)[::4].astype(np.uint32) + LENGTH
+        yield by_owner(owner, keys, ids, [np.frombuffer(row["starts"], np.uint32), length], 0)
+    if not open_rows:
         return
-    owners = np.concatenate([o for o, _ in groups[False]])
-    minimiser, piece = (np.concatenate([from6(r[c]) for _, r in groups[False]]) for c in ("minimisers", "pieces"))
-    start = np.concatenate([np.frombuffer(r["starts"], np.uint32) for _, r in groups[False]])
-    small = np.concatenate([np.frombuffer(r["small"], np.uint8).reshape(-1, 4) for _, r in groups[False]])
-    order = np.lexsort((owners[:, 0], piece, minimiser))
-    new_minimiser = np.r_[True, minimiser[order][1:] != minimiser[order][:-1]]
-    new_piece = new_minimiser | np.r_[True, piece[order][1:] != piece[order][:-1]]
+    ids = np.concatenate([np.cumsum(np.frombuffer(r["owners"], np.int64)) for r in open_rows])
+    keys = np.concatenate([np.frombuffer(r["keys"], np.int32) for r in open_rows])
+    counts = np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in open_rows])
+    minimiser, piece = (np.concatenate([from6(r[c]) for r in open_rows]) for c in ("minimisers", "pieces"))
+    start = np.concatenate([np.frombuffer(r["starts"], np.uint32) for r in open_rows])
+    small = np.concatenate([np.frombuffer(r["small"], np.uint8).reshape(-1, 4) for r in open_rows])
+    for row in open_rows:
+        row.clear()
+    owner = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
+    order = np.lexsort((ids[owner], piece, minimiser))
+    minimiser, piece, start, small, owner = minimiser[order], piece[order], start[order], small[order], owner[order]
+    new_minimiser = np.r_[True, minimiser[1:] != minimiser[:-1]]
+    new_piece = new_minimiser | np.r_[True, piece[1:] != piece[:-1]]
     first = np.flatnonzero(new_piece)
-    ids = owners[order, 0]
-    least = ids[first][np.cumsum(new_piece) - 1]
-    repeated = order[ids > least]
-    if len(repeated):
-        yield by_owner(owners[repeated, 1], owners[repeated, 0], [start[repeated], small[repeated, 0].astype(np.uint32) + LENGTH], 0)
-    # different pieces of at least two documents that share a side
-    several = np.bincount(np.cumsum(new_minimiser)[first]) > 1
-    open_ = order[(ids == least) & several[np.cumsum(new_minimiser)]]
-    wanted = np.zeros((len(open_), 2), bool)
+    least = ids[owner[first]][np.cumsum(new_piece) - 1]
+    repeated = ids[owner] > least
+    if repeated.any():
+        yield by_owner(owner[repeated], keys, ids, [start[repeated], small[repeated, 0].astype(np.uint32) + LENGTH], 0)
+    # different pieces around one minimiser: those of at least two documents that share a side
+    group = np.cumsum(new_minimiser)
+    several = np.bincount(group[first]) > 1
+    left = np.flatnonzero(~repeated & several[group])
+    minimiser, start, small, owner = minimiser[left], start[left], small[left], owner[left]
+    wanted = np.zeros((len(left), 2), bool)
     for column, side in enumerate((2, 3)):
-        key = mixed(minimiser[open_] * _POWER + small[open_, side].astype(np.uint64))
-        by_key = np.lexsort((owners[open_, 0], key))
-        edge = np.flatnonzero(np.r_[True, key[by_key][1:] != key[by_key][:-1]])
-        run = np.cumsum(np.r_[True, key[by_key][1:] != key[by_key][:-1]]) - 1
-        lowest, highest = (f.reduceat(owners[open_, 0][by_key], edge) if len(edge) else np.zeros(0) for f in (np.minimum, np.maximum))
-        wanted[by_key, column] = (lowest != highest)[run]
-        wanted[:, column] &= small[open_, side] > 0
+        key = mixed(minimiser * _POWER + small[:, side].astype(np.uint64))
+        by_key = np.argsort(key, kind="stable")
+        new = np.r_[True, key[by_key][1:] != key[by_key][:-1]][: len(by_key)]
+        edge = np.flatnonzero(new)
+        if len(edge):
+            sorted_ids = ids[owner[by_key]]
+            differs = np.minimum.reduceat(sorted_ids, edge) != np.maximum.reduceat(sorted_ids, edge)
+            wanted[by_key, column] = differs[np.cumsum(new) - 1]
+        wanted[:, column] &= small[:, side] > 0
     asked = wanted.any(1)
     if asked.any():
-        rows_ = open_[asked]
         flags = wanted[asked] @ np.array([1, 2], np.uint32)
-        yield by_owner(owners[rows_, 1], owners[rows_, 0], [start[rows_] + small[rows_, 1], flags], 1)
+        yield by_owner(owner[asked], keys, ids, [start[asked] + small[asked, 1], flags], 1)
 
 
 def _compared(batches):
@@ -252,7 +260,7 @@ def _surroundings(batches):
                             orders.append(order)
         yield pa.RecordBatch.from_arrays([
             pa.array(keys, pa.int64()), pa.array(words, pa.binary()), pa.array(cores, pa.int32()), pa.array(begins, pa.int32()),
-            pa.array(orders, pa.int64()), pa.array(owners, pa.int64()),
+            pa.array(orders, pa.int64()), pa.array(owners, pa.int32()),
         ], names=["group", "word", "core", "begin", "_order", "_key"])
 
 
@@ -370,11 +378,11 @@ def _sorted_out(batches):
 
     def work(rows: list):
         groups = np.array([r[0] for r in rows], np.int64)
-        ids, keys = np.array([r[4] for r in rows], np.int64), np.array([r[5] for r in rows], np.int64)
+        ids, keys = np.array([r[4] for r in rows], np.int64), np.array([r[5] for r in rows], np.int32)
         row, letter = repeated_starts(groups, [r[1] for r in rows], np.array([r[2] for r in rows]), ids)
         begin = np.array([r[3] for r in rows], np.int64)
         if len(row):
-            yield by_owner(keys[row], ids[row], [begin[row] + letter, np.full(len(row), LENGTH)], 0)
+            yield by_owner(row, keys, ids, [begin[row] + letter, np.full(len(row), LENGTH)], 0)
 
     letters = 0
     for batch in batches:
@@ -430,22 +438,22 @@ def _cleaned(id_column: str):
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document its bytes, the removed bytes and runs, and the SHA-256 of what is left."""
     rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
-    # rows are known by a hash of id and text: equal rows have equal results
-    rows = rows.withColumn("_key", F.xxhash64("_id", "_text")).withColumn("_order", F.coalesce(F.col("_id").cast("long"), F.lit(int(_LAST))))
+    # a document is known by its id and a hash of its text: equal rows have equal results
+    rows = rows.withColumn("_key", F.hash("_id", "_text")).withColumn("_order", F.coalesce(F.col("_id").cast("long"), F.lit(int(_LAST))))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]
     buckets = max(1, -(-total // BUCKET_BYTES))
     packed = rows.select("_order", "_key", "_text").mapInArrow(_packed(buckets), PACKED)
     dealt = packed.repartition("bucket").sortWithinPartitions("bucket")
-    spans = cut(dealt.mapInArrow(_compared, "_key long, _order long, kind int, spans binary"))
+    spans = cut(dealt.mapInArrow(_compared, "_key int, _order long, kind int, spans binary"))
 
     # both joins read the same exchange of the texts
-    texts = rows.select("_key", "_id", "_text")
-    asked = spans.filter("kind = 1").groupBy("_key").agg(F.first("_order").alias("_order"), F.collect_list("spans").alias("spans"))
-    around = texts.join(asked, "_key").mapInArrow(_surroundings, "group long, word binary, core int, begin int, _order long, _key long")
+    texts, known = rows.select("_order", "_key", "_id", "_text"), ["_order", "_key"]
+    asked = spans.filter("kind = 1").groupBy(*known).agg(F.collect_list("spans").alias("spans"))
+    around = texts.join(asked, known).mapInArrow(_surroundings, "group long, word binary, core int, begin int, _order long, _key int")
     sorted_out = around.repartition("group").sortWithinPartitions("group").mapInArrow(
-        _sorted_out, "_key long, _order long, kind int, spans binary"
+        _sorted_out, "_key int, _order long, kind int, spans binary"
     )
-    gone = spans.filter("kind = 0").unionByName(sorted_out).groupBy("_key").agg(F.collect_list("spans").alias("spans"))
+    gone = spans.filter("kind = 0").unionByName(sorted_out).groupBy(*known).agg(F.collect_list("spans").alias("spans"))
     id_type = docs.schema[key].dataType.simpleString()
-    done = texts.join(gone, "_key", "left").mapInArrow(_cleaned("_id"), RESULT.format(id=id_type))
+    done = texts.join(gone, known, "left").mapInArrow(_cleaned("_id"), RESULT.format(id=id_type))
     return done.withColumnRenamed("_id", key)
