@@ -1,7 +1,8 @@
 """Densities, tails, quantiles and risk measures of fitted mixtures as Columns.
 
 A fitted state is one row: arrays ``w``, ``mu``, ``sigma`` of a Gaussian mixture and, for
-the extreme-value mixture, ``u``, ``xi``, ``beta``, ``norm`` of the Pareto tail above u.
+the extreme-value mixture, ``u``, ``xi``, ``beta``, ``norm`` of the Pareto tail above u; its weights then add up to
+(1 - norm) / F_bulk(u).
 """
 
 from __future__ import annotations
@@ -32,10 +33,16 @@ def gmm_pdf(y: Column, k: int) -> Column:
 
 
 def gmm_log_pdf(y: Column, k: int) -> Column:
-    """Log density by log-sum-exp, finite where the density underflows."""
-    terms = [F.log(w) + normal_log_pdf(y, m, s) for w, m, s in components(k)]
+    """Log density by log-sum-exp, finite where the density underflows; a component of weight 0 plays no part."""
+    terms = [F.when(w > 0, F.log(w) + normal_log_pdf(y, m, s)) for w, m, s in components(k)]
     top = F.greatest(*terms) if k > 1 else terms[0]
-    return top + F.log(_sum([F.exp(t - top) for t in terms]))
+    return F.coalesce(top + F.log(_sum([F.coalesce(F.exp(t - top), F.lit(0.0)) for t in terms])), _impossible(y, k))
+
+
+def _impossible(y: Column, k: int) -> Column:
+    """Minus infinity for a value under parameters that are there; NULL stays NULL."""
+    known = _sum([w for w, _, _ in components(k)])
+    return F.when(y.isNotNull() & known.isNotNull(), F.lit(float("-inf")))
 
 
 def gmm_tail(y: Column, k: int) -> Column:
@@ -71,13 +78,20 @@ def emm_pdf(y: Column, k: int) -> Column:
 
 
 def emm_log_pdf(y: Column, k: int) -> Column:
-    above = F.log(F.col("norm") * gpd_pdf(y - F.col("u"), F.col("xi"), F.col("beta")))
+    """Minus infinity beyond the end point of a tail with negative shape."""
+    density = F.col("norm") * gpd_pdf(y - F.col("u"), F.col("xi"), F.col("beta"))
+    above = F.when(density > 0, F.log(density)).when(density == 0, F.lit(float("-inf")))
     return F.when(y > F.col("u"), above).otherwise(gmm_log_pdf(y, k))
 
 
+def bulk_tail(y: Column, k: int) -> Column:
+    """Tail of a bulk whose weights were scaled: 1 - F, with what they lack to one on top."""
+    return 1 - _sum([w for w, _, _ in components(k)]) + gmm_tail(y, k)
+
+
 def emm_tail(y: Column, k: int) -> Column:
     above = F.col("norm") * gpd_tail(y - F.col("u"), F.col("xi"), F.col("beta"))
-    return F.when(y > F.col("u"), above).otherwise(gmm_tail(y, k))
+    return F.when(y > F.col("u"), above).otherwise(bulk_tail(y, k))
 
 
 def with_tail(df: DataFrame, y: Column, k: int, out: str, pareto: bool = False) -> DataFrame:
@@ -95,14 +109,15 @@ def with_tail(df: DataFrame, y: Column, k: int, out: str, pareto: bool = False)
     bulk = _sum([F.lit(0.5) * w * F.col(f"_e{i}") for i, (w, _, _) in enumerate(components(k))])
     if pareto:
         above = F.col("norm") * gpd_tail(F.col("_at") - F.col("u"), F.col("xi"), F.col("beta"))
-        bulk = F.when(F.col("_at") > F.col("u"), above).otherwise(bulk)
+        lacking = 1 - _sum([w for w, _, _ in components(k)])
+        bulk = F.when(F.col("_at") > F.col("u"), above).otherwise(lacking + bulk)
     return rows.select(*columns, bulk.alias(out))
 
 
-def bisect(decreasing, target: Column, lo: float, hi: Column | float, steps: int = STEPS) -> Column:
+def bisect(decreasing, target: Column, lo: Column | float, hi: Column | float, steps: int = STEPS) -> Column:
     """Root of ``decreasing(y) = target`` on [lo, hi] by a fixed number of halvings."""
-    hi = hi if isinstance(hi, Column) else F.lit(float(hi))
-    start = F.struct(F.lit(float(lo)).alias("lo"), hi.alias("hi"))
+    lo, hi = (end if isinstance(end, Column) else F.lit(float(end)) for end in (lo, hi))
+    start = F.struct(lo.alias("lo"), hi.alias("hi"))
 
     def halve(ends: Column, _step: Column) -> Column:
         middle = (ends["lo"] + ends["hi"]) / 2
@@ -121,6 +136,34 @@ def upper_bound(k: int) -> Column:
     return F.greatest(*ends) if k > 1 else ends[0]
 
 
+def lower_bound(k: int) -> Column:
+    ends = [m - F.lit(SPAN) * s for _, m, s in components(k)]
+    return F.least(*ends) if k > 1 else ends[0]
+
+
+def gmm_value_at_risk(alpha: float, k: int) -> Column:
+    """The alpha-quantile on the whole line, negative values included."""
+    return bisect(lambda y: gmm_tail(y, k), F.lit(1.0 - alpha), lower_bound(k), upper_bound(k))
+
+
+def emm_value_at_risk(alpha: float, k: int) -> Column:
+    """The alpha-quantile of the mixture with a Pareto tail: closed form in the tail, else in the bulk up to u."""
+    bulk = bisect(lambda y: bulk_tail(y, k), F.lit(1.0 - alpha), lower_bound(k), F.greatest(F.col("u").cast("double"), lower_bound(k)))
+    return F.when(F.lit(1.0 - alpha) < F.col("norm"), gpd_quantile(F.lit(1.0 - alpha))).otherwise(bulk)
+
+
+def cvar_by_integral(pdf, at_risk: Column, floor: Column, alpha: float, cells: int) -> Column:
+    """Mean below the alpha-quantile of any density: the trapezoid rule on [floor, at_risk], over alpha."""
+    width = (at_risk - floor) / F.lit(float(cells))
+
+    def term(i: Column) -> Column:
+        y = floor + width * i
+        return y * pdf(y) * F.when((i == 0) | (i == cells), 0.5).otherwise(1.0)
+
+    total = F.aggregate(F.sequence(F.lit(0), F.lit(cells)), F.lit(0.0), lambda acc, i: acc + term(i))
+    return total * width / F.lit(alpha)
+
+
 def gmm_quantile(q: Column, k: int, bound: float | None = None) -> Column:
     """Bisection on [0, bound]; the bound follows from the components unless it is given."""
     return bisect(lambda y: gmm_tail(y, k), 1 - q, 0.0, upper_bound(k) if bound is None else bound)
@@ -137,7 +180,7 @@ def gpd_quantile(tail: Column) -> Column:
 def emm_quantile(q: Column, k: int) -> Column:
     """Closed form in the Pareto part, bisection in the bulk up to u."""
     tail = 1 - q
-    bulk = bisect(lambda y: gmm_tail(y, k), tail, 0.0, F.col("u"))
+    bulk = bisect(lambda y: bulk_tail(y, k), tail, 0.0, F.col("u"))
     return F.when(tail < F.col("norm"), gpd_quantile(tail)).otherwise(bulk)
 
 

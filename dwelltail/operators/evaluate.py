@@ -46,7 +46,7 @@ def quantile_errors(
         F.lit(model).alias("model"),
         *keys,
         "q",
-        ((predicted - F.col("y_q")) / F.col("y_q")).alias("rel_err"),
+        F.try_divide(predicted - F.col("y_q"), F.col("y_q")).alias("rel_err"),
         (F.col("n") / total).alias("p_state"),
     )
 
@@ -71,7 +71,7 @@ def violation_probability(
     requests: DataFrame, params: DataFrame, keys: list[str], budget: str, model: str, k: int
 ) -> DataFrame:
     """``dvp``: probability that the delay of a record in its state exceeds the budget."""
-    small = cut(fitted(params).drop("n", "n_tail", "status"))
+    small = cut(fitted(params).drop("n", "n_tail", "status", "steps", "loglik"))
     scored = add_tail(attach(requests, small, keys), F.col(budget), model, k, "dvp")
     return scored.select(*requests.columns, "dvp")
 
@@ -91,7 +91,7 @@ def calibration(
         ]
     )
     measured = counted.select(*keys, "n", F.inline(pairs))
-    joined = measured.join(fitted(params).drop("n", "n_tail"), keys)
+    joined = measured.join(fitted(params).drop("n", "n_tail", "steps", "loglik"), keys)
     scored = add_tail(joined, F.col("budget"), model, k, "predicted")
     return scored.select(*keys, "budget", "n", "observed", "predicted")
 
@@ -133,7 +133,7 @@ def state_report(
     ``tail_error`` (log10 error at the quantile), ``mean`` and ``count``.
     """
     params = cut(fitted(params))
-    model_columns = params.drop("n", "n_tail", "status")
+    model_columns = params.drop("n", "n_tail", "status", "steps", "loglik")
     rows = complete_rows(rows, value, keys)
 
     def shaped(df: DataFrame, kind: str, x: Column, series: dict[str, Column]) -> DataFrame:

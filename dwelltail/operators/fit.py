@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dwelltail.functions.mixtures import gmm_tail
-from dwelltail.functions.special import SQRT_2PI, normal_log_pdf, normal_pdf
+from dwelltail.functions.special import SQRT_2PI, normal_log_pdf, normal_pdf, normal_tail
 from dwelltail.operators.ranks import disc_rank, select_ranks
 from dwelltail.operators.tails import gpd_from_moments
 from dwelltail.session import attach, complete_rows, cut
@@ -16,6 +16,11 @@ from dwelltail.session import attach, complete_rows, cut
 #: Smallest number of rows per component.
 ROWS_PER_COMPONENT = 10
 VARIANCE_FLOOR = 1e-6
+#: Steps at most, and the relative change of a state's mean log likelihood below which it stops.
+ITERATIONS = 200
+TOLERANCE = 1e-4
+#: Stands for the logarithm of a density that underflows.
+LOWEST_LOG = -745.0
 
 
 def _sum(terms: list[Column]) -> Column:
@@ -23,76 +28,104 @@ def _sum(terms: list[Column]) -> Column:
 
 
 def fit_gmm(
-    df: DataFrame, keys: list[str], value: str, k: int = 3, iterations: int = 20, level: float | None = None
+    df: DataFrame, keys: list[str], value: str, k: int = 3, iterations: int = ITERATIONS, tolerance: float = TOLERANCE
 ) -> DataFrame:
     """Gaussian mixture per state by expectation maximisation.
 
     Every iteration is one scan and one map-side combined aggregation of 3k sums per
-    state; the parameter table is stored between iterations, the rows never are.
-    Starts from evenly spaced state quantiles with the state's variance. A state with
-    fewer than 10k rows gets NULL parameters and the status ``few_rows``. With ``level``
-    the discrete quantile of that level is selected in the same pass and kept as ``u``.
+    state; the rows are never stored. Starts from evenly spaced state quantiles with the state's variance. A
+    state stops when its mean log likelihood changes by less than ``tolerance`` of itself, or after
+    ``iterations``; ``steps`` and ``loglik`` say where. A state with fewer than 10k rows gets NULL parameters and the
+    status ``few_rows``.
     """
     rows = complete_rows(df.select(*keys, F.col(value).alias("_y")), "_y", keys)
     levels = [(i + 0.5) / k for i in range(k)]
-    ranks = {f"_m{i}": disc_rank(q) for i, q in enumerate(levels)}
-    if level is not None:
-        ranks["u"] = disc_rank(level)
-        levels = [*levels, level]
     # the variance is taken in the sketch pass of the selection
-    starts = select_ranks(rows, keys, "_y", ranks, levels, stats={"_s2": "var_pop(_v)"})
-    extra = ["u"] if level is not None else []
-    params = starts.withColumnRenamed("_s2", "_v").select(
-        *keys,
-        "n",
-        *extra,
-        "_v",
-        *[F.lit(1.0 / k).alias(f"_w{i}") for i in range(k)],
-        *[F.col(f"_m{i}").cast("double").alias(f"_m{i}") for i in range(k)],
-        *[F.sqrt("_v").alias(f"_s{i}") for i in range(k)],
-    )
-    params = cut(params)
+    starts = select_ranks(rows, keys, "_y", {f"_m{i}": disc_rank(q) for i, q in enumerate(levels)}, levels, stats={"_s2": "var_pop(_v)"})
+    return _expectation_maximisation(rows, starts, keys, k, iterations, tolerance)
+
+
+def _expectation_maximisation(rows, starts, keys, k, iterations, tolerance, tail: tuple[str, ...] = ()) -> DataFrame:
+    """Iterate from the start quantiles; ``tail`` names the columns of a censored fit (``u``, ``n_tail``)."""
+    params = cut(starts.withColumnRenamed("_s2", "_v").select(
+        *keys, "n", *tail, "_v", *[F.lit(1.0 / k).alias(f"_w{i}") for i in range(k)],
+        *[F.col(f"_m{i}").cast("double").alias(f"_m{i}") for i in range(k)], *[F.sqrt("_v").alias(f"_s{i}") for i in range(k)],
+    ))
     usable = (F.col("n") >= ROWS_PER_COMPONENT * k) & (F.col("_v") > 0)
-    active = params.filter(usable)
+    active = cut(params.filter(usable).select(
+        "*", F.lit(0).alias("steps"), F.lit(None).cast("double").alias("loglik"), F.lit(False).alias("_done")
+    ))
     for _ in range(iterations):
-        active = cut(_em_step(rows, active, keys, k, extra))
+        active = cut(_em_step(rows, active, keys, k, tail, tolerance), F.count_if(~F.col("_done")))
+        if not active._measured:
+            break
 
     packed = active.select(
         *keys,
         F.array(*[F.col(f"_w{i}") for i in range(k)]).alias("w"),
         F.array(*[F.col(f"_m{i}") for i in range(k)]).alias("mu"),
         F.array(*[F.col(f"_s{i}") for i in range(k)]).alias("sigma"),
+        "steps",
+        "loglik",
     )
     status = F.when(usable, "ok").when(F.col("n") < ROWS_PER_COMPONENT * k, "few_rows").otherwise("constant")
-    return params.select(*keys, "n", *extra, status.alias("status")).join(packed, keys, "left")
+    return params.select(*keys, "n", *tail, status.alias("status")).join(packed, keys, "left")
 
 
-def _em_step(rows: DataFrame, params: DataFrame, keys: list[str], k: int, extra: list[str]) -> DataFrame:
+def _em_step(rows, params, keys, k, tail, tolerance) -> DataFrame:
     each = range(k)
     joined = attach(rows, params, keys)
+    if tail:
+        joined = joined.filter("_y <= u")
     density = [f"_w{i} * exp(-0.5D * pow((_y - _m{i}) / _s{i}, 2D)) / (_s{i} * {SQRT_2PI!r}D) as _d{i}" for i in each]
     total = " + ".join(f"_d{i}" for i in each)
     # far from every component all densities underflow; such a row is shared evenly
     share = [f"if({total} > 0, _d{i} / ({total}), {1.0 / k!r}D) as _r{i}" for i in each]
     shift = [f"_y - _m{i} as _x{i}" for i in each]
-    shared = joined.selectExpr("*", *density).selectExpr("*", *share, *shift)
-    kept = ["n", *extra, "_v", *[f"_m{i}" for i in each], *[f"_s{i}" for i in each]]
+    shared = joined.selectExpr("*", *density).selectExpr("*", *share, *shift, f"if({total} > 0, ln({total}), {LOWEST_LOG!r}D) as _l")
+    kept = ["n", *tail, "_v", "steps", "loglik", "_done", *[f"_{c}{i}" for i in each for c in "wms"]]
     sums = [
         f"sum({term}) as _{name}{i}"
         for i in each
         for name, term in (("n", f"_r{i}"), ("a", f"_r{i} * _x{i}"), ("b", f"_r{i} * _x{i} * _x{i}"))
     ]
-    texts = [*sums, *[f"first({c}) as {c}" for c in kept]]
+    texts = [*sums, "sum(_l) as _l", *[f"first({c}) as {c}" for c in kept]]
     summed = shared.groupBy(*keys).agg(*[F.expr(text) for text in texts])
+    if tail:
+        summed = _with_censored_rows(summed, k)
     columns = []
     for i in each:
         variance = f"_b{i} / _n{i} - pow(_a{i} / _n{i}, 2D)"
         columns += [
-            f"_n{i} / n as _w{i}",
-            f"if(_n{i} > 1e-12, _m{i} + _a{i} / _n{i}, _m{i}) as _m{i}",
-            f"if(_n{i} > 1e-12, sqrt(greatest({variance}, {VARIANCE_FLOOR!r}D * _v)), _s{i}) as _s{i}",
+            f"if(_done, _w{i}, _n{i} / n) as _w{i}",
+            f"if(_done or _n{i} <= 1e-12, _m{i}, _m{i} + _a{i} / _n{i}) as _m{i}",
+            f"if(_done or _n{i} <= 1e-12, _s{i}, sqrt(greatest({variance}, {VARIANCE_FLOOR!r}D * _v))) as _s{i}",
         ]
-    return summed.selectExpr(*keys, "n", *extra, "_v", *columns)
+    settled = f"_done or coalesce(abs(_l / n - loglik) <= {tolerance!r}D * abs(_l / n), false)"
+    progress = ["if(_done, steps, steps + 1) as steps", "if(_done, loglik, _l / n) as loglik", f"{settled} as _done"]
+    return summed.selectExpr(*keys, "n", *tail, "_v", *columns, *progress)
+
+
+def _with_censored_rows(summed: DataFrame, k: int) -> DataFrame:
+    """Add what the ``n_tail`` rows above u contribute: each component's mass there and its moments above u."""
+    u = F.col("u").cast("double")
+    for i in range(k):
+        m, s = F.col(f"_m{i}"), F.col(f"_s{i}")
+        mass = normal_tail(u, m, s)
+        # phi(z) / Q(z); where the mass underflows it tends to z itself
+        z = (u - m) / s
+        hazard = F.when(mass > 1e-290, s * normal_pdf(u, m, s) / mass).otherwise(F.greatest(z, F.lit(0.0)))
+        summed = summed.withColumn(f"_t{i}", F.col(f"_w{i}") * mass).withColumn(f"_z{i}", z).withColumn(f"_h{i}", hazard)
+    total = _sum([F.col(f"_t{i}") for i in range(k)])
+    summed = summed.withColumn("_t", total)
+    columns = {"_l": F.col("_l") + F.col("n_tail") * F.when(F.col("_t") > 0, F.log("_t")).otherwise(F.lit(LOWEST_LOG))}
+    for i in range(k):
+        mine = F.col("n_tail") * F.when(F.col("_t") > 0, F.col(f"_t{i}") / F.col("_t")).otherwise(F.lit(1.0 / k))
+        s, z, h = F.col(f"_s{i}"), F.col(f"_z{i}"), F.col(f"_h{i}")
+        columns[f"_n{i}"] = F.col(f"_n{i}") + mine
+        columns[f"_a{i}"] = F.col(f"_a{i}") + mine * s * h
+        columns[f"_b{i}"] = F.col(f"_b{i}") + mine * s * s * (1 + z * h)
+    return summed.withColumns(columns)
 
 
 def fit_emm(
@@ -100,28 +133,38 @@ def fit_emm(
     keys: list[str],
     value: str,
     k: int = 2,
-    iterations: int = 20,
+    iterations: int = ITERATIONS,
     level: float = 0.95,
     positive_shape: bool = False,
+    tolerance: float = TOLERANCE,
 ) -> DataFrame:
     """Gaussian bulk with a generalised Pareto tail above the state's ``level`` quantile.
 
-    ``norm`` = 1 - F_bulk(u) joins the two parts, so the tail is continuous at u.
+    The bulk is fitted to the rows up to u; of those above only their number counts (a censored fit). ``norm`` is the
+    share of rows above u, and the weights are scaled to the rest: they add up to (1 - norm) / F_bulk(u), so that
+    the tail is continuous at u.
     """
-    bulk = cut(fit_gmm(df, keys, value, k, iterations, level))
     rows = complete_rows(df.select(*keys, F.col(value).alias("_y")), "_y", keys)
-    over = attach(rows, bulk.select(*keys, "u"), keys)
+    levels = [(i + 0.5) / k for i in range(k)]
+    ranks = {f"_m{i}": disc_rank(q) for i, q in enumerate(levels)} | {"u": disc_rank(level)}
+    starts = cut(select_ranks(rows, keys, "_y", ranks, [*levels, level], stats={"_s2": "var_pop(_v)"}))
+    over = attach(rows, starts.select(*keys, "u"), keys)
     z = F.when(F.col("_y") > F.col("u"), F.col("_y") - F.col("u"))
-    excess = (
+    excess = cut(
         over.groupBy(*keys)
         .agg(F.count(z).alias("n_tail"), F.avg(z).alias("_m"), F.var_samp(z).alias("_s2"))
         .select(*keys, "n_tail", *gpd_from_moments(positive_shape))
         .withColumnRenamed("status", "_tail")
     )
-    joined = bulk.join(excess, keys).withColumn("norm", gmm_tail(F.col("u").cast("double"), k))
+    counted = starts.join(excess.select(*keys, "n_tail"), keys)
+    bulk = _expectation_maximisation(rows, counted, keys, k, iterations, tolerance, ("u", "n_tail"))
+    joined = bulk.join(excess.drop("n_tail"), keys).withColumn("norm", F.col("n_tail") / F.col("n"))
+    below = 1 - gmm_tail(F.col("u").cast("double"), k)
+    joined = joined.withColumn("_scale", F.try_divide(1 - F.col("norm"), below))
+    joined = joined.withColumn("w", F.transform("w", lambda w: w * F.col("_scale")))
     status = F.when(F.col("status") != "ok", F.col("status")).otherwise(F.col("_tail"))
     return joined.select(
-        *keys, "n", "n_tail", "w", "mu", "sigma", "u", "xi", "beta", "norm", status.alias("status")
+        *keys, "n", "n_tail", "w", "mu", "sigma", "u", "xi", "beta", "norm", "steps", "loglik", status.alias("status")
     )
 
 

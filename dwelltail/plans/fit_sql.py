@@ -6,7 +6,6 @@ from dwelltail.functions import special
 from dwelltail.plans.registry import level_list
 
 K = 3
-ITERATIONS = 3
 BULK = 2
 
 
@@ -56,6 +55,10 @@ def gmm_tail_sql(y: str, k: int) -> str:
     return mix(k, lambda m, s: normal_tail_sql(y, m, s))
 
 
+def bulk_tail_sql(y: str, k: int = BULK) -> str:
+    return f"(1 - ({' + '.join(f'w{i}' for i in range(k))}) + {gmm_tail_sql(y, k)})"
+
+
 def gpd_tail_sql(z: str) -> str:
     return (
         f"(case when abs(xi) < 1e-8 then exp(-({z}) / beta) when 1 + xi * ({z}) / beta > 0 "
@@ -71,64 +74,82 @@ def gpd_pdf_sql(z: str) -> str:
 
 
 def emm_tail_sql(y: str, k: int = BULK) -> str:
-    return f"(case when ({y}) > u then norm * {gpd_tail_sql(f'({y}) - u')} else {gmm_tail_sql(y, k)} end)"
+    return f"(case when ({y}) > u then norm * {gpd_tail_sql(f'({y}) - u')} else {bulk_tail_sql(y, k)} end)"
 
 
 def emm_pdf_sql(y: str, k: int = BULK) -> str:
     return f"(case when ({y}) > u then norm * {gpd_pdf_sql(f'({y}) - u')} else {gmm_pdf_sql(y, k)} end)"
 
 
-def em_sql(source: str, keys: list[str], k: int, iterations: int, name: str, value: str = "y") -> str:
-    """Chain ending in a table ``name``: keys, n, w0.., m0.., s0.. (no table expression before it)."""
+def em_sql(source: str, keys: list[str], k: int, name: str, value: str = "y", tail: str | None = None) -> str:
+    """Chain ending in a table ``name``: keys, n, w0.., m0.., s0.. where each state stopped (a recursive chain).
+
+    ``tail`` names a table (keys, u, n_tail) for a fit to the rows up to u with the others counted only.
+    """
     by = ", ".join(keys)
     starts = level_list([(i + 0.5) / k for i in range(k)])
-    chain = [
-        f"{name}_q as (select {by}, count(*) as n, var_pop({value}) as v, quantile_disc({value}, {starts}) as qs "
-        f"from {source} group by {by})",
-        f"{name}_0 as (select {by}, n, v, "
-        + ", ".join(f"{1.0 / k!r}::double as w{i}, qs[{i + 1}]::double as m{i}, sqrt(v) as s{i}" for i in range(k))
-        + f" from {name}_q where n >= {10 * k} and v > 0)",
-    ]
-    carried = ", ".join(f"w{i}, m{i}, s{i}" for i in range(k))
-    for t in range(1, iterations + 1):
-        densities = ", ".join(f"w{i} * {phi(value, f'm{i}', f's{i}')} as d{i}" for i in range(k))
-        whole = " + ".join(f"d{i}" for i in range(k))
-        sums = ", ".join(
-            f"sum(d{i} / ({whole})) as n{i}, sum(d{i} / ({whole}) * {value}) as a{i}, "
-            f"any_value(m{i}) as om{i}"
-            for i in range(k)
-        )
-        chain.append(
-            f"{name}_d{t} as (select {by}, {value}, n, v, {carried}, {densities} from {source} join {name}_{t - 1} using ({by}))"
-        )
-        chain.append(f"{name}_a{t} as (select {by}, any_value(n) as n, any_value(v) as v, {sums} from {name}_d{t} group by {by})")
-        means = ", ".join(f"a{i} / n{i} as c{i}, n{i}" for i in range(k))
-        chain.append(f"{name}_c{t} as (select {by}, {means} from {name}_a{t})")
-        spreads = ", ".join(
-            f"any_value(n{i}) / any_value(n) as w{i}, any_value(c{i}) as m{i}, "
-            f"sqrt(greatest(sum(d{i} / ({whole}) * ({value} - c{i}) * ({value} - c{i})) / any_value(n{i}), "
-            f"1e-6 * any_value(v))) as s{i}"
-            for i in range(k)
-        )
-        chain.append(
-            f"{name}_{t} as (select {by}, any_value(n) as n, any_value(v) as v, {spreads} "
-            f"from {name}_d{t} join {name}_c{t} using ({by}) group by {by})"
+    each = range(k)
+    carried = ", ".join(f"w{i}, m{i}, s{i}" for i in each)
+    extra = ", u, n_tail" if tail else ""
+    whole = " + ".join(f"d{i}" for i in each)
+    densities = ", ".join(f"w{i} * {phi(value, f'm{i}', f's{i}')} as d{i}" for i in each)
+    share = [f"(case when {whole} > 0 then d{i} / ({whole}) else {1.0 / k!r} end)" for i in each]
+    sums = ", ".join(
+        f"sum({share[i]}) as n{i}, sum({share[i]} * ({value} - m{i})) as a{i}, "
+        f"sum({share[i]} * ({value} - m{i}) * ({value} - m{i})) as b{i}"
+        for i in each
+    )
+    parts, likelihood = "", "l"
+    n_of, a_of, b_of = ([f"{c}{i}" for i in each] for c in "nab")
+    if tail:
+        parts = ", " + ", ".join(
+            f"w{i} * {normal_tail_sql('u', f'm{i}', f's{i}')} as t{i}, (u - m{i}) / s{i} as z{i}, "
+            f"case when {normal_tail_sql('u', f'm{i}', f's{i}')} > 1e-290 then s{i} * {phi('u', f'm{i}', f's{i}')} / "
+            f"{normal_tail_sql('u', f'm{i}', f's{i}')} else greatest((u - m{i}) / s{i}, 0.0) end as h{i}"
+            for i in each
         )
-    chain.append(f"{name} as (select {by}, n, {carried} from {name}_{iterations})")
-    return ",\n".join(chain)
+        above = "(" + " + ".join(f"t{i}" for i in each) + ")"
+        mine = [f"(n_tail * case when {above} > 0 then t{i} / {above} else {1.0 / k!r} end)" for i in each]
+        n_of = [f"(n{i} + {mine[i]})" for i in each]
+        a_of = [f"(a{i} + {mine[i]} * s{i} * h{i})" for i in each]
+        b_of = [f"(b{i} + {mine[i]} * s{i} * s{i} * (1 + z{i} * h{i}))" for i in each]
+        likelihood = f"(l + n_tail * case when {above} > 0 then ln({above}) else -745.0 end)"
+    moved = ", ".join(
+        f"{n_of[i]} / n as w{i}, case when {n_of[i]} > 1e-12 then m{i} + {a_of[i]} / {n_of[i]} else m{i} end as m{i}, "
+        f"case when {n_of[i]} > 1e-12 then sqrt(greatest({b_of[i]} / {n_of[i]} - ({a_of[i]} / {n_of[i]}) * ({a_of[i]} / {n_of[i]}), "
+        f"1e-6 * v)) else s{i} end as s{i}"
+        for i in each
+    )
+    inside = f" where {value} <= u" if tail else ""
+    joined = f" join {tail} using ({by})" if tail else ""
+    return f"""{name}_q as (select {by}, count(*) as n, var_pop({value}) as v, quantile_disc({value}, {starts}) as qs
+  from {source} group by {by}),
+ {name}_e as (select {by}, n, v{extra}, 0 as step, -1e308::double as ll, false as done, {
+        ", ".join(f"{1.0 / k!r}::double as w{i}, qs[{i + 1}]::double as m{i}, sqrt(v) as s{i}" for i in each)}
+  from {name}_q{joined} where n >= {10 * k} and v > 0
+ union all
+ select {by}, n, v{extra}, step + 1, {likelihood} / n,
+  (step > 0 and abs({likelihood} / n - ll) <= 1e-4 * abs({likelihood} / n)) or step + 1 >= 200, {moved}
+ from (select *{parts} from (select {by}, n, v{extra}, step, ll, {carried}, {sums},
+   sum(case when {whole} > 0 then ln({whole}) else -745.0 end) as l
+  from (select {by}, {value}, n, v{extra}, step, ll, {carried}, {densities} from {source} join {name}_e using ({by}) where not done)
+  {inside} group by {by}, n, v{extra}, step, ll, {carried}))),
+ {name} as (select {by}, n, {carried} from {name}_e where done)"""
 
 
-def emm_sql(source: str, keys: list[str], k: int, iterations: int, name: str, level: float = 0.95) -> str:
+def emm_sql(source: str, keys: list[str], k: int, name: str, level: float = 0.95) -> str:
     """Chain ending in ``name``: the mixture columns and n_tail, u, xi, beta, norm."""
     by = ", ".join(keys)
     return ",\n".join(
         [
-            em_sql(source, keys, k, iterations, f"{name}_b"),
             f"{name}_u as (select {by}, quantile_disc(y, {level}) as u from {source} group by {by})",
             f"{name}_z as (select {by}, u, y - u as z from {source} join {name}_u using ({by}) where y > u)",
             f"{name}_m as (select {by}, any_value(u) as u, count(*) as n_tail, avg(z) as zm, var_samp(z) as zv "
             f"from {name}_z group by {by})",
-            f"{name} as (select *, {gmm_tail_sql('u', k)} as norm, 0.5 * (1 - zm * zm / zv) as xi, "
+            f"{name}_c as (select {by}, u, n_tail from {name}_m)",
+            em_sql(source, keys, k, f"{name}_b", tail=f"{name}_c"),
+            f"{name} as (select * replace ({', '.join(f'w{i} * (1 - n_tail / n) / (1 - {gmm_tail_sql(chr(117), k)}) as w{i}' for i in range(k))}), "
+            f"n_tail / n as norm, 0.5 * (1 - zm * zm / zv) as xi, "
             f"0.5 * zm * (zm * zm / zv + 1) as beta from {name}_b join {name}_m using ({by}) where n_tail >= 30)",
         ]
     )

@@ -36,20 +36,20 @@ from dwelltail.session import attach
 from dwelltail.sources import derived, io
 from dwelltail.sources.schemas import EVALUATION, PARAMETERS
 
-K, BULK, STEPS = q.K, q.BULK, q.ITERATIONS
+K, BULK = q.K, q.BULK
 STATE = ["state"]
-GM = f"{TAIL},\n{q.em_sql('tl', STATE, K, STEPS, 'gm')}"
-EM = f"{TAIL},\n{q.emm_sql('tl', STATE, BULK, STEPS, 'em')}"
+GM = f"{TAIL},\n{q.em_sql('tl', STATE, K, 'gm')}"
+EM = f"{TAIL},\n{q.emm_sql('tl', STATE, BULK, 'em')}"
 TARGETS = [50.0, 100.0, 200.0, 400.0]
 TARGET_SQL = f"t as (select unnest({level_list(TARGETS)}) as y)"
 
 
 def gmm(spark, sf):
-    return fit.fit_gmm(derived.tail_rows(spark, sf), STATE, "y", K, STEPS)
+    return fit.fit_gmm(derived.tail_rows(spark, sf), STATE, "y", K)
 
 
 def emm(spark, sf):
-    return fit.fit_emm(derived.tail_rows(spark, sf), STATE, "y", BULK, STEPS)
+    return fit.fit_emm(derived.tail_rows(spark, sf), STATE, "y", BULK)
 
 
 def at_targets(params, targets=TARGETS):
@@ -73,13 +73,13 @@ def flat_sql(k, digits=6):
 # --- fits ---
 
 
-@query(f"with {GM} select state, n, {flat_sql(K)} from gm")
+@query(f"with recursive {GM} select state, n, {flat_sql(K)} from gm")
 def em_gmm(spark, sf):
     return rounded(flat(gmm(spark, sf), K))
 
 
 @query(
-    f"""with {EM} select state, n, {flat_sql(BULK)}, n_tail, u, round(xi, 6) as xi, round(beta, 6) as beta,
+    f"""with recursive {EM} select state, n, {flat_sql(BULK)}, n_tail, u, round(xi, 6) as xi, round(beta, 6) as beta,
  round(norm, 9) as norm, 'ok' as status from em"""
 )
 def fit_emm(spark, sf):
@@ -99,18 +99,18 @@ def _boot_sql(name: str, n: int, replicas: int, seed: int) -> str:
 
 
 @query(
-    f"""with {_BOOT}, {_boot_sql('bt', 2000, 3, 7)},
- {q.em_sql('bt', ['n_train', 'replica', 'state'], 2, 2, 'gm')}
+    f"""with recursive {_BOOT}, {_boot_sql('bt', 2000, 3, 7)},
+ {q.em_sql('bt', ['n_train', 'replica', 'state'], 2, 'gm')}
  select n_train, replica, state, n, {flat_sql(2)} from gm"""
 )
 def fit_replicas(spark, sf):
     sample = sampling.bootstrap(derived.tail_rows(spark, sf), "id", 2000, 3, seed=7)
-    fitted = fit.fit_gmm(sample.withColumn("n_train", F.lit(2000)), ["n_train", "replica", "state"], "y", 2, 2)
+    fitted = fit.fit_gmm(sample.withColumn("n_train", F.lit(2000)), ["n_train", "replica", "state"], "y", 2)
     return rounded(flat(fitted, 2))
 
 
 @query(
-    f"""with {_BOOT}, {_boot_sql('bt', 2000, 2, 8)} select 'events' as predictor, replica, n_train, state, y from bt"""
+    f"""with recursive {_BOOT}, {_boot_sql('bt', 2000, 2, 8)} select 'events' as predictor, replica, n_train, state, y from bt"""
 )
 def replicas_roundtrip(spark, sf):
     path = scratch(spark, "replicas")
@@ -122,14 +122,14 @@ def replicas_roundtrip(spark, sf):
 
 
 def _bc_params(spark, sf):
-    return fit.fit_gmm(derived.dataset(spark, sf, "bc"), ["state1", "state2"], "delay", 2, 2)
+    return fit.fit_gmm(derived.dataset(spark, sf, "bc"), ["state1", "state2"], "delay", 2)
 
 
-_BC2 = f"{BC}, b2 as (select state1, state2, delay as y from bc), {q.em_sql('b2', ['state1', 'state2'], 2, 2, 'gm')}"
+_BC2 = f"{BC}, b2 as (select state1, state2, delay as y from bc), {q.em_sql('b2', ['state1', 'state2'], 2, 'gm')}"
 
 
 @query(
-    f"""with {_BC2} select 'gmm' as model, 'bc' as predictor, state1, state2, n, {flat_sql(2, 4)}, 'ok' as status from gm"""
+    f"""with recursive {_BC2} select 'gmm' as model, 'bc' as predictor, state1, state2, n, {flat_sql(2, 4)}, 'ok' as status from gm"""
 )
 def params_roundtrip(spark, sf):
     path = scratch(spark, "params")
@@ -140,7 +140,7 @@ def params_roundtrip(spark, sf):
     return rounded(read.select("model", "predictor", "state1", "state2", "n", *spread, "status"), 4)
 
 
-@query(f"with {TAIL} select state, count(*) as n, round(avg(y), 6) as b, round(ln(stddev_pop(y)), 6) as a from tl group by state")
+@query(f"with recursive {TAIL} select state, count(*) as n, round(avg(y), 6) as b, round(ln(stddev_pop(y)), 6) as a from tl group by state")
 def affine_normal(spark, sf):
     return rounded(fit.fit_affine(derived.tail_rows(spark, sf), STATE, "y"))
 
@@ -168,7 +168,7 @@ def _kernel_sql() -> str:
 
 
 @query(
-    f"""with {_kernel_sql()} select state, j, round(mu, 6) as mu, round(sigma, 6) as sigma, round(w, 6) as w
+    f"""with recursive {_kernel_sql()} select state, j, round(mu, 6) as mu, round(sigma, 6) as sigma, round(w, 6) as w
  from k{_KM_STEPS} join kn using (j)"""
 )
 def kernel_mixture(spark, sf):
@@ -183,7 +183,7 @@ def kernel_mixture(spark, sf):
 
 
 @query(
-    f"""with {GM}, p as (select id, state, {q.gmm_pdf_sql('y', K)} as d from tl join gm using (state))
+    f"""with recursive {GM}, p as (select id, state, {q.gmm_pdf_sql('y', K)} as d from tl join gm using (state))
  select id, state, round(d, 9) as pdf, round(ln(d), 6) as log_pdf from p"""
 )
 def gmm_pdf(spark, sf):
@@ -197,7 +197,7 @@ def gmm_pdf(spark, sf):
 
 
 @query(
-    f"""with {GM}, p as (select id, state, {q.gmm_tail_sql('y', K)} as t from tl join gm using (state))
+    f"""with recursive {GM}, p as (select id, state, {q.gmm_tail_sql('y', K)} as t from tl join gm using (state))
  select id, state, round(log10(t), 6) as log10_tail, round(1 - t, 9) as cdf from p"""
 )
 def gmm_tail(spark, sf):
@@ -209,7 +209,7 @@ def gmm_tail(spark, sf):
 
 
 @query(
-    f"""with {GPD} select id, state, round({q.gpd_tail_sql('y - u')}, 9) as tail, round({q.gpd_pdf_sql('y - u')}, 9) as pdf
+    f"""with recursive {GPD} select id, state, round({q.gpd_tail_sql('y - u')}, 9) as tail, round({q.gpd_pdf_sql('y - u')}, 9) as pdf
  from tl join gpd using (state) where y > u and n_tail >= 30"""
 )
 def gpd_tail(spark, sf):
@@ -230,12 +230,12 @@ def _emm_rows(spark, sf):
     return attach(derived.tail_rows(spark, sf), emm(spark, sf).filter("status = 'ok'").drop("n", "n_tail"), STATE)
 
 
-@query(f"with {EM} select id, state, round({q.emm_pdf_sql('y')}, 9) as pdf from tl join em using (state)")
+@query(f"with recursive {EM} select id, state, round({q.emm_pdf_sql('y')}, 9) as pdf from tl join em using (state)")
 def emm_pdf(spark, sf):
     return _emm_rows(spark, sf).select("id", "state", F.round(mixtures.emm_pdf(F.col("y"), BULK), 9).alias("pdf"))
 
 
-@query(f"with {EM} select id, state, round({q.emm_tail_sql('y')}, 9) as tail from tl join em using (state)")
+@query(f"with recursive {EM} select id, state, round({q.emm_tail_sql('y')}, 9) as tail from tl join em using (state)")
 def emm_tail(spark, sf):
     scored = mixtures.with_tail(_emm_rows(spark, sf), F.col("y"), BULK, "tail", pareto=True)
     return scored.select("id", "state", F.round("tail", 9).alias("tail"))
@@ -250,7 +250,7 @@ def _levels_sql(levels, source: str) -> str:
 
 def _emm_quantile_sql(levels) -> str:
     return f"""{EM}, {_levels_sql(levels, 'em')}, ej as (select * from em_lv join em using (state)),
- {q.bisect_sql('ej', ['state', 'q'], q.gmm_tail_sql('@Y@', BULK), '(1 - q)', 'u', 'eb')},
+ {q.bisect_sql('ej', ['state', 'q'], q.bulk_tail_sql('@Y@'), '(1 - q)', 'u', 'eb')},
  eq as (select state, q, case when 1 - q < norm then u + beta / xi * (pow((1 - q) / norm, -xi) - 1) else root end as y_hat
  from ej join eb using (state, q))"""
 
@@ -285,7 +285,7 @@ def _with_moments(spark, sf):
     return params.withColumn("sd", F.sqrt(mixtures.mixture_variance(K)))
 
 
-@query(f"with {_MOMENTS} select state, round(mean, 6) as mean, round(var, 4) as variance, round(sqrt(var), 6) as std from mv")
+@query(f"with recursive {_MOMENTS} select state, round(mean, 6) as mean, round(var, 4) as variance, round(sqrt(var), 6) as std from mv")
 def mixture_moments(spark, sf):
     return gmm(spark, sf).select(
         "state",
@@ -299,7 +299,7 @@ _LO, _HI = "mean - 10 * sqrt(var)", "mean + 10 * sqrt(var)"
 
 
 @query(
-    f"""with {_MOMENTS}, {_grid_sql('mv', _LO, _HI, 2001)}
+    f"""with recursive {_MOMENTS}, {_grid_sql('mv', _LO, _HI, 2001)}
  select state, round(sum(wt * {q.gmm_pdf_sql('y', K)}), 9) as mass from g group by state"""
 )
 def trapezoid(spark, sf):
@@ -309,7 +309,7 @@ def trapezoid(spark, sf):
 
 
 @query(
-    f"""with {_MOMENTS}, {_grid_sql('mv', _LO, _HI, 2001)}, p as (select state, wt, y, {q.gmm_pdf_sql('y', K)} as d from g),
+    f"""with recursive {_MOMENTS}, {_grid_sql('mv', _LO, _HI, 2001)}, p as (select state, wt, y, {q.gmm_pdf_sql('y', K)} as d from g),
  r as (select state, sum(wt * y * d) as m1, sum(wt * y * y * d) as m2, sum(wt * pow(y, 3) * d) as m3,
  sum(wt * pow(y, 4) * d) as m4 from p group by state)
  select state, round(m1, 6) as mean, round(sqrt(m2 - m1 * m1), 6) as std,
@@ -323,7 +323,7 @@ def density_moments(spark, sf):
 
 
 @query(
-    f"""with {GM}, t as (select unnest([50.0::double, 100.0, 200.0]) as t), s as (select * from gm, t),
+    f"""with recursive {GM}, t as (select unnest([50.0::double, 100.0, 200.0]) as t), s as (select * from gm, t),
  {_grid_sql('s', 't', '1000.0', 2001)}
  select state, t, round(sum(wt * {q.gmm_pdf_sql('y', K)}), 9) as tail from g group by state, t"""
 )
@@ -336,7 +336,7 @@ def tail_by_integral(spark, sf):
 
 
 @query(
-    f"""with {GM}, g as (select *, 0.1::double + j * 0.1::double as y from gm, (select unnest(range(0, 299)) as j))
+    f"""with recursive {GM}, g as (select *, 0.1::double + j * 0.1::double as y from gm, (select unnest(range(0, 299)) as j))
  select state, round(sum(y * {q.gmm_pdf_sql('y', K)} * 0.1), 6) as expectation from g group by state"""
 )
 def grid_expectation(spark, sf):
@@ -346,25 +346,60 @@ def grid_expectation(spark, sf):
 ALPHA = 0.05
 
 
+#: The SQL brackets the quantile between these, the columns by the components; the halvings are as many as it needs.
+_FAR = 1000.0
+
+
+def _value_at_risk_sql(source: str, tail: str) -> str:
+    """Table ``ar``: the alpha-quantile as the root of the tail between -1000 and 1000, by a plain search."""
+    return f"""ar_r as (select state, 0 as step, {-_FAR}::double as lo, {_FAR}::double as hi from {source}
+ union all select state, step + 1, case when {tail} > {1 - ALPHA} then (lo + hi) / 2 else lo end,
+  case when {tail} > {1 - ALPHA} then hi else (lo + hi) / 2 end from ar_r join {source} using (state) where step < 70),
+ ar as (select state, (lo + hi) / 2 as var from ar_r where step = 70)"""
+
+
+_CELLS = 20_000
+# E[y | y <= var] by the trapezoid rule over the forty deviations below it, from the density alone
+_CVAR_SQL = """cg as (select state, var, floor, unnest(range(0, {cells} + 1)) as i from (select state, var, {floor} as floor from ar join {source} using (state))),
+ cy as (select state, var, i, floor + (var - floor) * i / {cells}.0 as y, (var - floor) / {cells}.0 as h from cg),
+ cv as (select state, any_value(var) as var, sum(y * {pdf} * h * case when i in (0, {cells}) then 0.5 else 1 end) / {alpha} as cvar
+  from cy join {source} using (state) group by state)"""
+
+
+def _floor_sql(k: int) -> str:
+    return "least(" + ", ".join(f"m{i} - 12 * s{i}" for i in range(k)) + ")"
+
+
 @query(
-    f"""with recursive {GM}, {_gmm_quantile_sql([ALPHA])},
- c as (select state, y_hat as var, {' + '.join(
-     f"case when {q.normal_cdf_sql('y_hat', f'm{i}', f's{i}')} >= 1e-64 then w{i} / {ALPHA} * "
-     f"({q.normal_cdf_sql('y_hat', f'm{i}', f's{i}')} * m{i} - s{i} * s{i} * {q.phi('y_hat', f'm{i}', f's{i}')}) else 0 end"
-     for i in range(K))} as cvar from gq join gm using (state))
- select state, round(var, 6) as var, round(cvar, 6) as cvar from c"""
+    f"""with recursive {GM}, {_value_at_risk_sql('gm', q.gmm_tail_sql('((lo + hi) / 2)', K))},
+ {_CVAR_SQL.format(cells=_CELLS, floor=_floor_sql(K), source='gm', pdf=q.gmm_pdf_sql('y', K), alpha=ALPHA)}
+ select state, round(var, 6) as var, round(cvar, 2) as cvar from cv"""
 )
 def mixture_var_cvar(spark, sf):
-    params = gmm(spark, sf).withColumn("var", mixtures.gmm_quantile(F.lit(ALPHA), K))
+    params = gmm(spark, sf).filter("status = 'ok'").withColumn("var", mixtures.gmm_value_at_risk(ALPHA, K))
     return params.select(
         "state",
         F.round("var", 6).alias("var"),
-        F.round(mixtures.mixture_cvar(F.col("var"), ALPHA, K), 6).alias("cvar"),
+        F.round(mixtures.mixture_cvar(F.col("var"), ALPHA, K), 2).alias("cvar"),
     )
 
 
 @query(
-    f"""with {GM}, s as (select id, state, {uniform_sql(21, 'id', "'c'")} as c, {normal_sql(21, 'id')} as z, gm.* exclude (state)
+    f"""with recursive {EM}, {_value_at_risk_sql('em', q.emm_tail_sql('((lo + hi) / 2)'))},
+ {_CVAR_SQL.format(cells=_CELLS, floor=_floor_sql(BULK), source='em', pdf=q.emm_pdf_sql('y'), alpha=ALPHA)}
+ select state, round(var, 6) as var, round(cvar, 2) as cvar from cv"""
+)
+def emm_var_cvar(spark, sf):
+    """Risk below the alpha-quantile of the mixture with a Pareto tail, by an integral over its density."""
+    params = emm(spark, sf).filter("status = 'ok'").withColumn("var", mixtures.emm_value_at_risk(ALPHA, BULK))
+    floor = F.least(*[m - F.lit(12.0) * s for _, m, s in mixtures.components(BULK)])
+    held = params.withColumn("_floor", floor)
+    cvar = mixtures.cvar_by_integral(lambda y: mixtures.emm_pdf(y, BULK), F.col("var"), F.col("_floor"), ALPHA, _CELLS)
+    return held.select("state", F.round("var", 6).alias("var"), F.round(cvar, 2).alias("cvar"))
+
+
+@query(
+    f"""with recursive {GM}, s as (select id, state, {uniform_sql(21, 'id', "'c'")} as c, {normal_sql(21, 'id')} as z, gm.* exclude (state)
  from tl join gm using (state))
  select id, state, round(case when c < w0 then m0 + s0 * z when c < w0 + w1 then m1 + s1 * z else m2 + s2 * z end, 6) as y
  from s"""
@@ -382,7 +417,7 @@ _U = [uniform_sql(31, "state", "i", f"'c{m}'") for m in range(3)]
 
 
 @query(
-    f"""with {_MOMENTS}, d as (select *, i from mv, (select unnest(range(0, 2000)) as i)),
+    f"""with recursive {_MOMENTS}, d as (select *, i from mv, (select unnest(range(0, 2000)) as i)),
  t as (select *, {normal_sql(31, 'state', 'i')} / sqrt(-2.0 * (ln({_U[0]}) + ln({_U[1]}) + ln({_U[2]})) / 6) as t from d),
  y as (select *, mean + 2 * sqrt(var) * t as y, {_T6!r}::double / (2 * sqrt(var)) * pow(1 + t * t / 6, -3.5) as f from t)
  select state, round(avg({q.gmm_pdf_sql('y', K)} / f), 6) as mass,
@@ -404,7 +439,7 @@ def mc_integral(spark, sf):
 
 
 @query(
-    f"""with {GM}, af as (select state, avg(y) as b, stddev_pop(y) as sd from tl group by state),
+    f"""with recursive {GM}, af as (select state, avg(y) as b, stddev_pop(y) as sd from tl group by state),
  l as (select ln({q.gmm_pdf_sql('y', K)}) as g, ln({q.phi('y', 'b', 'sd')}) as a from tl join gm using (state) join af using (state))
  select 'gmm' as model, count(*) as n, round(avg(g), 6) as loglik from l union all
  select 'affine', count(*), round(avg(a), 6) from l"""
@@ -426,7 +461,7 @@ _KX = "exp(-0.5 * ((qx.x - kr.x) / hx) * ((qx.x - kr.x) / hx))"
 
 
 @query(
-    f"""with {_CK}, gs as (select kr.x as x, g.y as y, count(*) as n, sum({q.phi('g.y', 'kr.y', 'hy')}) as s
+    f"""with recursive {_CK}, gs as (select kr.x as x, g.y as y, count(*) as n, sum({q.phi('g.y', 'kr.y', 'hy')}) as s
  from kr, g, st group by all)
  select qx.x as x, kr.y as y, round(sum({_KX} * s) / sum({_KX} * n), 9) as pdf from qx, gs kr, st group by qx.x, kr.y"""
 )
@@ -435,7 +470,7 @@ def ckde_pdf(spark, sf):
 
 
 @query(
-    f"""with {_CK}, gs as (select kr.x as x, g.y as y, count(*) as n, sum({q.normal_cdf_sql('g.y', 'kr.y', 'hy')}) as s
+    f"""with recursive {_CK}, gs as (select kr.x as x, g.y as y, count(*) as n, sum({q.normal_cdf_sql('g.y', 'kr.y', 'hy')}) as s
  from kr, g, st group by all)
  select qx.x as x, kr.y as y, round(sum({_KX} * s) / sum({_KX} * n), 9) as cdf from qx, gs kr, st group by qx.x, kr.y"""
 )
@@ -453,7 +488,7 @@ _NK = f"""{KERN}, sc as (select avg(x) as m, stddev_pop(x) as s, stddev_pop(y) a
 
 
 @query(
-    f"""with {_NK}, {_near_sql(0.4)},
+    f"""with recursive {_NK}, {_near_sql(0.4)},
  bw as (select 1.06 * any_value(sy) * pow(sum(own * n) / any_value(total) - 1, -0.2) as h from pr, sc),
  g as (select unnest({level_list(Y_POINTS)}) as y),
  gs as (select kr.x as nx, g.y as y, sum({q.phi('g.y', 'kr.y', 'h')}) as s from kr, g, bw group by all)
@@ -480,7 +515,7 @@ def _loo_sql(eps: float) -> str:
 
 
 @query(
-    f"""with {_NK}, u as ({' union all '.join('select * from ' + _loo_sql(e) for e in LOO_EPS)})
+    f"""with recursive {_NK}, u as ({' union all '.join('select * from ' + _loo_sql(e) for e in LOO_EPS)})
  select bandwidth, epsilon, round(loglik, 6) as loglik from u"""
 )
 def nkde_loo_grid(spark, sf):
@@ -502,7 +537,7 @@ def _normalised_centres(rows):
 
 
 @query(
-    f"""with {KERN}, sc as (select avg(x) as mx, stddev_pop(x) as sx, avg(y) as my, stddev_pop(y) as sy from kr),
+    f"""with recursive {KERN}, sc as (select avg(x) as mx, stddev_pop(x) as sx, avg(y) as my, stddev_pop(y) as sy from kr),
  z as (select id, (x - mx) / sx as x, (y - my) / sy as y from kr, sc),
  c as (select (row_number() over (order by {hash_sql(13, 'id')}, id) - 1)::int as centre, x as cx, y as cy from z
  order by centre limit {N_CENTRES})
@@ -534,7 +569,7 @@ def lscde_sample(spark, sf):
 # --- centres ---
 
 
-@query(f"with {KERN} select id, x, y from kr order by {hash_sql(17, 'id')}, id limit 20")
+@query(f"with recursive {KERN} select id, x, y from kr order by {hash_sql(17, 'id')}, id limit 20")
 def centers_random(spark, sf):
     return centres.centres_random(derived.kernel_rows(spark, sf), ["x", "y"], 20, "id", seed=17)
 
@@ -548,7 +583,7 @@ def _farthest_sql(k: int) -> str:
     return ",\n".join(chain)
 
 
-@query(f"with {_farthest_sql(5)} " + " union all ".join(f"select * from f{i}" for i in range(5)))
+@query(f"with recursive {_farthest_sql(5)} " + " union all ".join(f"select * from f{i}" for i in range(5)))
 def centers_farthest(spark, sf):
     rows = derived.kernel_rows(spark, sf)
     return centres.as_rows(rows, centres.centres_farthest(rows, ["x", "y"], 5, "id"), ["x", "y"], "id")
@@ -580,7 +615,7 @@ def _edges_sql(wanted: int) -> str:
     return ",\n".join(chain)
 
 
-@query(f"with {_edges_sql(4)} " + " union all ".join(f"select * from e{i}" for i in range(4)))
+@query(f"with recursive {_edges_sql(4)} " + " union all ".join(f"select * from e{i}" for i in range(4)))
 def centers_edges(spark, sf):
     rows = derived.kernel_rows(spark, sf)
     return centres.as_rows(rows, centres.centres_edges(rows, ["x", "y"], 10, "id"), ["x", "y"], "id")
@@ -596,7 +631,7 @@ _BEST = """a as (select param, avg(loglik) as mean_loglik, arg_max(fold, loglik)
 
 
 @query(
-    f"""with {TAIL}, f as (select *, (ntile({FOLDS}) over (order by id) - 1)::int as fold from tl),
+    f"""with recursive {TAIL}, f as (select *, (ntile({FOLDS}) over (order by id) - 1)::int as fold from tl),
  tr as (select h.fold, state, avg(y) as m, stddev_pop(y) as sd from f, (select distinct fold from f) h
  where f.fold <> h.fold group by all),
  g as (select unnest({level_list(SCALES)}) as param),
@@ -612,7 +647,7 @@ MULTIPLES = [0.5, 1.0, 2.0]
 
 
 @query(
-    f"""with {KERN}, f as (select *, (ntile({FOLDS}) over (order by id) - 1)::int as fold from kr),
+    f"""with recursive {KERN}, f as (select *, (ntile({FOLDS}) over (order by id) - 1)::int as fold from kr),
  h as (select 1.06 * stddev_pop(x) * pow(count(*), -1.0 / 6) as hx, 1.06 * stddev_pop(y) * pow(count(*), -1.0 / 6) as hy
  from kr), c as (select x, fold, count(*) as n from f group by all),
  ma as (select q.x as x, q.fold as fold, {', '.join(
@@ -634,7 +669,7 @@ def cv_grid_ckde(spark, sf):
 # --- evaluation ---
 
 EVAL_LEVELS = [0.9, 0.99, 0.999]
-_ERRORS = f"""{_emm_quantile_sql(EVAL_LEVELS)}, {q.em_sql('tl', STATE, K, STEPS, 'gm')}, {_gmm_quantile_sql(EVAL_LEVELS)},
+_ERRORS = f"""{_emm_quantile_sql(EVAL_LEVELS)}, {q.em_sql('tl', STATE, K, 'gm')}, {_gmm_quantile_sql(EVAL_LEVELS)},
  me as (select state, count(*) as n, unnest({level_list(EVAL_LEVELS)}) as q,
  unnest(quantile_cont(y, {level_list(EVAL_LEVELS)})) as y_q from tl group by state),
  er as (select 'emm' as model, state, q, (y_hat - y_q) / y_q as rel_err, n / (select count(*) from tl) as p_state
@@ -670,7 +705,7 @@ TAIL_LEVELS = quantiles.level_grid(0.99999, 0.00001, 20)
 
 
 @query(
-    f"""with {EM}, {q.em_sql('tl', STATE, K, STEPS, 'gm')},
+    f"""with recursive {EM}, {q.em_sql('tl', STATE, K, 'gm')},
  me as (select state, unnest({level_list(TAIL_LEVELS)}) as q, unnest(quantile_cont(y, {level_list(TAIL_LEVELS)})) as y_q
  from tl group by state),
  e as (select 'emm' as model, q, abs(log10(greatest({q.emm_tail_sql('y_q')}, 1e-16)) - log10(1 - q)) as e
@@ -688,7 +723,7 @@ def tail_log_error(spark, sf):
 
 
 @query(
-    f"""with {_BC2}, me as (select state1, state2, unnest([0.9::double, 0.99]) as q, unnest(quantile_cont(y, [0.9::double, 0.99])) as y_q
+    f"""with recursive {_BC2}, me as (select state1, state2, unnest([0.9::double, 0.99]) as q, unnest(quantile_cont(y, [0.9::double, 0.99])) as y_q
  from b2 group by state1, state2)
  select 'gmm' as model, (select count(*) from b2) as n_train, state1, state2, q, 'log10_err' as metric,
  round(abs(log10(greatest({q.gmm_tail_sql('y_q', 2)}, 1e-16)) - log10(1 - q)), 6) as value from me join gm using (state1, state2)"""
@@ -718,7 +753,7 @@ def _requests(spark, sf):
 
 
 @query(
-    f"""with {_REQUESTS}, {EM} select id, state, budget, round({q.emm_tail_sql('budget')}, 9) as dvp
+    f"""with recursive {_REQUESTS}, {EM} select id, state, budget, round({q.emm_tail_sql('budget')}, 9) as dvp
  from rq join em using (state)"""
 )
 def dvp_score(spark, sf):
@@ -726,7 +761,7 @@ def dvp_score(spark, sf):
 
 
 @query(
-    f"""with {EM}, b as (select unnest({level_list(TARGETS)}) as budget),
+    f"""with recursive {EM}, b as (select unnest({level_list(TARGETS)}) as budget),
  o as (select state, budget, count(*) as n, avg(case when y > budget then 1.0 else 0.0 end) as observed from tl, b
  group by state, budget)
  select state, budget, o.n, round(observed, 9) as observed, round({q.emm_tail_sql('budget')}, 9) as predicted
@@ -745,7 +780,7 @@ def _by_size_sql() -> str:
     both = "bs as (select n_train, state, y from b1 union all select n_train, state, y from b4)"
     hi = "greatest(m0 + 40 * s0, m1 + 40 * s1)"
     return f"""{_BOOT}, {_boot_sql('b1', 1000, 1, 41)}, {_boot_sql('b4', 4000, 1, 41)}, {both},
- {q.em_sql('bs', keys, 2, 2, 'gm')}, gj as (select * from gm, (select unnest([0.9::double, 0.99]) as q)),
+ {q.em_sql('bs', keys, 2, 'gm')}, gj as (select * from gm, (select unnest([0.9::double, 0.99]) as q)),
  {q.bisect_sql('gj', [*keys, 'q'], q.gmm_tail_sql('@Y@', 2), '(1 - q)', hi, 'gb')},
  me as (select state, unnest([0.9::double, 0.99]) as q, unnest(quantile_cont(y, [0.9::double, 0.99])) as y_q from tl group by state),
  e as (select n_train, q, (root - y_q) / y_q as e from gb join me using (state, q))"""
@@ -761,7 +796,7 @@ def error_by_train_size(spark, sf):
     samples = [
         sampling.bootstrap(rows, "id", n, 1, seed=41).select(F.lit(n).alias("n_train"), "state", "y") for n in SIZES
     ]
-    params = fit.fit_gmm(quantiles.union_all(samples), ["n_train", "state"], "y", 2, 2)
+    params = fit.fit_gmm(quantiles.union_all(samples), ["n_train", "state"], "y", 2)
     measured = quantiles.conditional_quantiles(rows, STATE, "y", [0.9, 0.99], "cont")
     joined = measured.join(evaluate.fitted(params).drop("n"), STATE)
     errors = joined.select(
