@@ -39,10 +39,10 @@ SIDE = (LENGTH - CORE) // 2
 #: Letters of a string once the shared part is one letter.
 LETTERS = LENGTH - CORE - SIDE + 1
 #: Bytes of text whose pieces one task sorts, on average.
-BUCKET_BYTES = 20 << 20
-#: Letters of a suffix array at least; one group of surroundings is never cut.
-ARRAY_LETTERS = 60_000
-_BLOCK = 2 << 20
+BUCKET_BYTES = 12 << 20
+#: Letters of a suffix array at least; one group of surroundings is never cut. Short arrays stay in the processor's cache.
+ARRAY_LETTERS = 3_000
+_BLOCK = 1 << 20
 
 _POWER = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_POWER), -1, 1 << 64))
@@ -230,7 +230,8 @@ def compared_pieces(rows: list[dict]):
 def _compared(batches):
     held: list[dict] = []
     for batch in batches:
-        for row in batch.to_pylist():
+        for place in range(batch.num_rows):
+            row = {name: batch.column(i)[place].as_py() for i, name in enumerate(batch.schema.names)}
             if held and held[-1]["bucket"] != row["bucket"]:
                 yield from compared_pieces(held)
                 held = []
@@ -334,6 +335,23 @@ def suffix_array(text: list[int]) -> list[int]:
     return result
 
 
+def with_partner(groups: list[int], words: list[bytes], cores: list[int], ids: list[int]) -> list[int]:
+    """Rows that share nine bytes before or after the shared part with another document's row of their group.
+
+    Besides the shared part a string has 17 bytes, so nine of them at least lie on one side.
+    """
+    half = LETTERS // 2
+    seen: dict = {}
+    sides = []
+    for group, word, core, number in zip(groups, words, cores, ids):
+        both = (group, word[max(0, core - half) : core], 0), (group, word[core : core + half], 1)
+        sides.append(both)
+        for side in both:
+            if seen.setdefault(side, number) != number:
+                seen[side] = None
+    return [i for i, (before, after) in enumerate(sides) if seen[before] is None or seen[after] is None]
+
+
 def repeated_starts(groups: np.ndarray, words: list[bytes], cores: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, letter) of the strings that a row of the same group with a smaller id has as well."""
     distinct: dict = {}
@@ -377,6 +395,9 @@ def _sorted_out(batches):
     held: list = []
 
     def work(rows: list):
+        rows = [rows[i] for i in with_partner(*(list(c) for c in list(zip(*rows))[:3]), [r[4] for r in rows])]
+        if not rows:
+            return
         groups = np.array([r[0] for r in rows], np.int64)
         ids, keys = np.array([r[4] for r in rows], np.int64), np.array([r[5] for r in rows], np.int32)
         row, letter = repeated_starts(groups, [r[1] for r in rows], np.array([r[2] for r in rows]), ids)
@@ -443,7 +464,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     total = rows.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]
     buckets = max(1, -(-total // BUCKET_BYTES))
     packed = rows.select("_order", "_key", "_text").mapInArrow(_packed(buckets), PACKED)
-    dealt = packed.repartition("bucket").sortWithinPartitions("bucket")
+    dealt = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
     spans = cut(dealt.mapInArrow(_compared, "_key int, _order long, kind int, spans binary"))
 
     # both joins read the same exchange of the texts
