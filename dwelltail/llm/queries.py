@@ -21,12 +21,12 @@ from dwelltail.llm import (
     secret_forest,
 )
 from dwelltail.llm.common import table
+from dwelltail.llm.oracles import ORACLES  # noqa: F401
 
 #: Vocabulary of the encoding query; another file can be named in the environment.
 PIECE_MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(function):
