@@ -17,9 +17,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dwelltail.functions.special import SQRT_2PI, normal_cdf, normal_pdf
-from dwelltail.operators.matching import _pairs_within, eps_neighbors, neighbor_weights, scales_of, support
+from dwelltail.operators.matching import NEAREST, _pairs_within, eps_neighbors, known, neighbor_weights, scales_of, support
 from dwelltail.operators.sampling import normal, uniform
-from dwelltail.session import attach, cut
+from dwelltail.session import attach, complete_rows, cut
 
 #: exp(-z^2 / 2) is zero in double precision beyond this many bandwidths.
 REACH = 38.7
@@ -36,6 +36,12 @@ def _sum(terms: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, terms)
 
 
+def _log_sum(terms: list[Column]) -> Column:
+    """Logarithm of a sum of exponentials, finite where they underflow."""
+    top = F.greatest(*terms) if len(terms) > 1 else terms[0]
+    return top + F.log(_sum([F.exp(t - top) for t in terms]))
+
+
 def _sums_at(df: DataFrame, columns: list[str], value: str, points: list[float], term) -> DataFrame:
     """Per distinct x: n and s0, s1, ... = sum of term(point, y) over its rows."""
     return df.groupBy(*columns).agg(
@@ -68,6 +74,7 @@ def ckde(
 
     Joint over marginal with Gaussian kernels; the last bandwidth is that of y.
     """
+    df = complete_rows(known(df, columns), value, [])
     if bandwidths is None:
         row = df.agg(F.count("*"), *[F.stddev_pop(c) for c in [*columns, value]]).first()
         bandwidths = normal_reference(row[0], list(row[1:]))
@@ -100,7 +107,10 @@ def nkde_bandwidth(pairs: DataFrame, deviation: float, points: DataFrame) -> flo
     own = points.select(*columns, F.col("n").alias("_own"))
     row = pairs.join(own, columns).agg(F.sum(F.col("n") * F.col("_own"))).first()
     total = points.agg(F.sum("n")).first()[0]
-    return 1.06 * deviation * (row[0] / total - 1) ** (-1.0 / 5)
+    neighbours = row[0] / total - 1 if total else 0
+    if neighbours <= 0:
+        raise ValueError("no row has a neighbour within epsilon: give a bandwidth")
+    return 1.06 * deviation * neighbours ** (-1.0 / 5)
 
 
 def nkde(
@@ -118,6 +128,7 @@ def nkde(
     ``order`` (unique per row) names which rows of a state come first when a sparse query
     takes only its five nearest rows.
     """
+    df = complete_rows(known(df, columns), value, [])
     means, stds = scales_of(df, columns)
     found = cut(support(df, columns))
     if bandwidth is None:
@@ -126,10 +137,17 @@ def nkde(
         bandwidth = nkde_bandwidth(within, deviation, found)
     pairs = cut(neighbor_weights(eps_neighbors(found, found, columns, means, stds, epsilon), columns, weighting))
     near = [f"near_{c}" for c in columns]
-    term = lambda p, y: normal_pdf(p, y, F.lit(bandwidth))
     names = [f"s{g}" for g in range(len(points))]
 
-    sums = _sums_at(df, columns, value, points, term).drop("n")
+    def term(p: float, y: Column) -> Column:
+        return F.pow((F.lit(float(p)) - y) / F.lit(bandwidth), 2.0) * F.lit(-0.5)
+
+    # per state and point the logarithm of its kernel sum, relative to its nearest row, so that nothing underflows
+    tops = df.groupBy(*columns).agg(*[F.max(term(p, F.col(value))).alias(f"t{g}") for g, p in enumerate(points)])
+    beside = attach(df.select(*columns, value), tops, columns)
+    sums = beside.groupBy(*columns).agg(*[
+        (F.first(f"t{g}") + F.log(F.sum(F.exp(term(p, F.col(value)) - F.col(f"t{g}"))))).alias(names[g]) for g, p in enumerate(points)
+    ])
     whole = pairs.filter("take = n").join(sums.withColumnsRenamed(dict(zip(columns, near))), near)
     parts = whole.select(*columns, "weight", *names)
     partial = pairs.filter("take < n")
@@ -140,19 +158,22 @@ def nkde(
         ranked = df.join(wanted, columns, "left_semi").withColumn(
             "_rn", F.row_number().over(Window.partitionBy(*columns).orderBy(order))
         )
-        # a fallback takes at most five rows, so no more are kept per state
-        first = ranked.filter(F.col("_rn") <= 5).select(*[F.col(c).alias(a) for a, c in zip(near, columns)], "_rn", value)
+        # a fallback takes at most ``NEAREST`` rows, so no more are kept per state
+        first = ranked.filter(F.col("_rn") <= NEAREST).select(*[F.col(c).alias(a) for a, c in zip(near, columns)], "_rn", value)
         some = partial.join(first, near).filter(F.col("_rn") <= F.col("take"))
         parts = parts.unionByName(
             some.select(
                 *columns,
                 "weight",
-                *[term(F.lit(float(p)), F.col(value)).alias(names[g]) for g, p in enumerate(points)],
+                *[term(p, F.col(value)).alias(names[g]) for g, p in enumerate(points)],
             )
         )
-    mixed = parts.groupBy(*columns).agg(
-        *[F.log(F.sum(F.col("weight") * F.col(n))).alias(f"p{g}") for g, n in enumerate(names)]
-    )
+    logs = parts.filter("weight > 0").select(*columns, *[(F.log("weight") + F.col(n)).alias(n) for n in names])
+    highest = logs.groupBy(*columns).agg(*[F.max(n).alias(f"h{g}") for g, n in enumerate(names)])
+    scale = math.log(bandwidth * SQRT_2PI)
+    mixed = attach(logs, highest, columns).groupBy(*columns).agg(*[
+        (F.first(f"h{g}") + F.log(F.sum(F.exp(F.col(n) - F.col(f"h{g}")))) - F.lit(scale)).alias(f"p{g}") for g, n in enumerate(names)
+    ])
     return _at_points(mixed, columns, points, "log_pdf")
 
 
@@ -244,6 +265,7 @@ def nkde_loo(
     Rows of sparse states (five nearest rows instead of an epsilon ball) are evaluated from
     their selected rows directly.
     """
+    df = complete_rows(known(df, columns), value, [])
     means, stds = scales_of(df, columns)
     found = cut(support(df, columns))
     near = [f"near_{c}" for c in columns]
@@ -251,7 +273,7 @@ def nkde_loo(
     for epsilon in epsilons:
         pairs = cut(eps_neighbors(found, found, columns, means, stds, epsilon))
         sizes = cut(pairs.groupBy(*columns).agg(F.sum("take").alias("_rows")))
-        sparse = cut(sizes.filter(F.col("_rows") <= 5).select(*columns))
+        sparse = cut(sizes.filter(F.col("_rows") <= NEAREST).select(*columns))
         some = None
         if not sparse.isEmpty():
             some = cut(_selected_pairs(df, row_id, columns, value, pairs, sparse))
@@ -294,7 +316,7 @@ def _selected_pairs(df, row_id, columns, value, pairs, sparse) -> DataFrame:
     ranked = df.join(wanted, columns, "left_semi").withColumn(
         "_rn", F.row_number().over(Window.partitionBy(*columns).orderBy(row_id))
     )
-    first = ranked.filter(F.col("_rn") <= 5).select(
+    first = ranked.filter(F.col("_rn") <= NEAREST).select(
         *[F.col(c).alias(a) for a, c in zip(near, columns)], "_rn", F.col(row_id).alias("_other"), F.col(value).alias("_y")
     )
     selected = chosen.join(first, near).filter(F.col("_rn") <= F.col("take")).select(*columns, "_other", "_y")
@@ -360,11 +382,13 @@ def lscde_pdf(
     for i, x in enumerate(zx):
         rows = rows.withColumn(f"_z{i}", x)
     factor = -0.5 / bandwidth**2
-    marginal, joint, first, second = [], [], [], []
+    marginal, joint, first, second, logs_x, logs_xy = [], [], [], [], [], []
     for weight, centre in zip(alpha, centres):
         sq_x = _sum([(F.col(f"_z{i}") - F.lit(float(c))) ** 2 for i, c in enumerate(centre[:-1])])
         kx = F.lit(weight) * F.exp(F.lit(factor) * sq_x)
         gap = F.col("_zy") - F.lit(float(centre[-1]))
+        logs_x.append(F.lit(math.log(weight)) + F.lit(factor) * sq_x)
+        logs_xy.append(logs_x[-1] + F.lit(factor) * gap * gap)
         marginal.append(kx)
         joint.append(kx * F.exp(F.lit(factor) * gap * gap))
         first.append(kx * F.lit(float(centre[-1])))
@@ -375,7 +399,7 @@ def lscde_pdf(
     pdf = F.col("_pxy") / (F.col("_px") * F.lit(SQRT_2PI * bandwidth * stds[-1]))
     return rows.select(
         *queries.columns,
-        F.log(pdf).alias("log_pdf"),
+        (_log_sum(logs_xy) - _log_sum(logs_x) - F.lit(math.log(SQRT_2PI * bandwidth * stds[-1]))).alias("log_pdf"),
         pdf.alias("pdf"),
         (mean * F.lit(stds[-1]) + F.lit(means[-1])).alias("mean"),
         (F.sqrt(spread) * F.lit(stds[-1])).alias("std"),

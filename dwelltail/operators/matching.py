@@ -70,7 +70,7 @@ def distances_to(
 
 def support(df: DataFrame, columns: list[str]) -> DataFrame:
     """Distinct x with their number of rows; kernel work on x happens on this table."""
-    return df.groupBy(*columns).agg(F.count("*").alias("n"))
+    return known(df, columns).groupBy(*columns).agg(F.count("*").alias("n"))
 
 
 def scales_of(df: DataFrame, columns: list[str]) -> tuple[list[float], list[float]]:
@@ -83,11 +83,23 @@ def scales_of(df: DataFrame, columns: list[str]) -> tuple[list[float], list[floa
     return [row[i] for i in range(d)], [row[d + i] for i in range(d)]
 
 
+def _scaled(column: str, mean: float | None, deviation: float | None) -> Column:
+    """The column in deviations from its mean; 0 where it is constant."""
+    return (F.col(column) - F.lit(mean)) / F.lit(deviation) if deviation else F.lit(0.0)
+
+
+def known(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows whose coordinates are all numbers; no others have neighbours."""
+    for c in columns:
+        df = df.filter(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")))
+    return df
+
+
 def _pairs_within(queries: DataFrame, points: DataFrame, columns: list[str], means, stds, radius: float) -> DataFrame:
     """Pairs of distinct states at normalised distance <= radius, by grid cell and its neighbours."""
     d = len(columns)
     width = radius * d**0.5
-    scaled = [(F.col(c) - F.lit(m)) / F.lit(s) for c, m, s in zip(columns, means, stds)]
+    scaled = [_scaled(c, m, s) for c, m, s in zip(columns, means, stds)]
     left = queries.select(*columns, *[z.alias(f"_zq{i}") for i, z in enumerate(scaled)])
     for i in range(d):
         near = F.sequence(F.floor(F.col(f"_zq{i}") / width) - 1, F.floor(F.col(f"_zq{i}") / width) + 1)
@@ -115,9 +127,10 @@ def eps_neighbors(
     """Neighbour states of each query state: near_*, dist, n, take (rows of it that count).
 
     ``points`` is a support table. A query with at most ``nearest`` rows in range takes its
-    ``nearest`` closest rows instead; the search radius doubles until they are found.
+    ``nearest`` closest rows instead; the search radius doubles until they are found, at the latest when it
+    covers all points. Rows with a missing coordinate are no queries and no points.
     """
-    points = cut(points)
+    queries, points = known(queries, columns), cut(known(points, columns))
     total = points.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     pairs = _pairs_within(queries, points, columns, means, stds, epsilon)
     counted = queries.select(*columns).distinct().join(

@@ -323,3 +323,57 @@ def test_violation_probability_matches_counting(spark):
         df.withColumn("budget", F.lit(20.0)), fitted, ["state"], "budget", "gmm", 2
     )._jdf.queryExecution().toString()
     assert "SortMergeJoin" not in plan and "CartesianProduct" not in plan
+
+
+def test_log_densities_are_never_null(spark):
+    """Weight 0 plays no part; beyond the end point of a negative shape the density is 0, its logarithm minus infinity."""
+    row = spark.createDataFrame(
+        [([1.0, 0.0], [0.0, 5.0], [2.0, 1.0], 3.0, -0.5, 1.0, 0.1, 9.0)],
+        "w array<double>, mu array<double>, sigma array<double>, u double, xi double, beta double, norm double, y double",
+    )
+    zero, dead = row.select(mixtures.gmm_log_pdf(F.lit(1.0), 2), mixtures.emm_log_pdf(F.col("y"), 2)).first()
+    assert zero == pytest.approx(math.log(math.exp(-0.125) / (2 * math.sqrt(2 * math.pi)))) and dead == -math.inf
+    none = row.withColumn("w", F.array(F.lit(0.0), F.lit(0.0))).select(mixtures.gmm_log_pdf(F.lit(1.0), 2)).first()[0]
+    assert none == -math.inf
+
+
+def test_value_at_risk_below_zero(spark):
+    """Against a plain search and the closed form of one normal; a scaled bulk with a Pareto tail by numbers."""
+    df = spark.createDataFrame([([1.0], [1.0], [2.0])], "w array<double>, mu array<double>, sigma array<double>")
+    risk = df.withColumn("v", mixtures.gmm_value_at_risk(0.05, 1))
+    at, mean = risk.select("v", mixtures.mixture_cvar(F.col("v"), 0.05, 1)).first()
+    assert at == pytest.approx(1 - 2 * 1.6448536269514722) and mean == pytest.approx(1 - 2 * 2.0627128075074253, rel=1e-6)
+    by_parts = risk.select(mixtures.cvar_by_integral(lambda y: mixtures.gmm_pdf(y, 1), F.col("v"), F.lit(-30.0), 0.05, 4000)).first()[0]
+    assert by_parts == pytest.approx(mean, abs=1e-4)
+
+
+def test_tail_mass_of_the_pareto_mixture(spark):
+    rng = np.random.default_rng(15)
+    df = spark.createDataFrame([(s, float(v)) for s in (0, 1) for v in rng.exponential(50, 3000)], "state int, y double")
+    fitted = fit.fit_emm(df, ["state"], "y", 2)
+    for row in fitted.collect():
+        assert row["status"] == "ok" and row["norm"] == pytest.approx(row["n_tail"] / row["n"]) and row["steps"] > 3
+    ends = fitted.select((mixtures.emm_tail(F.col("u"), 2) - F.col("norm")).alias("gap"), mixtures.emm_tail(F.lit(-1e6), 2).alias("whole"))
+    for row in ends.collect():
+        assert abs(row["gap"]) < 1e-9 and row["whole"] == pytest.approx(1.0)
+
+
+def test_fit_stops_when_settled(spark):
+    df = spark.createDataFrame(draws(), "state int, y double")
+    found = fit.fit_gmm(df, ["state"], "y", 2).collect()
+    assert all(3 < r["steps"] < fit.ITERATIONS for r in found)
+    rows = draws()
+    for r in found:
+        own = np.array([y for s, y in rows if s == r["state"]])
+        dens = sum(w * np.exp(-0.5 * ((own - m) / s) ** 2) / (s * math.sqrt(2 * math.pi)) for w, m, s in zip(r["w"], r["mu"], r["sigma"]))
+        assert r["loglik"] == pytest.approx(np.log(dens).mean(), rel=1e-3)
+
+
+def test_kernels_take_missing_and_constant_coordinates(spark):
+    rows = [(1.0, 1.0), (1.0, 2.0), (2.0, 3.0), (None, 4.0), (3.0, None), (2.0, 2.0), (2.5, 1.0), (1.0, 1.5), (2.0, 9.0)]
+    df = spark.createDataFrame(rows, "x double, y double")
+    far = {(r["x"], r["y"]): r["log_pdf"] for r in kernels.nkde(df, ["x"], "y", [2.0, 5000.0], bandwidth=0.7, order="y").collect()}
+    assert set(far) == {(x, p) for x in (1.0, 2.0, 2.5) for p in (2.0, 5000.0)} and all(v is not None and v > -1e9 for v in far.values())
+    assert kernels.ckde(df, ["x"], "y", [2.0]).count() == 3
+    flat = df.withColumn("x", F.lit(1.0))
+    assert kernels.nkde(flat, ["x"], "y", [2.0], bandwidth=0.7).count() == 1
