@@ -15,7 +15,6 @@ columns named ``lang_pred`` or ``score`` are replaced.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,9 +41,14 @@ class Model:
     temperature: float
 
 
-@cache
+#: Filled at first use in a process: per code point, whether it is a letter.
+_LETTERS: list[np.ndarray] = []
+
+
 def _letters() -> np.ndarray:
-    return np.array([chr(c).isalpha() for c in range(0x110000)])
+    if not _LETTERS:
+        _LETTERS.append(np.array([chr(c).isalpha() for c in range(0x110000)]))
+    return _LETTERS[0]
 
 
 def gram_counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
