@@ -16,11 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_blocks(batches, text: str = "text", limit: int = BLOCK_BYTES):
-    """Slices of Arrow batches whose texts add up to about ``limit`` bytes; a longer text comes alone."""
+def text_blocks(batches, text: str = "text", limit: int = BLOCK_BYTES, per_row: int = 16):
+    """Slices of Arrow batches whose texts add up to about ``limit`` bytes; a longer text comes alone.
+
+    ``per_row`` is what a row counts besides its text, for work that also grows with the rows.
+    """
     for batch in batches:
         lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
-        ends = np.cumsum(lengths.astype(np.int64) + 16)
+        ends = np.cumsum(lengths.astype(np.int64) + per_row)
         start = 0
         while start < batch.num_rows:
             base = ends[start - 1] if start else 0

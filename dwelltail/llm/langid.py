@@ -30,6 +30,8 @@ SIZES = (1, 2, 3)
 SAMPLE_PER_LANGUAGE = 1_000
 UNKNOWN = "und"
 _BLOCK = 1 << 20
+#: A document counts as so many bytes at least: the counts of a block are a dense table of documents by features.
+_ROW = 4 << 10
 
 
 @dataclass
@@ -92,7 +94,7 @@ def document_frequencies(texts: DataFrame, text: str) -> tuple[np.ndarray, int]:
 
     def counted(batches):
         total, n = np.zeros(BUCKETS + 1, np.int64), 0
-        for block in text_blocks(batches, text, _BLOCK):
+        for block in text_blocks(batches, text, _BLOCK, _ROW):
             total[:BUCKETS] += np.bincount(gram_counts(block.column(0).to_pylist())[1], minlength=BUCKETS)
             total[BUCKETS] += block.num_rows
         seen = np.flatnonzero(total)
@@ -164,7 +166,7 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
     chosen = rows.filter(draw < share).select(draw.alias("draw"), F.col(lang).alias("lang"), F.col(text).alias("text"))
 
     def featured(batches):
-        for block in text_blocks(batches, "text", _BLOCK):
+        for block in text_blocks(batches, "text", _BLOCK, _ROW):
             document, feature, count, _ = gram_counts(block.column("text").to_pylist())
             ends = np.searchsorted(document, np.arange(block.num_rows + 1))
             cut = list(zip(ends[:-1], ends[1:]))
@@ -208,7 +210,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
 
     def predicted(batches):
         names = np.array(model.languages, dtype=object)
-        for block in text_blocks(batches, read, _BLOCK):
+        for block in text_blocks(batches, read, _BLOCK, _ROW):
             document, feature, count, has_letter = gram_counts(block.column(read).to_pylist())
             value = tfidf(document, feature, count, model.idf, block.num_rows)
             chance = softmax(scores(document, feature, value, model.weights, block.num_rows) / model.temperature)

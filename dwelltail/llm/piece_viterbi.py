@@ -31,7 +31,7 @@ from dwelltail.llm.common import text_blocks, without
 
 MARK = "▁"
 #: Words whose segmentation a task remembers; beyond, it starts afresh.
-REMEMBERED = 100_000
+REMEMBERED = 60_000
 #: Score below the worst piece for a character that is spelled in bytes.
 BYTE_PENALTY = 10.0
 _BLOCK = 1 << 20
