@@ -464,7 +464,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     total = rows.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]
     buckets = max(1, -(-total // BUCKET_BYTES))
     packed = rows.select("_order", "_key", "_text").mapInArrow(_packed(buckets), PACKED)
-    dealt = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    dealt = packed.repartitionById(buckets, F.col("bucket"))  # one bucket to a task
     spans = cut(dealt.mapInArrow(_compared, "_key int, _order long, kind int, spans binary"))
 
     # both joins read the same exchange of the texts
