@@ -145,7 +145,7 @@ def affine_normal(spark, sf):
     return rounded(fit.fit_affine(derived.tail_rows(spark, sf), STATE, "y"))
 
 
-_KM_STEPS = 3
+_KM_STEPS = 12
 _CE = f"ce as (select y as c, row_number() over (order by {hash_sql(9, 'id')}, id) - 1 as r from tl)"
 
 
