@@ -1,7 +1,7 @@
 """Secret scans: candidates by form, false positives removed by a random forest.
 
-A candidate is a word whose core is long and has a digit, is a long run of capitals, or is assigned to a
-secret's name. Its features are length, transitions between kinds of characters, how much of it the corpus dictionary covers,
+A candidate is a core of a word that is long and has a digit, is a long run of capitals, or is assigned to a
+secret's name, in its word or by the words before it. Its features are length, transitions between kinds of characters, how much of it the corpus dictionary covers,
 its document's path, and the words around it. A random forest learns from labelled findings and is then
 written out as one expression, so that scanning is a projection of the table: no join, no shuffle, no row per candidate.
 
@@ -44,9 +44,29 @@ FORMATS = {
     "jwt": r"^eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]*$",
 }
 #: A text without any of these has no candidate.
-GATE = "[0-9]|[A-Z]{16}|[=:]"
+GATE = rf"[0-9]|[A-Z]{{16}}|[=:>]|(?i:-[a-z_-]{{0,30}}(?:{SECRET_NAMES})|bearer)"
 _CORE = r"[A-Za-z0-9](?:[A-Za-z0-9_+/.@:=-]*[A-Za-z0-9])?"
 
+# What stands between a key and its value inside a word: quotes, an assignment or the end of a tag.
+_ASSIGN = r"[\\\"'\])]{0,4}(?:[=:]++>?|>)"
+_NAMED_KEY = rf"[A-Za-z0-9_.-]*(?i:{SECRET_NAMES})[A-Za-z0-9_.-]*"
+#: A value assigned to a secret's name: up to its closing quote, without quotes up to a separator.
+_VALUE = r"""[\\(\[{]{0,4}(?:"[^"\s]+|'[^'\s]+|(?!//)[^\s"'`<>,;&|()\[\]{}]+)"""
+_NO_VALUE = rf"(?![\\\"'(\[{{]{{0,4}}(?:[A-Za-z][A-Za-z0-9+.-]*://|{_NAMED_KEY}[\\\"']{{0,2}}[=:]+[^\s=:]))"
+#: One candidate of a word with its key. A word that the words before it assign to a name starts with a blank.
+_CHUNK = (
+    rf"^ [=:]*+>?{_NO_VALUE}{_VALUE}|[^A-Za-z0-9 ]{{0,8}}+(?:{_NAMED_KEY}{_ASSIGN}{_NO_VALUE}{_VALUE}"
+    rf"|[A-Za-z][A-Za-z0-9_.-]*{_ASSIGN}[\\\"'(]{{0,4}}{_CORE}|{_CORE})"
+)
+#: Where a core goes on into a secret's name with a value of its own.
+_INSIDE = (
+    rf"(?<=[^/][=:/@+])(?<!(?i:{SECRET_NAMES})[A-Za-z0-9_.-]{{0,40}}[\\\"']{{0,2}}[=:])(?={_NAMED_KEY}[\\\"']{{0,2}}[=:]+[\\\"']{{0,2}}[A-Za-z0-9])"
+)
+# The same over several words.
+_ASSIGNING = rf"(?i)(?:{SECRET_NAMES})[a-z0-9_.-]{{0,40}}{_ASSIGN}[\\\"'(\[{{]{{0,4}}$|^-.{{0,30}}(?:{SECRET_NAMES})[a-z0-9_-]{{0,40}}$|^\W*bearer$"
+_NAMING = rf"(?i)(?:{SECRET_NAMES})[a-z0-9_.-]{{0,40}}[\\\"'\])]{{0,4}}$"
+_SIGN = r"^[=:]+>?[\\\"'(\[{]{0,4}$"
+
 FEATURES = (
     "length", "digit_share", "upper_share", "digit_changes", "case_changes", "consonant_pairs", "distinct_share", "hex", "dotted", "at_sign",
     "covered", "named", "quoted", "assigned", "before_known", "after_known", "path_depth", "path_sample",
@@ -54,32 +74,69 @@ FEATURES = (
 
 
 def candidates(text: Column) -> Column:
-    """Array of (place, key, value, quoted, before, before2, after), one per candidate word of a text."""
-    words = F.split(text, r"\s+")
-
-    def parts(word: Column, place: Column) -> Column:
-        key = F.regexp_extract(word, r"^\W*([A-Za-z][A-Za-z0-9_.-]*)[=:]+[\"']?[A-Za-z0-9]", 1)
-        rest = F.when(key != "", F.regexp_extract(word, r"^\W*[A-Za-z][A-Za-z0-9_.-]*[=:]+(.*)$", 1)).otherwise(word)
-        return F.struct(
-            place.alias("place"), key.alias("key"), F.regexp_extract(rest, _CORE, 0).alias("value"),
-            rest.rlike("^\\W*[\"']").alias("quoted"),
+    """Array of (place, key, value, quoted, before, before2, after), one per candidate of a text.
+
+    A word has a candidate for each of its cores. ``before``, ``before2`` and ``after`` are the neighbouring ones of the
+    word, or the neighbouring words where it has none.
+    """
+    # one element through a lambda, so that a text is split once
+    return F.when(text.rlike(GATE), F.flatten(F.transform(F.array(F.split(text, r"\s+")), _of_words)))
+
+
+def _of_words(words: Column) -> Column:
+    name = f"(?i)(?:{SECRET_NAMES})"
+
+    def near(place: Column) -> Column:
+        return F.coalesce(F.when(place >= 0, F.get(words, place)), F.lit(""))
+
+    def assigned(word: Column, place: Column) -> Column:
+        before, before2 = near(place - 1), near(place - 2)
+        return before.rlike(_ASSIGNING) | (before.rlike(_SIGN) & before2.rlike(_NAMING)) | (word.rlike("^[=:]") & before.rlike(_NAMING))
+
+    def parts(chunk: Column) -> Column:
+        """Key and value of one match of ``_CHUNK``."""
+        named = F.regexp_extract(chunk, rf"^[^A-Za-z0-9 ]*({_NAMED_KEY}){_ASSIGN}{_NO_VALUE}{_VALUE}$", 1)
+        plain = F.regexp_extract(chunk, rf"^[^A-Za-z0-9 ]*([A-Za-z][A-Za-z0-9_.-]*){_ASSIGN}[\\\"'(]{{0,4}}{_CORE}$", 1)
+        told = F.startswith(chunk, F.lit(" "))
+        key = F.when(told, F.lit("")).when(named != "", named).otherwise(plain)
+        head = (
+            F.when(told, F.regexp_extract(chunk, r"^ [=:]*>?[\\(\[{]{0,4}[\"']?", 0))
+            .when(named != "", F.regexp_extract(chunk, rf"^[^A-Za-z0-9 ]*{_NAMED_KEY}{_ASSIGN}[\\(\[{{]{{0,4}}[\"']?", 0))
+            .when(plain != "", F.regexp_extract(chunk, rf"^[^A-Za-z0-9 ]*[A-Za-z][A-Za-z0-9_.-]*{_ASSIGN}[\\\"'(]{{0,4}}", 0))
+            .otherwise(F.regexp_extract(chunk, "^[^A-Za-z0-9]*", 0))
         )
+        value = F.regexp_replace(F.substr(chunk, F.length(head) + 1), r"[.:?\\]+$", "")
+        return F.struct(key.alias("key"), value.alias("value"), head.rlike("[\"'][^A-Za-z0-9=:>]*$").alias("quoted"), told.alias("told"))
 
     def likely(c: Column) -> Column:
         value = c["value"]
-        secret_name = c["key"].rlike(f"(?i)(?:{SECRET_NAMES})") & (F.length(value) >= 6)
+        secret_name = (c["told"] | c["key"].rlike(name)) & (F.length(value) >= 6)
         return secret_name | ((F.length(value) >= 12) & value.rlike("[0-9]")) | value.rlike("[A-Z]{16}")
 
-    def near(place: Column) -> Column:
-        return F.lower(F.coalesce(F.when(place >= 0, F.get(words, place)), F.lit("")))
+    def of_word(s: Column) -> Column:
+        word, place = s["w"], s["i"]
+        apart = F.regexp_replace(word, _INSIDE, " ")
+        chunks = F.regexp_extract_all(F.when(s["told"], F.concat(F.lit(" "), apart)).otherwise(apart), F.lit(f"(?:{_CHUNK})"), F.lit(0))
 
-    found = F.filter(F.transform(F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda s: s["w"].rlike(GATE)),
-                                 lambda s: parts(s["w"], s["i"])), likely)
-    context = F.transform(found, lambda c: F.struct(
-        c["place"].cast("long").alias("place"), c["key"].alias("key"), c["value"].alias("value"), c["quoted"].alias("quoted"),
-        near(c["place"] - 1).alias("before"), near(c["place"] - 2).alias("before2"), near(c["place"] + 1).alias("after"),
-    ))
-    return F.when(text.rlike(GATE), context)
+        def with_context(each: Column) -> Column:
+            def beside(chunk: Column, step: int) -> Column:
+                at = chunk["j"] + step
+                inside = F.when(at >= 0, F.get(each, at)["chunk"])
+                beyond = place + at if step < 0 else place + 1
+                return F.lower(F.trim(F.coalesce(inside, near(beyond))))
+
+            return F.transform(F.filter(F.transform(each, lambda c: F.struct(c["chunk"].alias("chunk"), c["j"].alias("j"), parts(c["chunk"]).alias("p"))),
+                                        lambda c: likely(c["p"])), lambda c: F.struct(
+                place.cast("long").alias("place"), c["p"]["key"].alias("key"), c["p"]["value"].alias("value"), c["p"]["quoted"].alias("quoted"),
+                beside(c, -1).alias("before"), beside(c, -2).alias("before2"), beside(c, 1).alias("after"),
+            ))
+
+        # one element through a lambda, so that the matches of a word are found once
+        numbered = F.transform(chunks, lambda c, j: F.struct(c.alias("chunk"), j.alias("j")))
+        return F.flatten(F.transform(F.array(numbered), with_context))
+
+    marked = F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"), assigned(w, i).alias("told")))
+    return F.flatten(F.transform(F.filter(marked, lambda s: s["told"] | s["w"].rlike(GATE)), of_word))
 
 
 def features(c: Column, path: Column, dictionary: list[str]) -> list[Column]:
@@ -116,10 +173,10 @@ def weak_label(c: Column) -> Column:
     known = F.lit(False)
     for pattern in FORMATS.values():
         known = known | value.rlike(pattern)
-    assigned = c["key"].rlike(name) | (c["before"].rlike("^[=:]+$") & c["before2"].rlike(name))
+    assigned = c["key"].rlike(name) | (c["before"].rlike("^[=:]+$") & c["before2"].rlike(name)) | c["before"].rlike(f"(?i)^\\W*(?:{SECRET_NAMES})[\"']*[=:]+>?$")
     random = value.rlike("^[A-Za-z0-9+/_=-]{16,}$") & value.rlike("[0-9]") & value.rlike("[A-Za-z]")
     harmless = (
-        value.rlike(r"^[^@]+@[^@]+\.[A-Za-z]{2,}$") | value.rlike(r"^[0-9.:/+-]+$") | value.rlike("^(?:https?://|www\\.)") | value.rlike("^[A-Za-z]+$")
+        value.rlike(r"^[^@]+@[^@]+\.[A-Za-z]{2,}$") | value.rlike(r"^[0-9.:/+-]+$") | value.rlike("^(?:https?://|www\\.)") | (value.rlike("^[A-Za-z]+$") & ~assigned)
     )
     return F.when(known | (assigned & random), F.lit(1)).when(harmless, F.lit(0))
 

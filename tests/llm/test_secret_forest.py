@@ -30,6 +30,39 @@ def test_candidates(spark):
     assert found[3]["before"] == "=" and found[3]["before2"] == "token" and found[3]["quoted"]
 
 
+AWS, GITHUB = "AKIA" + "ABCDEFGH12345678", "ghp_" + "a1B2c3D4e5F6" * 3
+CORES = {
+    f'"api_key":"{AWS}"': ("api_key", AWS), f'connect("{AWS}")': ("", AWS), f"<token>{GITHUB}</token>": ("token", GITHUB),
+    f'{{"a":1,"token":"{GITHUB}"}}': ("token", GITHUB), f"id,{AWS}": ("", AWS), "password=P@ss!w0rd#2024xyz": ("password", "P@ss!w0rd#2024xyz"),
+    "password = hunter2x": ("", "hunter2x"), "password: correcthorsebattery": ("", "correcthorsebattery"), '"password" : "P@ss!w0rd",': ("", "P@ss!w0rd"),
+    "pwd =hunter2x": ("", "hunter2x"), "--password hunter2x": ("", "hunter2x"), "config.py:12:password=hunter2x": ("password", "hunter2x"),
+    f"https://a.example/?x=1&token={GITHUB}&y=2": ("token", GITHUB), f"secret={{token:{GITHUB}}}": ("token", GITHUB),
+    f"{{\\\"token\\\":\\\"{GITHUB}\\\"}}": ("token", GITHUB),
+}
+
+
+def test_every_core_of_a_word_is_read(spark):
+    rows = spark.createDataFrame([(t,) for t in CORES], "t string")
+    out = {r["t"]: r["c"] for r in rows.select("t", secret_forest.candidates(F.col("t")).alias("c")).collect()}
+    for text, wanted in CORES.items():
+        assert wanted in [(c["key"], c["value"]) for c in out[text]], (text, out[text])
+        assert all(c["value"] in text for c in out[text])
+
+
+def test_long_words_have_all_their_cores(spark):
+    texts = [",".join(f'"k{i}":"{AWS}"' for i in range(2_000)), "a1+/" * 50_000, "=" * 100_000, "token" * 20_000 + "=1", '"' * 100_000 + "1", "password=" * 20_000]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    sizes = {r["t"][:20]: r["n"] for r in rows.select("t", F.size(secret_forest.candidates(F.col("t"))).alias("n")).collect()}
+    assert sizes[texts[0][:20]] == 2_000
+
+
+def test_cores_are_redacted(spark):
+    text = f'see {{"a":1,"token":"{GITHUB}"}} and connect("{AWS}"), <token>{GITHUB}</token>'
+    docs = spark.createDataFrame([(text, "a")], "text string, source string")
+    (row,) = secret_forest.redact(docs, secret_forest.Forest([], [])).collect()
+    assert row["text"] == 'see {"a":1,"token":"[SECRET]"} and connect("[SECRET]"), <token>[SECRET]</token>'
+
+
 def test_expression_is_the_mean_of_the_trees(spark):
     trees = [(0, 12.0, 0.25, (1, 0.5, 0.0, 1.0)), 0.5]
     rows = spark.createDataFrame([("", "abc123456789xyz", False, "", "", ""), ("", "1234567890123456", False, "", "", "")],
