@@ -41,6 +41,10 @@ HELD_TOKENS = 100_000
 
 # Elements by what they mean in HTML.
 RAW = frozenset("script style noscript template iframe object svg math canvas audio video textarea select head title".split())
+#: Raw elements whose content is no markup: without a closing tag they reach to the end of the page.
+PLAIN = frozenset("script style textarea title".split())
+#: What stands in a head; any other tag ends it.
+HEAD = frozenset("base link meta script style noscript template title object bgsound basefont head html".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split()
@@ -90,13 +94,42 @@ class Block:
         return " ".join(entities.unescape("".join(self.parts)).split())
 
 
+def end_of(tag: str, attributes: str, html: str, place: int, unclosed: set[str]) -> int:
+    """Where a raw element that begins before ``place`` ends; without a closing tag its content is read as any other.
+
+    ``unclosed`` keeps the tags that no closing one follows, which are then not looked for again.
+    """
+    if tag == "head":
+        for match in _TAG.finditer(html, place):
+            if match.start() < place:  # inside a raw element of the head
+                continue
+            if html[place : match.start()].strip():  # text ends a head
+                return place
+            inner = (match.group(2) or match.group(5) or "").lower()
+            closing = match.group(1) or match.group(4)
+            if inner == "head" and closing:
+                return match.end()
+            if inner and inner not in HEAD or inner == "html" and closing:
+                return match.start()
+            place = match.end()
+            if inner in RAW and inner != "head" and not closing:
+                place = end_of(inner, match.group(3) or match.group(6) or "", html, place, unclosed)
+        return place
+    if tag in ("svg", "math") and attributes.rstrip().endswith("/"):
+        return place
+    closed = None if tag in unclosed else re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, place)
+    if closed is None:
+        unclosed.add(tag)
+    return closed.end() if closed else len(html) if tag in PLAIN else place
+
+
 def read_page(html: str) -> tuple[list[str], list[Block]]:
     """Tag tokens in page order, and the text blocks with the number of tag tokens before them."""
     tags: list[str] = []
     blocks: list[Block] = []
     stack: list[tuple[str, str, bool, bool]] = []  # tag, path, inside a main element, inside a side element
     leaf, links, current, place = "", 0, None, 0
-    end_of_raw = None
+    unclosed: set[str] = set()
 
     def add(text: str) -> None:
         nonlocal current
@@ -122,8 +155,7 @@ def read_page(html: str) -> tuple[list[str], list[Block]]:
             continue
         tag = tag.lower()
         if tag in RAW and not closing:
-            end_of_raw = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, place)
-            place = end_of_raw.end() if end_of_raw else len(html)
+            place = end_of(tag, attributes, html, place, unclosed)
             continue
         if tag == "a":
             links = max(0, links + (-1 if closing else 1))

@@ -42,6 +42,14 @@ def test_broken_markup():
     assert page_template.main_text("<div>" * 20_000 + "deep", None)[0] == "deep"
 
 
+def test_raw_elements_without_an_end():
+    article = "<article><p>The text.</p></article>"
+    for start in ("<html><head><title>x</title><body>", "<head><meta a=b><script>var a = '<p>';</script>", "<head><title>x</title></head><body>",
+                  "<body><svg viewBox='0 0 1 1'/>", "<body><svg><path d=1></svg>", "<body><iframe src=x>", "<body><object><video>", "<head>"):
+        assert page_template.main_text(start + article, None)[0] == "The text.", start
+    assert page_template.main_text("<article><p>a<iframe>" * 20_000, None)[0].split() == ["a"] * 20_000
+
+
 def pages(n, host="h.example"):
     """Pages without a main element: the menu is mostly links, one line is on every page, the rest differs."""
     made = []
