@@ -255,18 +255,18 @@ def _summed(batches):
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """Per ``_host``: the template's tokens with class and order, and the slots whose text is mostly links."""
+    """Per ``_host``: the template's tokens with class and order, and its paths: kind 2 where their text is mostly links, else 3."""
     schema = "_host string, token long, kind int, " + ", ".join(f"{c} long" for c in TOKEN_SUMS)
     summed = pages.select("_host", "_html").mapInArrow(_summed, schema)
     merged = summed.groupBy("_host", "token", "kind").agg(*[F.sum(c).alias(c) for c in TOKEN_SUMS])
-    # Only tokens on at least half of the pages meet per host: no more than twice the tokens of a page.
-    repeated = (F.col("kind") != 1) | (F.col("pages") >= LEAST_PAGES)
-    kept = cut(merged.filter(repeated & ((F.col("kind") != 2) | (F.col("link_chars") > LINK_SHARE * F.col("chars")))))
+    # Only tokens and paths on at least half of the pages meet per host: no more than twice those of a page.
+    kept = cut(merged.filter((F.col("kind") == 0) | (F.col("pages") >= LEAST_PAGES)))
     totals = kept.filter("kind = 0").select(F.col("_host").alias("_h"), F.col("pages").alias("_all"))
     known = attach(kept.filter("kind > 0").withColumn("_h", F.col("_host")), totals, ["_h"]).drop("_h")
-    shared = known.filter((F.col("kind") == 2) | (F.col("pages") >= SUPPORT * F.col("_all")))
+    shared = known.filter(F.col("pages") >= SUPPORT * F.col("_all"))
+    links = F.col("link_chars") > LINK_SHARE * F.col("chars")
     vector = F.struct("pages", "times", "sum_a", "sum_b")
-    entry = F.struct(F.col("kind"), F.col("token"), F.xxhash64(vector).alias("vector"), (F.col("places") / F.col("pages")).alias("place"))
+    entry = F.struct(F.when((F.col("kind") == 2) & ~links, 3).otherwise(F.col("kind")).alias("kind"), F.col("token"), F.xxhash64(vector).alias("vector"), (F.col("places") / F.col("pages")).alias("place"))
     return shared.groupBy("_host").agg(F.sort_array(F.collect_list(entry)).alias("_template"))
 
 
@@ -299,15 +299,22 @@ def main_text(html: str | None, template: list) -> tuple[str, int, int]:
     """Main text of a page, the template tokens found on it, and its content slots."""
     tags, blocks = read_page(html or "")
     classes: dict[int, list] = defaultdict(list)
-    menus = set()
+    menus, others = set(), set()
     for entry in template or ():
         if entry["kind"] == 1:
             classes[entry["vector"]].append((entry["place"], entry["token"]))
         else:
-            menus.add(entry["token"])
+            (menus if entry["kind"] == 2 else others).add(entry["token"])
     tokens = tokens_of(tags, blocks) if classes else []
     fixed = usable(classes, tokens) if classes else set()
     marked = any(b.main and not b.side for b in blocks)
+    if not marked:  # a path that few of the host's pages have is judged by this page
+        own: dict = defaultdict(lambda: [0, 0])
+        for block in blocks:
+            slot = own[number_of(block.path)]
+            slot[0] += sum(map(len, block.parts))
+            slot[1] += block.links
+        menus.update(slot for slot, (chars, links) in own.items() if slot not in others and links > LINK_SHARE * chars)
     texts = []
     for block in blocks:
         if block.side or marked and not block.main:

@@ -65,6 +65,19 @@ def test_template_and_menus_without_main_element(spark):
     assert all(r["n_template"] > 5 for r in rows)
 
 
+def test_paths_of_single_pages_stay_out_of_the_template(spark):
+    """Class words that are unique to a page: its links are still dropped, but the host's other pages do not get them."""
+    made = []
+    for i in range(12):
+        slug = "".join("abcdefghij"[int(c)] for c in f"{i:04d}")
+        made.append((i, "http://h.example/", f"<body><div class=x{slug}><p><a href=/>link {i} of many</a></div><div class=y{slug}><p>Text {i}.</div></body>"))
+    frame = spark.createDataFrame(made, "page_id long, url string, html string")
+    rows = page_template.extract(frame).collect()
+    assert sorted((r["page_id"], r["text"]) for r in rows) == [(i, f"Text {i}.") for i in range(12)]
+    (row,) = page_template.templates(frame.select(page_template.F.lit("h").alias("_host"), frame.html.alias("_html"))).collect()
+    assert all(e["kind"] == 1 for e in row["_template"]) and len(row["_template"]) < 8
+
+
 def test_few_pages_have_no_template(spark):
     (row,) = page_template.extract(spark.createDataFrame(pages(1), "page_id long, url string, html string")).collect()
     assert row["text"] == "Always the same line. Text 0 of its own."
