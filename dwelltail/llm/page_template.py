@@ -7,8 +7,8 @@ merged. Classes with enough tokens on enough of the host's pages make the templa
 count whose tokens keep their order and nest in the gaps of the larger classes. What lies between
 template tokens are slots. A slot is content unless an element around it is one of menus, headers, footers, sidebars,
 notices, adverts, forms or comments by its tag or name, or, where the page marks no main element, unless the
-host's text at that path is mostly links. Template text outside a main element is dropped; inside
-it everything stays, because an article may well repeat.
+host's text at that path is mostly links. Template text is dropped, outside a main element
+and inside it; only headings and what stands in the main element itself stay there, because an article may well repeat.
 
 Defined results: NULL and empty html give the empty text; a NULL url or one without a host is one host of its own; hosts
 with few pages have no template, and their slots are judged by path alone; equal pages get equal texts; an
@@ -51,6 +51,7 @@ INLINE = frozenset(
 )
 LOOSE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th thead tbody tfoot option pre caption".split())
 MAIN = frozenset("article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SIDE = frozenset("nav header footer aside form button menu dialog fieldset".split())
 SIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 SIDE_NAMES = frozenset(
@@ -83,12 +84,12 @@ def names_of(attributes: str) -> tuple[set[str], str]:
 
 
 class Block:
-    """A text block: its path, its text, the length of its link text, and where it stands."""
+    """A text block: its path, its text, the length of its link text, where it stands, and whether it is a heading or the main element's own."""
 
-    __slots__ = ("path", "parts", "links", "main", "side", "at")
+    __slots__ = ("path", "parts", "links", "main", "side", "at", "own")
 
-    def __init__(self, path: str, main: bool, side: bool, at: int):
-        self.path, self.parts, self.links, self.main, self.side, self.at = path, [], 0, main, side, at
+    def __init__(self, path: str, main: bool, side: bool, at: int, own: bool):
+        self.path, self.parts, self.links, self.main, self.side, self.at, self.own = path, [], 0, main, side, at, own
 
     def text(self) -> str:
         return " ".join(entities.unescape("".join(self.parts)).split())
@@ -127,7 +128,7 @@ def read_page(html: str) -> tuple[list[str], list[Block]]:
     """Tag tokens in page order, and the text blocks with the number of tag tokens before them."""
     tags: list[str] = []
     blocks: list[Block] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, path, inside a main element, inside a side element
+    stack: list[tuple[str, str, bool, bool, bool]] = []  # tag, path, inside a main element, inside a side element, role main
     leaf, links, current, place = "", 0, None, 0
     unclosed: set[str] = set()
 
@@ -136,8 +137,9 @@ def read_page(html: str) -> tuple[list[str], list[Block]]:
         if current is None:
             if not text.strip():
                 return
-            path, main, side = stack[-1][1:] if stack else ("", False, False)
-            current = Block(f"{path}/{leaf}", main, side, len(tags))
+            path, main, side = stack[-1][1:4] if stack else ("", False, False)
+            own = leaf in HEADINGS or main and bool(stack) and (stack[-1][0] in MAIN or stack[-1][4])
+            current = Block(f"{path}/{leaf}", main, side, len(tags), own)
             blocks.append(current)
         current.parts.append(text)
         if links:
@@ -181,10 +183,10 @@ def read_page(html: str) -> tuple[list[str], list[Block]]:
         if tag in LOOSE and not side:
             tags.append(f"{stack[-1][1] if stack else ''}/{tag}")
             continue
-        path, main, inside = stack[-1][1:] if stack else ("", False, False)
+        path, main, inside = stack[-1][1:4] if stack else ("", False, False)
         label = ".".join([tag, *sorted(words)])
         main = main or tag in MAIN or role == "main"
-        stack.append((tag, f"{path}/{label}", main, inside or side))
+        stack.append((tag, f"{path}/{label}", main, inside or side, role == "main"))
         tags.append(f"{path}/{label}")
     if place < len(html):
         add(html[place:])
@@ -320,6 +322,8 @@ def main_text(html: str | None, template: list) -> tuple[str, int, int]:
         if block.side or marked and not block.main:
             continue
         text = block.text()
+        if marked and not block.own and number_of(block.path, text) in fixed:
+            continue
         if not marked and (number_of(block.path) in menus or number_of(block.path, text) in fixed):
             continue
         if text:

@@ -65,6 +65,13 @@ def test_template_and_menus_without_main_element(spark):
     assert all(r["n_template"] > 5 for r in rows)
 
 
+def test_template_inside_the_main_element(spark):
+    made = [(i, "http://h.example/", f"<article><h1>Title</h1><div class=box><p>Read our other news.</p></div><p>Always so.</p><div class=body><p>Text {i}.</p></div></article>")
+            for i in range(9)]
+    rows = page_template.extract(spark.createDataFrame(made, "page_id long, url string, html string")).collect()
+    assert sorted((r["page_id"], r["text"]) for r in rows) == [(i, f"Title Always so. Text {i}.") for i in range(9)]
+
+
 def test_paths_of_single_pages_stay_out_of_the_template(spark):
     """Class words that are unique to a page: its links are still dropped, but the host's other pages do not get them."""
     made = []
