@@ -6,7 +6,7 @@ class is known by sums over the pages of its count times the page's random weigh
 merged. Classes with enough tokens on enough of the host's pages make the template; on each page only those classes
 count whose tokens keep their order and nest in the gaps of the larger classes. What lies between
 template tokens are slots. A slot is content unless an element around it is one of menus, headers, footers, sidebars,
-notices, adverts, forms or comments by its tag or name, or, where the page marks no main element, unless the
+notices, adverts, forms or comments by its tag or name (a whole class or id, of an element that does not hold the page's main element), or, where the page marks no main element, unless the
 host's text at that path is mostly links. Template text is dropped, outside a main element
 and inside it; only headings and what stands in the main element itself stay there, because an article may well repeat.
 
@@ -59,6 +59,10 @@ SIDE_NAMES = frozenset(
     "masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted recommended related reply "
     "respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget disclaimer".split()
 )
+#: Words that say nothing of an element's meaning beside a side name.
+NEUTRAL = frozenset(
+    "site page box list block area section item items bar button buttons slot unit top bottom left right primary secondary side posts articles links".split()
+)
 SIDE_PARTS = ("comment", "sidebar", "advert", "cookie", "newsletter", "breadcrumb", "disqus")
 
 _TAG = re.compile(
@@ -71,22 +75,30 @@ _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+
 _PIECE = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 
 
-def names_of(attributes: str) -> tuple[set[str], str]:
-    """Words of class and id, and the role."""
-    words, role = set(), ""
+def is_side_name(name: str) -> bool:
+    """Whether all words of one class or id, but for neutral ones, are side names."""
+    words = [w.lower() for w in _PIECE.findall(name)]
+    known = [w in SIDE_NAMES or any(p in w for p in SIDE_PARTS) for w in words]
+    return any(known) and all(k or w in NEUTRAL for k, w in zip(known, words))
+
+
+def names_of(attributes: str) -> tuple[set[str], str, bool]:
+    """Words of class and id, the role, and whether a class or id is a side name."""
+    words, role, odd = set(), "", False
     for kind, *values in _NAMED.findall(attributes):
         value = "".join(values)
         if kind.lower() == "role":
             role = value.strip().lower()
         else:
             words.update(w.lower() for w in _PIECE.findall(value))
-    return words, role
+            odd = odd or any(map(is_side_name, value.split()))
+    return words, role, odd
 
 
 class Block:
     """A text block: its path, its text, the length of its link text, where it stands, and whether it is a heading or the main element's own."""
 
-    __slots__ = ("path", "parts", "links", "main", "side", "at", "own")
+    __slots__ = ("path", "parts", "links", "main", "side", "at", "own", "named")
 
     def __init__(self, path: str, main: bool, side: bool, at: int, own: bool):
         self.path, self.parts, self.links, self.main, self.side, self.at, self.own = path, [], 0, main, side, at, own
@@ -128,7 +140,10 @@ def read_page(html: str) -> tuple[list[str], list[Block]]:
     """Tag tokens in page order, and the text blocks with the number of tag tokens before them."""
     tags: list[str] = []
     blocks: list[Block] = []
-    stack: list[tuple[str, str, bool, bool, bool]] = []  # tag, path, inside a main element, inside a side element, role main
+    # tag, path, inside a main element, inside a side element by tag or role, role main, innermost element with a side name
+    stack: list[tuple[str, str, bool, bool, bool, int]] = []
+    outer: list[int] = []  # per element with a side name the next one around it
+    heart, heading = None, None  # where the page's first main element and first h1 stand among them
     leaf, links, current, place = "", 0, None, 0
     unclosed: set[str] = set()
 
@@ -140,6 +155,7 @@ def read_page(html: str) -> tuple[list[str], list[Block]]:
             path, main, side = stack[-1][1:4] if stack else ("", False, False)
             own = leaf in HEADINGS or main and bool(stack) and (stack[-1][0] in MAIN or stack[-1][4])
             current = Block(f"{path}/{leaf}", main, side, len(tags), own)
+            current.named = stack[-1][5] if stack else -1
             blocks.append(current)
         current.parts.append(text)
         if links:
@@ -165,9 +181,10 @@ def read_page(html: str) -> tuple[list[str], list[Block]]:
             if tag not in INLINE:
                 current = None
             continue
-        words, role = names_of(attributes) if attributes and not closing else ((), "")
-        odd = bool(words) and (not SIDE_NAMES.isdisjoint(words) or any(p in w for w in words for p in SIDE_PARTS))
-        side = tag in SIDE or role in SIDE_ROLES or odd and tag not in ("html", "body", "main")
+        words, role, odd = names_of(attributes) if attributes and not closing else ((), "", False)
+        odd = odd and tag not in ("html", "body") and tag not in MAIN and tag not in HEADINGS and role != "main"
+        sure = tag in SIDE or role in SIDE_ROLES
+        side = sure or odd
         if closing:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
             if depth is not None:
@@ -180,19 +197,55 @@ def read_page(html: str) -> tuple[list[str], list[Block]]:
         if tag in INLINE and not side:
             continue
         current, leaf, links = None, tag if tag in LOOSE else "", links if tag in LOOSE or tag in INLINE else 0
+        named = stack[-1][5] if stack else -1
+        if tag == "h1" and heading is None and not (stack and stack[-1][3]):
+            heading = named
         if tag in LOOSE and not side:
             tags.append(f"{stack[-1][1] if stack else ''}/{tag}")
             continue
         path, main, inside = stack[-1][1:4] if stack else ("", False, False)
         label = ".".join([tag, *sorted(words)])
         main = main or tag in MAIN or role == "main"
-        stack.append((tag, f"{path}/{label}", main, inside or side, role == "main"))
+        if heart is None and (tag in MAIN or role == "main") and not (inside or sure):
+            heart = named
+        if odd and not sure:
+            outer.append(named)
+            named = len(outer) - 1
+        stack.append((tag, f"{path}/{label}", main, inside or sure, role == "main", named))
         tags.append(f"{path}/{label}")
     if place < len(html):
         add(html[place:])
+    settle(blocks, outer, heading if heart is None else heart, heart is not None)
     return tags, blocks
 
 
+def settle(blocks: list[Block], outer: list[int], heart: int | None, marked: bool) -> None:
+    """Side blocks by name: not where the element holds the page's main element (else its h1, or most of its text)."""
+    if not outer:
+        return
+    holds = [False] * len(outer)
+    while heart is not None and heart >= 0:
+        holds[heart] = True
+        heart = outer[heart]
+    chars = [0] * len(outer)
+    total = 0
+    for block in blocks:
+        if not block.side:
+            size = sum(map(len, block.parts))
+            total += size
+            if block.named >= 0:
+                chars[block.named] += size
+    for i in range(len(outer) - 1, -1, -1):
+        if outer[i] >= 0:
+            chars[outer[i]] += chars[i]
+    sides: list[bool] = []
+    for i, around in enumerate(outer):
+        kept = holds[i] or not marked and 2 * chars[i] > total
+        sides.append(not kept or around >= 0 and sides[around])
+    for block in blocks:
+        block.side = block.side or block.named >= 0 and sides[block.named]
+
+
 def number_of(*parts: str) -> int:
     return int.from_bytes(blake2b("\x00".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 

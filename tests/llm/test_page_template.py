@@ -50,6 +50,15 @@ def test_raw_elements_without_an_end():
     assert page_template.main_text("<article><p>a<iframe>" * 20_000, None)[0].split() == ["a"] * 20_000
 
 
+def test_names_that_only_contain_a_side_word():
+    text = "<h1>Head</h1><p>The text.</p>"
+    for start in ("<main><div class='elementor-widget-container'>", "<div class='content-sidebar-wrap'><article>", "<article class='post no-sidebar'>",
+                  "<article class='comment-status-open'>", "<main><section id='related-work'>", "<div class=widget><main>", "<div class=search>", "<div id=banner><div role=main>"):
+        assert page_template.main_text(start + text, None)[0] == "Head The text.", start
+    assert page_template.main_text("<main><h2 id='search-methods'>Search</h2><p>a", None)[0] == "Search a"
+    assert page_template.main_text("<main><p>a</p><div class='comment-list'>b<article>c</article></div><div class='site-footer'>d", None)[0] == "a"
+
+
 def pages(n, host="h.example"):
     """Pages without a main element: the menu is mostly links, one line is on every page, the rest differs."""
     made = []
