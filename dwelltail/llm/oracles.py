@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dwelltail.llm import mixing, quality_ledger
+from dwelltail.llm import mixing, quality_ledger, zone_clustering
 from dwelltail.plans.registry import hash_sql
 
 _WORD = r"[^\x20\x09-\x0D]"
@@ -69,4 +69,30 @@ def mixing_sql(seed: int = 8) -> str:
   lambda b: (quota // nb + (((b % nb) * stride + off) % nb < quota % nb)::int) * (least(e, (b + 1) * {block}) - greatest(e - size, b * {block})))) end::bigint as taken from lined"""
 
 
-ORACLES = {"op2_quality_ledger": quality_sql(), "op8_mixing": mixing_sql()}
+def owners_sql() -> str:
+    """Groups by the text itself; of rows that repeat id and text the first stays."""
+    return """with texts as (select doc_id, coalesce(text, '') as t from documents),
+ owned as (select t, max(doc_id) as keep_id, count(*) as group_size from texts group by t)
+ select doc_id, keep_id, group_size, row_number() over (partition by t order by doc_id desc nulls last) = 1 as kept, sha256(t) as text_sha256
+  from texts join owned using (t)"""
+
+
+def clustering_sql() -> str:
+    """Plain k-means, a table for every round: vectors as rows of whole components."""
+    size, scale = zone_clustering.DIMENSIONS, zone_clustering.SCALE
+    rounds = [f"""c0 as materialized (select (row_number() over (order by sha256('{zone_clustering.SEED}:' || coalesce(vec_id::varchar, '')), v) - 1)::int as k, v
+  from kept order by k limit {zone_clustering.CLUSTERS})"""]
+    for i in range(zone_clustering.ROUNDS + 1):
+        rounds.append(f"""a{i} as materialized (select row, any_value(vec_id) as vec_id, arg_min(k, (d, k)) as k, min(d) as d from (select row, vec_id, k,
+  list_sum(list_transform(list_zip(x.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint as d from kept x cross join c{i} c) group by row)""")
+        rounds.append(f"""c{i + 1} as materialized (select c.k, coalesce(m.v, c.v) as v from c{i} c left join (select k, list((s // n - case when s % n < 0 then 1 else 0 end)::bigint order by place) as v
+  from (select k, place, sum(v[place])::hugeint as s, count(*) as n from a{i} join kept using (row), range(1, {size + 1}) as r(place) group by k, place) group by k) m on m.k = c.k)""")
+    last = zone_clustering.ROUNDS
+    return f"""with kept as materialized (select row_number() over () as row, vec_id, list_transform(embedding, lambda c: floor({scale} * c::double)::bigint) as v from embeddings
+  where len(embedding) = {size} and len(list_filter(embedding, lambda c: c is not null and isfinite(c))) = {size}),
+ {", ".join(rounds[:-1])}
+ select vec_id, k as cluster, d as distance, sum(d) over (partition by k)::bigint as cluster_inertia, sum(d) over ()::bigint as inertia,
+  sha256(array_to_string(v, ',')) as centroid_sha256 from a{last} join c{last} using (k)"""
+
+
+ORACLES = {"op2_quality_ledger": quality_sql(), "op8_mixing": mixing_sql(), "op11_patricia_owners": owners_sql(), "op12_zone_clustering": clustering_sql()}

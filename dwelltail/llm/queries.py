@@ -16,9 +16,12 @@ from dwelltail.llm import (
     mixing,
     multiset_hash,
     page_template,
+    patricia_owners,
     piece_viterbi,
     quality_ledger,
     secret_forest,
+    spectrum_whitening,
+    zone_clustering,
 )
 from dwelltail.llm.common import table
 from dwelltail.llm.oracles import ORACLES  # noqa: F401
@@ -102,3 +105,18 @@ def op7_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_lyndon_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lyndon_suffix.dedup(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_patricia_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return patricia_owners.dedup(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_zone_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zone_clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_spectrum_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spectrum_whitening.whiten(table(spark, sf_dir, "embeddings"))
