@@ -2,8 +2,8 @@
 
 Texts are cut into marked words (the spaces before a word belong to it). The distinct words of a block are sorted, which
 lays them out as a trie in depth-first order; going from one word to the next, the forward scores, the back
-pointers and the open vocabulary paths of the common prefix stay, and only the rest is searched. Words seen before
-by the task are looked up.
+pointers and the open vocabulary paths of the common prefix stay, and only the rest is searched. Words seen
+lately by the task are looked up.
 
 The best segmentation is the one with the highest sum of piece scores; of equal sums the one whose last piece
 starts first. A unigram model brings log probabilities; the scores of a merge model are only ranks, which
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from dwelltail.llm.common import text_blocks, without
 
 MARK = "▁"
-#: Words whose segmentation a task remembers; beyond, it starts afresh.
-REMEMBERED = 60_000
+#: Words whose segmentation a task remembers in a generation. A full one is kept beside the next, and a word met again moves on to it.
+REMEMBERED = 100_000
 #: Score below the worst piece for a character that is spelled in bytes.
 BYTE_PENALTY = 10.0
 _BLOCK = 1 << 20
@@ -148,21 +148,24 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", verify: bool = F
     rows = docs.select(*kept, F.col(text).alias("_text"))
 
     def encoded(batches):
-        search, known, table = SharedPrefixViterbi(pieces), {}, decode_table(pieces)
+        search, table = SharedPrefixViterbi(pieces), decode_table(pieces)
+        known, older = {}, {}
         for block in text_blocks(batches, "_text", _BLOCK):
             texts = block.column("_text").to_pylist()
             words = [marked_words(t) for t in texts]
             fresh = set(chain.from_iterable(words)).difference(known)
-            if len(known) + len(fresh) > REMEMBERED:
-                known, fresh = {}, set(chain.from_iterable(words))
-            for word in sorted(fresh):
-                known[word] = search.segment(word)
+            for word in sorted(fresh.difference(older)):
+                known[word] = np.array(search.segment(word), np.int32).tobytes()
+            for word in fresh.intersection(older):
+                known[word] = older[word]
             found = list(map(known.__getitem__, chain.from_iterable(words)))
             lengths = np.zeros(len(found) + 1, np.int64)
-            np.cumsum(np.fromiter(map(len, found), np.int64, len(found)), out=lengths[1:])
+            np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4, out=lengths[1:])
             ends = np.cumsum([0, *map(len, words)])
-            ids = np.fromiter(chain.from_iterable(found), np.int32, int(lengths[-1]))
+            ids = np.frombuffer(b"".join(found), np.int32)
             offsets = lengths[ends].astype(np.int32)
+            if len(known) > REMEMBERED:
+                known, older = {}, known
             columns = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)), pa.array(np.diff(offsets).astype(np.int64))]
             if verify:
                 columns.append(pa.array([(t or "") == spelled for t, spelled in zip(texts, spellings(ids, offsets, table))]))
