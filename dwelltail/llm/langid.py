@@ -4,7 +4,8 @@ Texts are lower-cased, everything but letters becomes one space, and the n-grams
 ``BUCKETS`` features. Document frequencies cover every training document: each task adds up its own
 vector and sends at most one row per feature. The weights are fitted on a bounded sample (about
 ``SAMPLE_PER_LANGUAGE`` documents of each language, the lowest hashes of the key) by the follow-the-regularised-leader
-rule with elastic-net penalties; a part of the sample that the fit never sees sets the softmax temperature.
+rule with elastic-net penalties, in one task that sends back weights only; a part of the sample that the fit never sees sets the softmax
+temperature.
 
 Defined results: a text that is NULL or has no letter gets ``und`` and score 0; so does every text where there is
 nothing to learn from (no row with a language, an empty table). Equal scores go to the first
@@ -107,27 +108,29 @@ def document_frequencies(texts: DataFrame, text: str) -> tuple[np.ndarray, int]:
     return totals[:BUCKETS], int(totals[BUCKETS])
 
 
-def fit_ftrl(document, feature, value, label, languages, alpha=0.5, beta=1.0, l1=1e-4, l2=1e-4, epochs=6, batch=16) -> np.ndarray:
-    """Weights by follow-the-regularised-leader; L1 and L2 keep unused features at zero."""
+def fit_ftrl(starts, feature, value, label, languages, rows=None, alpha=0.5, beta=1.0, l1=1e-4, l2=1e-4, epochs=6, batch=16) -> np.ndarray:
+    """Weights by follow-the-regularised-leader; L1 and L2 keep unused features at zero.
+
+    Document d has the cells ``starts[d]`` to ``starts[d + 1]``; ``rows`` are the documents to learn from (all).
+    """
     z, n = np.zeros((BUCKETS + 1, languages)), np.zeros((BUCKETS + 1, languages))
     weights = np.zeros((BUCKETS + 1, languages))
-    starts = np.searchsorted(document, np.arange(len(label) + 1))
+    learned = np.arange(len(label)) if rows is None else np.asarray(rows)
     order = np.random.default_rng(10)
     for _ in range(epochs):
-        shuffled = order.permutation(len(label))
+        shuffled = learned[order.permutation(len(learned))]
         for at in range(0, len(shuffled), batch):
-            rows = shuffled[at : at + batch]
-            spans = [np.arange(starts[r], starts[r + 1]) for r in rows]
-            cells = np.concatenate(spans)
-            of = np.repeat(np.arange(len(rows)), [len(s) for s in spans])
-            logits = np.zeros((len(rows), languages))
-            np.add.at(logits, of, value[cells, None] * weights[feature[cells]])
-            residual = softmax(logits + weights[BUCKETS])
-            residual[np.arange(len(rows)), label[rows]] -= 1
-            touched, where = np.unique(feature[cells], return_inverse=True)
-            gradient = np.zeros((len(touched) + 1, languages))
-            np.add.at(gradient, where, value[cells, None] * residual[of])
-            gradient[-1] = residual.sum(0)
+            chosen = shuffled[at : at + batch]
+            spans = [slice(starts[r], starts[r + 1]) for r in chosen]
+            features, values = np.concatenate([feature[s] for s in spans]).astype(np.int64), np.concatenate([value[s] for s in spans]).astype(float)
+            of = np.repeat(np.arange(len(chosen)), [s.stop - s.start for s in spans])
+            touched, where = np.unique(features, return_inverse=True)
+            # documents by touched features: both products are small dense ones
+            cells = np.zeros((len(chosen), len(touched)))
+            cells[of, where] = values
+            residual = softmax(cells @ weights[touched] + weights[BUCKETS])
+            residual[np.arange(len(chosen)), label[chosen]] -= 1
+            gradient = np.vstack([cells.T @ residual, residual.sum(0)])
             touched = np.append(touched, BUCKETS)
             grown = n[touched] + gradient**2
             z[touched] += gradient - (np.sqrt(grown) - np.sqrt(n[touched])) / alpha * weights[touched]
@@ -176,23 +179,43 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
                 pa.array([count[a:b].astype(np.int32).tobytes() for a, b in cut], pa.binary()),
             ], names=["draw", "lang", "features", "counts"])
 
-    examples = chosen.mapInArrow(featured, "draw long, lang string, features binary, counts binary").collect()
-    examples.sort(key=lambda r: (r["draw"], r["lang"], bytes(r["features"]), bytes(r["counts"])))
-    label = np.array([languages.index(r["lang"]) for r in examples], np.int64)
-    if not len(label):
+    examples = chosen.mapInArrow(featured, "draw long, lang string, features binary, counts binary").repartition(1)
+    fitted = examples.mapInArrow(_fit(languages, idf), "weights binary, temperature double").first()
+    if fitted is None:
         return None
-    feature = np.concatenate([np.frombuffer(r["features"], np.uint16) for r in examples]).astype(np.int64)
-    count = np.concatenate([np.frombuffer(r["counts"], np.int32) for r in examples])
-    document = np.repeat(np.arange(len(label)), [len(r["features"]) // 2 for r in examples])
-    value = tfidf(document, feature, count, idf, len(label))
-    unseen = np.arange(len(label)) % 5 == 4
-    fitted = ~unseen if unseen.any() else np.ones(len(label), bool)
-    renumber = np.cumsum(fitted) - 1
-    of_fit = fitted[document]
-    weights = fit_ftrl(renumber[document[of_fit]], feature[of_fit], value[of_fit], label[fitted], len(languages))
-    logits = scores(document, feature, value, weights, len(label))
-    temperature = fit_temperature(logits[unseen], label[unseen]) if unseen.any() else 1.0
-    return Model(languages, idf, weights, temperature)
+    weights = np.frombuffer(fitted["weights"], np.float64).reshape(BUCKETS + 1, len(languages))
+    return Model(languages, idf, weights, fitted["temperature"])
+
+
+def _fit(languages: list[str], idf: np.ndarray):
+    """The task that fits the bounded sample: six bytes a cell, whole arrays of them only once."""
+
+    def fitted(batches):
+        rows = []
+        for batch in batches:
+            rows += zip(*(column.to_pylist() for column in batch.columns))
+        if not rows:
+            return
+        rows.sort()
+        label = np.array([languages.index(r[1]) for r in rows], np.int64)
+        starts = np.zeros(len(rows) + 1, np.int64)
+        np.cumsum([len(r[2]) // 2 for r in rows], out=starts[1:])
+        feature, value = np.empty(starts[-1], np.uint16), np.empty(starts[-1], np.float32)
+        for place, (_, _, features, counts) in enumerate(rows):
+            own = slice(starts[place], starts[place + 1])
+            feature[own] = np.frombuffer(features, np.uint16)
+            value[own] = tfidf(np.zeros(own.stop - own.start, np.int64), feature[own], np.frombuffer(counts, np.int32), idf, 1)
+            rows[place] = None
+        unseen = np.arange(len(label)) % 5 == 4
+        weights = fit_ftrl(starts, feature, value, label, len(languages), np.flatnonzero(~unseen) if unseen.any() else None)
+        temperature = 1.0
+        if unseen.any():
+            held = np.flatnonzero(unseen)
+            logits = np.array([value[starts[r] : starts[r + 1]].astype(float) @ weights[feature[starts[r] : starts[r + 1]]] for r in held]) + weights[BUCKETS]
+            temperature = fit_temperature(logits, label[held])
+        yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([temperature])], names=["weights", "temperature"])
+
+    return fitted
 
 
 def scores(document, feature, value, weights, n) -> np.ndarray:

@@ -33,7 +33,7 @@ def test_counts_match_a_loop():
 
 
 def test_elastic_net_leaves_unseen_features_at_zero():
-    weights = langid.fit_ftrl(np.array([0, 1]), np.array([3, 5]), np.ones(2), np.array([0, 1]), 2)
+    weights = langid.fit_ftrl(np.array([0, 1, 2]), np.array([3, 5]), np.ones(2), np.array([0, 1]), 2)
     assert set(np.flatnonzero(weights.any(1))) <= {3, 5, langid.BUCKETS}
     assert weights[3, 0] > 0 > weights[3, 1]
 
