@@ -126,7 +126,8 @@ def _packed(buckets: int):
             low, high = offsets[document], offsets[document + 1]
             minimiser = rolling.between(place, place + CORE)
             piece = mixed(rolling.between(first, last + LENGTH) + (place - first).astype(np.uint64) * _POWER)
-            bucket = ((minimiser >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.int64)
+            # a minimiser is the least of many hashes: mixed again, or the first buckets would hold nearly all
+            bucket = ((mixed(minimiser * _POWER) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             start = (first - low).astype(np.uint32)
             small = np.stack([
                 (last - first).astype(np.uint8), (place - first).astype(np.uint8),
