@@ -1,9 +1,8 @@
 """License scans with a positional index of rare tokens.
 
-The templates' words are weighed by their inverse document frequency over the whole table. In a file, the places of the
-rarest of a template's words that it has propose alignments (place in the file minus place in the template); an alignment's score is
-the share of the template's word weight that stands where the template has it, and its key phrases must stand there word
-by word. Everything is column expressions on one row, so no file is joined, split or shuffled. Only the counts
+The templates' words are weighed by their inverse document frequency over the whole table. An alignment counts only if the
+template's key phrases stand in it word by word, so every place of a key phrase's rarest word proposes one (place in the file minus place in the
+template) and none is missed; an alignment's score is the share of the template's word weight that stands where the template has it. Everything is column expressions on one row, so no file is joined, split or shuffled. Only the counts
 of the templates' words reach the driver: their number is fixed.
 
 Words are the runs of ASCII letters and digits and of non-ASCII characters, ASCII letters in lower case. Defined results: a
@@ -49,8 +48,6 @@ TEMPLATES = (
 #: Every base phrase and key phrase has one of these; a text with none of them has no place and no label.
 GATE_WORDS = ("license", "cc", "permission", "redistribution", "unencumbered")
 
-#: Words that propose alignments: of a template's words in the file the rarest.
-ANCHORS = 3
 #: Share of the template's word weight that must stand in place.
 LEAST_SCORE = 0.4
 
@@ -96,22 +93,16 @@ def starts_of(words: Column, spots: Column, phrase: str) -> Column:
 
 
 def alignment(words: Column, spots: Column, text: str, keys: tuple[str, ...], weights: dict[str, float]) -> Column:
-    """Best score of a template over the alignments that its rarest words propose; 0 if a key phrase fails."""
+    """Best score of a template over all alignments in which its key phrases stand; 0 without one."""
     parts = text.split()
-    rarest = sorted(range(len(parts)), key=lambda i: (-weights[parts[i]], i))
-    posting = F.array(*[F.struct(F.lit(i).alias("at"), F.lit(parts[i]).alias("word")) for i in rarest])
-    # the rarest of the template's words that the file has
-    looked_up = F.slice(F.filter(posting, lambda p: F.exists(spots, lambda s: s["word"] == p["word"])), 1, ANCHORS)
     whole = sum(weights[word] for word in parts)
-
-    def proposed(p: Column) -> Column:
-        return F.transform(F.filter(spots, lambda s: s["word"] == p["word"]), lambda s: s["place"] - p["at"])
-
-    offsets = F.array_distinct(F.flatten(F.transform(looked_up, proposed)))
     key_places = []
     for key in keys:
         size = len(key.split())
         key_places.append((next(i for i in range(len(parts)) if parts[i : i + size] == key.split()), key.split()))
+    # the rarest of the words that every alignment has: its place in the template
+    rarest = max((at + i for at, phrase in key_places for i in range(len(phrase))), key=lambda i: (weights[parts[i]], -i))
+    offsets = F.transform(F.filter(spots, lambda s: s["word"] == parts[rarest]), lambda s: s["place"] - rarest)
 
     def score(offset: Column) -> Column:
         weight = F.lit(0.0)

@@ -1,3 +1,4 @@
+import random
 import re
 
 import edges
@@ -71,3 +72,39 @@ def test_every_phrase_has_a_gate_word():
         assert set(phrase.split()) & set(license_index.GATE_WORDS)
     for _, keys, text in license_index.TEMPLATES:
         assert all(f" {k} " in f" {text} " for k in keys)
+
+
+def aligned(text, template, keys, weights):
+    """Best share of the template's weight in place over every offset of the file."""
+    words = [w.translate(str.maketrans(license_index._UPPER, license_index._LOWER)) for w in re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text or "")]
+    parts, best = template.split(), 0.0
+    for offset in range(-len(parts), len(words)):
+        there = [0 <= offset + i < len(words) and words[offset + i] == p for i, p in enumerate(parts)]
+        starts = [next(i for i in range(len(parts)) if parts[i : i + len(k.split())] == k.split()) for k in keys]
+        if all(all(there[s : s + len(k.split())]) for s, k in zip(starts, keys)):
+            best = max(best, sum(weights[p] for p, t in zip(parts, there) if t) / sum(weights[p] for p in parts))
+    return best
+
+
+def test_labels_and_scores_equal_every_alignment(spark):
+    """Pieces of templates, cut, changed and mixed with each other's rare words."""
+    draw = random.Random(6)
+    texts = {0: "obtaining associated documentation. Permission is hereby granted, free of charge, to any person"}
+    for number in range(1, 160):
+        words = []
+        for _ in range(draw.randint(1, 4)):
+            parts = draw.choice(license_index.TEMPLATES)[2].split()
+            start = draw.randint(0, 3)
+            words += [w for w in parts[start : draw.randint(start + 1, len(parts))] if draw.random() < 0.97]
+            words += [draw.choice(license_index.lexicon()) for _ in range(draw.randint(0, 3))]
+        texts[number] = " ".join(w.upper() if draw.random() < 0.2 else w for w in words)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    weights = license_index.word_weights(docs)
+    rows = {r["doc_id"]: r for r in license_index.scan(docs, weights).collect()}
+    assert "mit-grant" in rows[0]["labels"]
+    for number, text in texts.items():
+        scores = {label: aligned(text, template, keys, weights) for label, keys, template in license_index.TEMPLATES}
+        base = rows[number]["base_labels"].split(",") if rows[number]["base_labels"] else []
+        want = sorted({*base, *(label for label, s in scores.items() if s >= license_index.LEAST_SCORE)})
+        assert rows[number]["labels"] == ",".join(want)
+        assert abs(rows[number]["score"] - max(scores.values())) < 1e-9
