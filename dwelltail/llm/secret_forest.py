@@ -49,14 +49,15 @@ _CORE = r"[A-Za-z0-9](?:[A-Za-z0-9_+/.@:=-]*[A-Za-z0-9])?"
 
 # What stands between a key and its value inside a word: quotes, an assignment or the end of a tag.
 _ASSIGN = r"[\\\"'\])]{0,4}(?:[=:]++>?|>)"
-_NAMED_KEY = rf"[A-Za-z0-9_.-]*(?i:{SECRET_NAMES})[A-Za-z0-9_.-]*"
+# Possessive up to the first name and behind it: a run of key characters is read once, however often names repeat in it.
+_NAMED_KEY = rf"(?:(?!(?i:{SECRET_NAMES}))[A-Za-z0-9_.-])*+(?i:{SECRET_NAMES})[A-Za-z0-9_.-]*+"
 #: A value assigned to a secret's name: up to its closing quote, without quotes up to a separator.
 _VALUE = r"""[\\(\[{]{0,4}(?:"[^"\s]+|'[^'\s]+|(?!//)[^\s"'`<>,;&|()\[\]{}]+)"""
 _NO_VALUE = rf"(?![\\\"'(\[{{]{{0,4}}(?:[A-Za-z][A-Za-z0-9+.-]*://|{_NAMED_KEY}[\\\"']{{0,2}}[=:]+[^\s=:]))"
 #: One candidate of a word with its key. A word that the words before it assign to a name starts with a blank.
 _CHUNK = (
     rf"^ [=:]*+>?{_NO_VALUE}{_VALUE}|[^A-Za-z0-9 ]{{0,8}}+(?:{_NAMED_KEY}{_ASSIGN}{_NO_VALUE}{_VALUE}"
-    rf"|[A-Za-z][A-Za-z0-9_.-]*{_ASSIGN}[\\\"'(]{{0,4}}{_CORE}|{_CORE})"
+    rf"|[A-Za-z][A-Za-z0-9_.-]*+{_ASSIGN}[\\\"'(]{{0,4}}{_CORE}|{_CORE})"
 )
 #: Where a core goes on into a secret's name with a value of its own.
 _INSIDE = (
@@ -96,13 +97,13 @@ def _of_words(words: Column) -> Column:
     def parts(chunk: Column) -> Column:
         """Key and value of one match of ``_CHUNK``."""
         named = F.regexp_extract(chunk, rf"^[^A-Za-z0-9 ]*({_NAMED_KEY}){_ASSIGN}{_NO_VALUE}{_VALUE}$", 1)
-        plain = F.regexp_extract(chunk, rf"^[^A-Za-z0-9 ]*([A-Za-z][A-Za-z0-9_.-]*){_ASSIGN}[\\\"'(]{{0,4}}{_CORE}$", 1)
+        plain = F.regexp_extract(chunk, rf"^[^A-Za-z0-9 ]*([A-Za-z][A-Za-z0-9_.-]*+){_ASSIGN}[\\\"'(]{{0,4}}{_CORE}$", 1)
         told = F.startswith(chunk, F.lit(" "))
         key = F.when(told, F.lit("")).when(named != "", named).otherwise(plain)
         head = (
             F.when(told, F.regexp_extract(chunk, r"^ [=:]*>?[\\(\[{]{0,4}[\"']?", 0))
             .when(named != "", F.regexp_extract(chunk, rf"^[^A-Za-z0-9 ]*{_NAMED_KEY}{_ASSIGN}[\\(\[{{]{{0,4}}[\"']?", 0))
-            .when(plain != "", F.regexp_extract(chunk, rf"^[^A-Za-z0-9 ]*[A-Za-z][A-Za-z0-9_.-]*{_ASSIGN}[\\\"'(]{{0,4}}", 0))
+            .when(plain != "", F.regexp_extract(chunk, rf"^[^A-Za-z0-9 ]*[A-Za-z][A-Za-z0-9_.-]*+{_ASSIGN}[\\\"'(]{{0,4}}", 0))
             .otherwise(F.regexp_extract(chunk, "^[^A-Za-z0-9]*", 0))
         )
         value = F.regexp_replace(F.substr(chunk, F.length(head) + 1), r"[.:?\\]+$", "")

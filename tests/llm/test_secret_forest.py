@@ -1,4 +1,5 @@
 import re
+import time
 
 import edges
 import pytest
@@ -56,6 +57,17 @@ def test_long_words_have_all_their_cores(spark):
     assert sizes[texts[0][:20]] == 2_000
 
 
+def test_very_long_words_take_linear_time(spark):
+    """Words that hold a secret's name again and again and never assign anything to it."""
+    units = ["password", "password.", "a-token_", "secret=secret", "key:", "x=", "auth/", "api_key\"", "-bearer"]
+    rows = [(unit * (1_000_000 // len(unit)) + "1", "a") for unit in units]
+    docs = spark.createDataFrame(rows, "text string, source string").repartition(len(rows))
+    start = time.monotonic()
+    assert secret_forest.scan(docs, secret_forest.Forest([], [])).select("findings").count() == len(rows)
+    secret_forest.scan(docs, secret_forest.Forest([], [])).selectExpr("sum(size(findings))").collect()
+    assert time.monotonic() - start < 120
+
+
 def test_cores_are_redacted(spark):
     text = f'see {{"a":1,"token":"{GITHUB}"}} and connect("{AWS}"), <token>{GITHUB}</token>'
     docs = spark.createDataFrame([(text, "a")], "text string, source string")
