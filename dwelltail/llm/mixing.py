@@ -26,9 +26,10 @@ WEIGHTS = (5, 2, 1)
 #: Times a source (and a document) may be repeated.
 MAX_REPEATS = 3
 BLOCK_WORDS = 64
-#: Words of a shard, and shards of a source at most.
+#: Words of a shard.
 SHARD_WORDS = 1_000_000
-MAX_SHARDS = 256
+#: Bins that documents are drawn into, a multiple of this many: at least one for every shard the table can need.
+BINS = 256
 #: Multipliers of the block permutation; the second where the first divides the block count.
 STRIDES = (1_000_003, 999_983)
 
@@ -61,17 +62,19 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, cap: int = MAX_REPEATS) ->
 def sainte_lague(parties: DataFrame, group: list[str], party: str, votes: str, seats: Column) -> DataFrame:
     """Add ``_seats``: the seats of a group to its parties by highest quotients votes / (2k + 1).
 
-    A party's result differs from its rounded share by at most the number of parties, so only the
-    quotients within that span are ranked. Ties go to the smaller party key.
+    Seats are the rounded multiples of the votes by one common factor. Among n parties and S seats that factor's sum of
+    multiples is within n / 2 of S, so a party's seats are within 1 + share * n / (2 S) of its share, and only those quotients are ranked: five
+    per party on average. Ties go to the smaller party key.
     """
     whole = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    span = F.count(F.lit(1)).over(whole)
     total = F.sum(votes).over(whole)
     share = F.coalesce(F.try_divide(F.col(votes) * F.col("_all"), total), F.lit(0.0))
-    near = parties.withColumn("_all", seats.cast("long")).withColumn("_share", F.floor(share)).withColumn("_span", span)
-    near = near.withColumn("_sure", F.greatest(F.lit(0), F.col("_share") - F.col("_span") - 1).cast("long"))
+    near = parties.withColumn("_all", seats.cast("long")).withColumn("_exact", share).withColumn("_share", F.floor("_exact"))
+    span = F.coalesce(F.try_divide(F.col("_exact") * F.count(F.lit(1)).over(whole), 2 * F.col("_all")), F.lit(0.0))
+    near = near.withColumn("_span", F.ceil(span).cast("long") + 2)
+    near = near.withColumn("_sure", F.greatest(F.lit(0), F.col("_share") - F.col("_span")).cast("long"))
     near = near.withColumn("_open", F.col("_all") - F.sum("_sure").over(whole))
-    ladder = near.withColumn("_k", F.explode(F.sequence("_sure", F.col("_share") + F.col("_span") + 1)))
+    ladder = near.withColumn("_k", F.explode(F.sequence("_sure", F.col("_share") + F.col("_span"))))
     best = whole.orderBy((F.col(votes) / (2 * F.col("_k") + 1)).desc(), F.col(party).asc_nulls_last(), "_k")
     placed = ladder.withColumn("_won", F.row_number().over(best) <= F.col("_open")).withColumn(
         "_won", F.col("_won") & (F.col(votes) > 0)
@@ -125,9 +128,13 @@ def mix(
         *kept, word_count(F.col(text)).alias("_size"), F.col(source).alias("_source"),
         hashed(seed, F.coalesce(F.col(key).cast("string"), F.lit(""))).alias("_draw"),
     )
-    by_source = cut(sized.groupBy("_source", F.pmod("_draw", F.lit(MAX_SHARDS)).alias("_bin")).agg(F.sum("_size").alias("_bin_size")))
+    # a word has a byte and a separator at least
+    most = docs.agg(F.coalesce(F.sum(F.octet_length(text) + 1), F.lit(0))).first()[0] // 2
+    bins_of_all = BINS * max(1, -(-most // (BINS * shard_words)))
+    bin_of = F.pmod("_draw", F.lit(bins_of_all))
+    by_source = cut(sized.groupBy("_source", bin_of.alias("_bin")).agg(F.sum("_size").alias("_bin_size")))
     size_of = F.sum("_bin_size").over(Window.partitionBy("_source"))
-    shards = F.least(F.lit(MAX_SHARDS), F.greatest(F.lit(1), F.ceil(size_of / shard_words))).cast("long")
+    shards = F.greatest(F.lit(1), F.ceil(size_of / shard_words)).cast("long")
     binned = by_source.withColumn("_shards", shards).withColumn("_shard", F.pmod("_bin", "_shards"))
     sizes = binned.groupBy("_source", "_shard").agg(F.sum("_bin_size").alias("_shard_size"))
     quotas = shard_quotas(sizes, weights, cap, block_words)
@@ -138,7 +145,7 @@ def mix(
         "q._shard", "q._shard_size", "q._source_size", "q._target", "q._quota",
     )
     keyed = sized.withColumns({
-        "_name": F.coalesce("_source", F.lit("")), "_none": F.col("_source").isNull(), "_bin": F.pmod("_draw", F.lit(MAX_SHARDS)),
+        "_name": F.coalesce("_source", F.lit("")), "_none": F.col("_source").isNull(), "_bin": bin_of,
     })
     placed = attach(keyed, bins, ["_name", "_none", "_bin"])
     along = Window.partitionBy("_name", "_none", "_shard").orderBy("_draw", F.col(key), "_size")

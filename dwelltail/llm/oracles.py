@@ -53,9 +53,10 @@ def mixing_sql(seed: int = 8) -> str:
  blocks as (select round(sum(source_size) / {block})::bigint as n from src),
  ladder as (select source, target / (2 * k + 1) as quotient, k from (select source, target, unnest(range(0, n)) as k from targets, blocks where target > 0)),
  won as (select source, count(*) as seats from (select source, row_number() over (order by quotient desc, source nulls last, k) as r from ladder), blocks where r <= n group by source),
- kept as (select t.*, coalesce(seats, 0) as seats, least({mixing.MAX_SHARDS}, greatest(1, ceil(source_size / {mixing.SHARD_WORDS})))::bigint as shards
+ kept as (select t.*, coalesce(seats, 0) as seats, greatest(1, ceil(source_size / {mixing.SHARD_WORDS}))::bigint as shards
   from targets t left join won w on t.source is not distinct from w.source),
- docs as (select s.*, k.source_size, k.target, k.seats, draw % {mixing.MAX_SHARDS} % shards as shard from sized s join kept k on s.source is not distinct from k.source),
+ bins as (select {mixing.BINS} * greatest(1, ceil((coalesce(sum(strlen(text) + 1), 0) // 2) / {mixing.BINS * mixing.SHARD_WORDS}))::bigint as n_bins from documents),
+ docs as (select s.*, k.source_size, k.target, k.seats, draw % n_bins % shards as shard from sized s join kept k on s.source is not distinct from k.source cross join bins),
  sh as (select source, shard, sum(size)::bigint as shard_size, any_value(seats) as seats from docs group by source, shard),
  shl as (select source, shard, seats, row_number() over (partition by source order by q desc, shard, k) as r
   from (select *, shard_size / (2 * k + 1) as q from (select *, unnest(range(0, seats)) as k from sh where shard_size > 0))),

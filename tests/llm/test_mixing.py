@@ -71,6 +71,31 @@ def test_seats_by_highest_quotients(spark):
         assert won == expected
 
 
+def test_seats_of_many_parties(spark):
+    """Equal votes, very small and very large parties, more parties than seats; one group each."""
+    import random
+
+    draw = random.Random(3)
+    votes = {(g, p): float(draw.choice([1, 1, 5, 90, 4_000, draw.randint(1, 300)])) for g in range(6) for p in range(40)}
+    seats = {g: (0, 3, 39, 100, 777, 5_000)[g] for g in range(6)}
+    frame = spark.createDataFrame([(g, p, v, seats[g]) for (g, p), v in votes.items()], "g int, party int, votes double, s long")
+    from pyspark.sql import functions as F
+
+    won = {(r["g"], r["party"]): r["_seats"] for r in mixing.sainte_lague(frame, ["g"], "party", "votes", F.col("s")).collect()}
+    for g, n in seats.items():
+        mine = dict.fromkeys(range(40), 0)
+        for _ in range(n):
+            mine[max(mine, key=lambda p: (votes[g, p] / (2 * mine[p] + 1), -p))] += 1
+        assert {p: won[g, p] for p in mine} == mine
+
+
+def test_bins_follow_the_table(spark):
+    """More shards than bins of a small table: no shard grows above its size."""
+    docs = spark.range(2_000).selectExpr("id as doc_id", "repeat('w ', 40) as text", "'one' as source")
+    rows = mixing.mix(docs, shard_words=100, block_words=8).collect()
+    assert sum(r["taken"] for r in rows) == 80_000 and all(0 <= r["taken"] <= 3 * r["size"] for r in rows)
+
+
 def test_repeated_documents(spark):
     docs = edges.frame(spark)
     out = mixing.repeated(docs)
