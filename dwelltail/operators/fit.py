@@ -1,131 +1,159 @@
-"""Fitting every state at once by iterated aggregation."""
+"""Fitting every state at once: one summary of the records, then each state settled on its own summary."""
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dwelltail.functions.mixtures import gmm_tail
-from dwelltail.functions.special import SQRT_2PI, normal_log_pdf, normal_pdf, normal_tail
+from dwelltail.functions.special import normal_log_pdf, normal_pdf
+from dwelltail.operators import cells, mixture_em
 from dwelltail.operators.ranks import disc_rank, select_ranks
-from dwelltail.operators.tails import gpd_from_moments
+from dwelltail.operators.tails import MIN_EXCESSES, gpd_from_moments
 from dwelltail.session import attach, complete_rows, cut
 
 #: Smallest number of rows per component.
 ROWS_PER_COMPONENT = 10
-VARIANCE_FLOOR = 1e-6
-#: Steps at most, and the relative change of a state's mean log likelihood below which it stops.
-ITERATIONS = 200
-TOLERANCE = 1e-4
-#: Stands for the logarithm of a density that underflows.
-LOWEST_LOG = -745.0
+#: Plain steps at most, and the largest move of a plain step of a settled fit (see ``mixture_em``).
+ITERATIONS = 3_000
+TOLERANCE = 1e-12
+#: Largest move of a plain step over the records themselves from a fit over their summary; beyond, the cells are made finer.
+CERTIFIED = 1e-7
+FINER, ROUNDS = 8, 3
+#: Candidate shares of the records at or below the threshold of a tail.
+LADDER = (0.8, 0.85, 0.9, 0.925, 0.95, 0.97, 0.98, 0.99)
 
 
 def _sum(terms: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, terms)
 
 
+def starting_ranks(k: int) -> tuple[dict, list[float]]:
+    """Evenly spaced quantiles that k components start from."""
+    levels = [(i + 0.5) / k for i in range(k)]
+    return {f"_m{i}": disc_rank(q) for i, q in enumerate(levels)}, levels
+
+
 def fit_gmm(
-    df: DataFrame, keys: list[str], value: str, k: int = 3, iterations: int = ITERATIONS, tolerance: float = TOLERANCE
+    df: DataFrame, keys: list[str], value: str, k: int = 3, iterations: int = ITERATIONS, tolerance: float = TOLERANCE, small: int = cells.SMALL
 ) -> DataFrame:
     """Gaussian mixture per state by expectation maximisation.
 
-    Every iteration is one scan and one map-side combined aggregation of 3k sums per
-    state; the rows are never stored. Starts from evenly spaced state quantiles with the state's variance. A
-    state stops when its mean log likelihood changes by less than ``tolerance`` of itself, or after
-    ``iterations``; ``steps`` and ``loglik`` say where. A state with fewer than 10k rows gets NULL parameters and the
+    The records are read for the starting quantiles and once for the summary (``cells``); every step works on the summary, and one more pass
+    certifies the large states: a plain step over their records moves nothing. Starts from evenly spaced state quantiles with the
+    state's variance; a state stops when it is settled (a bound without unit, see ``mixture_em``), or after ``iterations`` plain
+    steps: ``settled``, ``steps`` and ``loglik`` (mean) say where. A state with fewer than 10k rows gets NULL parameters and the
     status ``few_rows``.
     """
-    rows = complete_rows(df.select(*keys, F.col(value).alias("_y")), "_y", keys)
-    levels = [(i + 0.5) / k for i in range(k)]
+    rows = complete_rows(df.select(*keys, F.col(value).cast("double").alias("_y")), "_y", keys)
+    ranks, levels = starting_ranks(k)
     # the variance is taken in the sketch pass of the selection
-    starts = select_ranks(rows, keys, "_y", {f"_m{i}": disc_rank(q) for i, q in enumerate(levels)}, levels, stats={"_s2": "var_pop(_v)"})
-    return _expectation_maximisation(rows, starts, keys, k, iterations, tolerance)
+    starts = select_ranks(rows, keys, "_y", ranks, levels, stats={"_s2": "var_pop(_v)"})
+    return _settled(rows, starts, keys, k, iterations, tolerance, small)
+
 
+def _places(params: DataFrame, keys: list[str], k: int, extra: list[str]) -> DataFrame:
+    """Centre and unit of the cells: the middle starting quantile, and the distance of the outer ones."""
+    spread = F.greatest(F.col(f"_m{k - 1}") - F.col("_m0"), 0.01 * F.sqrt("_v"))
+    return params.select(*keys, "n", *extra, F.col(f"_m{k // 2}").alias("_a"), (spread if k > 1 else F.sqrt("_v")).alias("_b"))
 
-def _expectation_maximisation(rows, starts, keys, k, iterations, tolerance, tail: tuple[str, ...] = ()) -> DataFrame:
-    """Iterate from the start quantiles; ``tail`` names the columns of a censored fit (``u``, ``n_tail``)."""
-    params = cut(starts.withColumnRenamed("_s2", "_v").select(
-        *keys, "n", *tail, "_v", *[F.lit(1.0 / k).alias(f"_w{i}") for i in range(k)],
-        *[F.col(f"_m{i}").cast("double").alias(f"_m{i}") for i in range(k)], *[F.sqrt("_v").alias(f"_s{i}") for i in range(k)],
-    ))
+
+def _settled(rows, starts, keys, k, iterations, tolerance, small, tail: tuple[str, ...] = ()) -> DataFrame:
+    """Fit from the start quantiles; ``tail`` names the columns of a censored fit (``u``, ``n_tail``)."""
+    numbers = [F.col(f"_m{i}").cast("double").alias(f"_m{i}") for i in range(k)]
+    params = cut(starts.select(*keys, "n", *tail, F.col("_s2").alias("_v"), *numbers))
     usable = (F.col("n") >= ROWS_PER_COMPONENT * k) & (F.col("_v") > 0)
-    active = cut(params.filter(usable).select(
-        "*", F.lit(0).alias("steps"), F.lit(None).cast("double").alias("loglik"), F.lit(False).alias("_done")
-    ))
-    for _ in range(iterations):
-        active = cut(_em_step(rows, active, keys, k, tail, tolerance), F.count_if(~F.col("_done")))
-        if not active._measured:
+    fitted, open_, per_unit = None, params.filter(usable), cells.PER_UNIT
+    for number in range(ROUNDS + 1):
+        places = cut(_places(open_, keys, k, list(tail)))
+        only = F.col("_y") <= F.col("u").cast("double") if tail else None
+        summary = cells.summarise(rows, places, keys, small=small, per_unit=per_unit, only=only)
+        found = cut(_each_state(summary, open_.join(places.select(*keys, "_a", "_b"), keys), keys, k, iterations, tolerance, per_unit, tail))
+        large = found.filter(F.col("n") > small)
+        if number == ROUNDS or large.isEmpty():
+            break
+        # one plain step over the records, of the large states only
+        moved = cut(_certificate(rows, large, keys, k, tail), F.count_if(F.col("_move") > CERTIFIED))
+        if not moved._measured:
             break
+        coarse = moved.filter(F.col("_move") > CERTIFIED).select(*keys)
+        good = found.join(coarse, keys, "left_anti")
+        fitted = good if fitted is None else fitted.unionByName(good)
+        open_, per_unit = cut(open_.join(coarse, keys, "left_semi")), per_unit * FINER
+    fitted = found if fitted is None else fitted.unionByName(found)
+    packed = fitted.select(*keys, "w", "mu", "sigma", "steps", "loglik", "_done")
+    joined = params.withColumn("_usable", usable).join(packed, keys, "left")
+    status = F.when(F.col("_usable"), "ok").when(F.col("n") < ROWS_PER_COMPONENT * k, "few_rows").otherwise("constant")
+    return joined.select(*keys, "n", *tail, status.alias("status"), "w", "mu", "sigma", "steps", "loglik", F.col("_done").alias("settled"))
 
-    packed = active.select(
-        *keys,
-        F.array(*[F.col(f"_w{i}") for i in range(k)]).alias("w"),
-        F.array(*[F.col(f"_m{i}") for i in range(k)]).alias("mu"),
-        F.array(*[F.col(f"_s{i}") for i in range(k)]).alias("sigma"),
-        "steps",
-        "loglik",
-    )
-    status = F.when(usable, "ok").when(F.col("n") < ROWS_PER_COMPONENT * k, "few_rows").otherwise("constant")
-    return params.select(*keys, "n", *tail, status.alias("status")).join(packed, keys, "left")
+
+def _each_state(summary, params, keys, k, iterations, tolerance, per_unit, tail) -> DataFrame:
+    """Settle every state on its summary: n, the tail columns, ``_v``, w, mu, sigma, steps, loglik (mean), ``_done``."""
+    joined = summary.join(params, keys)
+    carried = ["n", *tail, "_v"]
+
+    def settled(batches):
+        for batch in batches:
+            columns = {name: batch.column(name).to_pylist() for name in [*carried, "_a", "_b", *[f"_m{i}" for i in range(k)]]}
+            results = []
+            for place in range(batch.num_rows):
+                row = {name: values[place] for name, values in columns.items()}
+                _, y, weight = cells.read_nodes(batch.column("cells")[place], row["_a"], row["_b"], per_unit)
+                start = np.full(k, 1.0 / k), np.array([row[f"_m{i}"] for i in range(k)]), np.full(k, row["_v"] ** 0.5)
+                censored = (float(row["u"]), float(row["n_tail"])) if tail else None
+                fit = mixture_em.settle(y, weight, start, row["n"], row["_v"], iterations, tolerance, censored)
+                results.append((fit.w, fit.mu, fit.sigma, fit.steps, fit.loglik / row["n"], fit.done))
+            w, mu, sigma, steps, loglik, done = zip(*results) if results else [()] * 6
+            listed = [pa.array([v.tolist() for v in c], pa.list_(pa.float64())) for c in (w, mu, sigma)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c) for c in [*keys, *carried]] + listed + [pa.array(steps, pa.int32()), pa.array(loglik, pa.float64()), pa.array(done, pa.bool_())],
+                names=[*keys, *carried, "w", "mu", "sigma", "steps", "loglik", "_done"],
+            )
+
+    kept = joined.select(*keys, *carried).schema
+    added = joined.sparkSession.createDataFrame([], "w array<double>, mu array<double>, sigma array<double>, steps int, loglik double, _done boolean").schema
+    return joined.mapInArrow(settled, type(kept)(kept.fields + added.fields))
 
 
-def _em_step(rows, params, keys, k, tail, tolerance) -> DataFrame:
+def _certificate(rows, fitted, keys, k, tail) -> DataFrame:
+    """Per state ``_move``: the largest move of one plain step over its records, as ``mixture_em`` measures it."""
     each = range(k)
+    params = fitted.select(*keys, "n", *tail, "_v", *[F.col(c)[i].alias(f"_{c[0]}{i}") for c in ("w", "mu", "sigma") for i in each])
     joined = attach(rows, params, keys)
     if tail:
-        joined = joined.filter("_y <= u")
-    density = [f"_w{i} * exp(-0.5D * pow((_y - _m{i}) / _s{i}, 2D)) / (_s{i} * {SQRT_2PI!r}D) as _d{i}" for i in each]
-    total = " + ".join(f"_d{i}" for i in each)
-    # far from every component all densities underflow; such a row is shared evenly
-    share = [f"if({total} > 0, _d{i} / ({total}), {1.0 / k!r}D) as _r{i}" for i in each]
-    shift = [f"_y - _m{i} as _x{i}" for i in each]
-    shared = joined.selectExpr("*", *density).selectExpr("*", *share, *shift, f"if({total} > 0, ln({total}), {LOWEST_LOG!r}D) as _l")
-    kept = ["n", *tail, "_v", "steps", "loglik", "_done", *[f"_{c}{i}" for i in each for c in "wms"]]
-    sums = [
-        f"sum({term}) as _{name}{i}"
-        for i in each
-        for name, term in (("n", f"_r{i}"), ("a", f"_r{i} * _x{i}"), ("b", f"_r{i} * _x{i} * _x{i}"))
-    ]
-    texts = [*sums, "sum(_l) as _l", *[f"first({c}) as {c}" for c in kept]]
-    summed = shared.groupBy(*keys).agg(*[F.expr(text) for text in texts])
-    if tail:
-        summed = _with_censored_rows(summed, k)
-    columns = []
-    for i in each:
-        variance = f"_b{i} / _n{i} - pow(_a{i} / _n{i}, 2D)"
-        columns += [
-            f"if(_done, _w{i}, _n{i} / n) as _w{i}",
-            f"if(_done or _n{i} <= 1e-12, _m{i}, _m{i} + _a{i} / _n{i}) as _m{i}",
-            f"if(_done or _n{i} <= 1e-12, _s{i}, sqrt(greatest({variance}, {VARIANCE_FLOOR!r}D * _v))) as _s{i}",
-        ]
-    settled = f"_done or coalesce(abs(_l / n - loglik) <= {tolerance!r}D * abs(_l / n), false)"
-    progress = ["if(_done, steps, steps + 1) as steps", "if(_done, loglik, _l / n) as loglik", f"{settled} as _done"]
-    return summed.selectExpr(*keys, "n", *tail, "_v", *columns, *progress)
-
-
-def _with_censored_rows(summed: DataFrame, k: int) -> DataFrame:
-    """Add what the ``n_tail`` rows above u contribute: each component's mass there and its moments above u."""
-    u = F.col("u").cast("double")
-    for i in range(k):
-        m, s = F.col(f"_m{i}"), F.col(f"_s{i}")
-        mass = normal_tail(u, m, s)
-        # phi(z) / Q(z); where the mass underflows it tends to z itself
-        z = (u - m) / s
-        hazard = F.when(mass > 1e-290, s * normal_pdf(u, m, s) / mass).otherwise(F.greatest(z, F.lit(0.0)))
-        summed = summed.withColumn(f"_t{i}", F.col(f"_w{i}") * mass).withColumn(f"_z{i}", z).withColumn(f"_h{i}", hazard)
-    total = _sum([F.col(f"_t{i}") for i in range(k)])
-    summed = summed.withColumn("_t", total)
-    columns = {"_l": F.col("_l") + F.col("n_tail") * F.when(F.col("_t") > 0, F.log("_t")).otherwise(F.lit(LOWEST_LOG))}
-    for i in range(k):
-        mine = F.col("n_tail") * F.when(F.col("_t") > 0, F.col(f"_t{i}") / F.col("_t")).otherwise(F.lit(1.0 / k))
-        s, z, h = F.col(f"_s{i}"), F.col(f"_z{i}"), F.col(f"_h{i}")
-        columns[f"_n{i}"] = F.col(f"_n{i}") + mine
-        columns[f"_a{i}"] = F.col(f"_a{i}") + mine * s * h
-        columns[f"_b{i}"] = F.col(f"_b{i}") + mine * s * s * (1 + z * h)
-    return summed.withColumns(columns)
+        joined = joined.filter(F.col("_y") <= F.col("u").cast("double"))
+    logs = [f"ln(greatest(_w{i}, 1e-300D)) - ln(_s{i}) - 0.5D * pow((_y - _m{i}) / _s{i}, 2D) as _d{i}" for i in each]
+    top = f"greatest({', '.join(f'_d{i}' for i in each)})" if k > 1 else "_d0"
+    whole = " + ".join(f"exp(_d{i} - _top)" for i in each)
+    shared = joined.selectExpr("*", *logs).selectExpr("*", f"{top} as _top").selectExpr("*", f"{whole} as _whole")
+    shared = shared.selectExpr("*", *[f"exp(_d{i} - _top) / _whole as _r{i}" for i in each], *[f"_y - _m{i} as _x{i}" for i in each])
+    sums = [f"sum({term}) as _{name}{i}" for i in each for name, term in (("n", f"_r{i}"), ("a", f"_r{i} * _x{i}"), ("b", f"_r{i} * _x{i} * _x{i}"))]
+    kept = [f"first({c}) as {c}" for c in params.columns if c not in keys]
+    summed = shared.groupBy(*keys).agg(*[F.expr(text) for text in [*sums, *kept]])
+
+    def moved(batches):
+        for batch in batches:
+            columns = {name: batch.column(name).to_numpy(zero_copy_only=False).astype(float) for name in batch.schema.names if name not in keys}
+            result = []
+            for place in range(batch.num_rows):
+                row = {name: values[place] for name, values in columns.items()}
+                w, m, s, count, first, second = (np.array([row[f"_{c}{i}"] for i in each]) for c in "wmsnab")
+                if tail:
+                    mass, z, hazard = mixture_em.above(row["u"], w, m, s)
+                    mine = row["n_tail"] * (mass / mass.sum() if mass.sum() > 0 else 1.0 / k)
+                    count, first, second = count + mine, first + mine * s * hazard, second + mine * s * s * (1 + z * hazard)
+                safe = np.maximum(count, 1e-12)
+                spread = np.sqrt(np.maximum(second / safe - (first / safe) ** 2, mixture_em.VARIANCE_FLOOR * row["_v"]))
+                some = count > 1e-12
+                moves = [count / row["n"] - w, np.where(some, w * first / safe, 0.0) / row["_v"] ** 0.5, np.where(some, w * np.log(spread / s), 0.0)]
+                result.append(float(np.abs(moves).max()))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keys] + [pa.array(result, pa.float64())], names=[*keys, "_move"])
+
+    return summed.mapInArrow(moved, summed.select(*keys, F.lit(0.0).alias("_move")).schema)
 
 
 def fit_emm(
@@ -137,6 +165,7 @@ def fit_emm(
     level: float = 0.95,
     positive_shape: bool = False,
     tolerance: float = TOLERANCE,
+    small: int = cells.SMALL,
 ) -> DataFrame:
     """Gaussian bulk with a generalised Pareto tail above the state's ``level`` quantile.
 
@@ -145,9 +174,8 @@ def fit_emm(
     the tail is continuous at u.
     """
     rows = complete_rows(df.select(*keys, F.col(value).alias("_y")), "_y", keys)
-    levels = [(i + 0.5) / k for i in range(k)]
-    ranks = {f"_m{i}": disc_rank(q) for i, q in enumerate(levels)} | {"u": disc_rank(level)}
-    starts = cut(select_ranks(rows, keys, "_y", ranks, [*levels, level], stats={"_s2": "var_pop(_v)"}))
+    ranks, levels = starting_ranks(k)
+    starts = cut(select_ranks(rows, keys, "_y", ranks | {"u": disc_rank(level)}, [*levels, level], stats={"_s2": "var_pop(_v)"}))
     over = attach(rows, starts.select(*keys, "u"), keys)
     z = F.when(F.col("_y") > F.col("u"), F.col("_y") - F.col("u"))
     excess = cut(
@@ -157,14 +185,15 @@ def fit_emm(
         .withColumnRenamed("status", "_tail")
     )
     counted = starts.join(excess.select(*keys, "n_tail"), keys)
-    bulk = _expectation_maximisation(rows, counted, keys, k, iterations, tolerance, ("u", "n_tail"))
+    doubled = rows.withColumn("_y", F.col("_y").cast("double"))
+    bulk = _settled(doubled, counted, keys, k, iterations, tolerance, small, ("u", "n_tail"))
     joined = bulk.join(excess.drop("n_tail"), keys).withColumn("norm", F.col("n_tail") / F.col("n"))
     below = 1 - gmm_tail(F.col("u").cast("double"), k)
     joined = joined.withColumn("_scale", F.try_divide(1 - F.col("norm"), below))
     joined = joined.withColumn("w", F.transform("w", lambda w: w * F.col("_scale")))
     status = F.when(F.col("status") != "ok", F.col("status")).otherwise(F.col("_tail"))
     return joined.select(
-        *keys, "n", "n_tail", "w", "mu", "sigma", "u", "xi", "beta", "norm", "steps", "loglik", status.alias("status")
+        *keys, "n", "n_tail", "w", "mu", "sigma", "u", "xi", "beta", "norm", "steps", "loglik", "settled", status.alias("status")
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dwelltail.functions import special
+from dwelltail.operators import fit, mixture_em
 from dwelltail.plans.registry import level_list
 
 K = 3
@@ -81,60 +82,81 @@ def emm_pdf_sql(y: str, k: int = BULK) -> str:
     return f"(case when ({y}) > u then norm * {gpd_pdf_sql(f'({y}) - u')} else {gmm_pdf_sql(y, k)} end)"
 
 
-def em_sql(source: str, keys: list[str], k: int, name: str, value: str = "y", tail: str | None = None) -> str:
-    """Chain ending in a table ``name``: keys, n, w0.., m0.., s0.. where each state stopped (a recursive chain).
+def em_sql(source: str, keys: list[str], k: int, name: str, value: str = "y", tail: str | None = None, starts: str | None = None) -> str:
+    """Chain ending in a table ``name``: keys, n, w0.., m0.., s0.. where each state is settled (a recursive chain).
 
-    ``tail`` names a table (keys, u, n_tail) for a fit to the rows up to u with the others counted only.
+    A row of the recursion holds the point of the next plain step (``cur``: weights, means, deviations) and its phase: a step from the
+    cycle's start, a second one with the leap along both, and a step from there. ``tail`` names a table (keys, u, n_tail) for a fit to the rows up to u with the
+    others counted only; ``starts`` one with keys, n, v, qs (else taken from the rows).
     """
     by = ", ".join(keys)
-    starts = level_list([(i + 0.5) / k for i in range(k)])
     each = range(k)
-    carried = ", ".join(f"w{i}, m{i}, s{i}" for i in each)
     extra = ", u, n_tail" if tail else ""
-    whole = " + ".join(f"d{i}" for i in each)
-    densities = ", ".join(f"w{i} * {phi(value, f'm{i}', f's{i}')} as d{i}" for i in each)
-    share = [f"(case when {whole} > 0 then d{i} / ({whole}) else {1.0 / k!r} end)" for i in each]
-    sums = ", ".join(
-        f"sum({share[i]}) as n{i}, sum({share[i]} * ({value} - m{i})) as a{i}, "
-        f"sum({share[i]} * ({value} - m{i}) * ({value} - m{i})) as b{i}"
-        for i in each
-    )
+    w, m, s = ([f"cur[{part * k + i + 1}]" for i in each] for part in range(3))
+    logs = ", ".join(f"ln(greatest({w[i]}, 1e-300)) - ln({s[i]}) - 0.5 * pow(({value} - {m[i]}) / {s[i]}, 2) as l{i}, {value} - {m[i]} as x{i}" for i in each)
+    top = f"greatest({', '.join(f'l{i}' for i in each)})"
+    whole = " + ".join(f"exp(l{i} - top)" for i in each)
+    sums = ", ".join(f"sum(exp(l{i} - top) / t) as n{i}, sum(exp(l{i} - top) / t * x{i}) as a{i}, sum(exp(l{i} - top) / t * x{i} * x{i}) as b{i}" for i in each)
+    carried = "n, v, step, phase, cur, start, other, best" + extra
     parts, likelihood = "", "l"
     n_of, a_of, b_of = ([f"{c}{i}" for i in each] for c in "nab")
     if tail:
         parts = ", " + ", ".join(
-            f"w{i} * {normal_tail_sql('u', f'm{i}', f's{i}')} as t{i}, (u - m{i}) / s{i} as z{i}, "
-            f"case when {normal_tail_sql('u', f'm{i}', f's{i}')} > 1e-290 then s{i} * {phi('u', f'm{i}', f's{i}')} / "
-            f"{normal_tail_sql('u', f'm{i}', f's{i}')} else greatest((u - m{i}) / s{i}, 0.0) end as h{i}"
+            f"{w[i]} * {normal_tail_sql('u', m[i], s[i])} as t{i}, (u - {m[i]}) / {s[i]} as z{i}, "
+            f"case when {normal_tail_sql('u', m[i], s[i])} > 1e-290 then {s[i]} * {phi('u', m[i], s[i])} / "
+            f"{normal_tail_sql('u', m[i], s[i])} else greatest((u - {m[i]}) / {s[i]}, 0.0) end as h{i}"
             for i in each
         )
         above = "(" + " + ".join(f"t{i}" for i in each) + ")"
         mine = [f"(n_tail * case when {above} > 0 then t{i} / {above} else {1.0 / k!r} end)" for i in each]
         n_of = [f"(n{i} + {mine[i]})" for i in each]
-        a_of = [f"(a{i} + {mine[i]} * s{i} * h{i})" for i in each]
-        b_of = [f"(b{i} + {mine[i]} * s{i} * s{i} * (1 + z{i} * h{i}))" for i in each]
-        likelihood = f"(l + n_tail * case when {above} > 0 then ln({above}) else -745.0 end)"
-    moved = ", ".join(
-        f"{n_of[i]} / n as w{i}, case when {n_of[i]} > 1e-12 then m{i} + {a_of[i]} / {n_of[i]} else m{i} end as m{i}, "
-        f"case when {n_of[i]} > 1e-12 then sqrt(greatest({b_of[i]} / {n_of[i]} - ({a_of[i]} / {n_of[i]}) * ({a_of[i]} / {n_of[i]}), "
-        f"1e-6 * v)) else s{i} end as s{i}"
-        for i in each
-    )
+        a_of = [f"(a{i} + {mine[i]} * {s[i]} * h{i})" for i in each]
+        b_of = [f"(b{i} + {mine[i]} * {s[i]} * {s[i]} * (1 + z{i} * h{i}))" for i in each]
+        likelihood = f"(l + n_tail * case when {above} > 0 then ln({above}) else {mixture_em.LOWEST_LOG} end)"
+    floor = f"{mixture_em.VARIANCE_FLOOR!r}::double * v"
+    means = [f"case when {n_of[i]} > 1e-12 then {m[i]} + {a_of[i]} / {n_of[i]} else {m[i]} end" for i in each]
+    widths = [
+        f"case when {n_of[i]} > 1e-12 then sqrt(greatest({b_of[i]} / {n_of[i]} - ({a_of[i]} / {n_of[i]}) * ({a_of[i]} / {n_of[i]}), {floor})) else {s[i]} end" for i in each
+    ]
+    moved = ", ".join([f"{n_of[i]} / n" for i in each] + means + widths)
+
+    def moves(old: str, new: str) -> str:
+        parts = [f"{new}[{i + 1}] - {old}[{i + 1}]" for i in each]
+        parts += [f"{new}[{i + 1}] * ({new}[{k + i + 1}] - {old}[{k + i + 1}]) / sqrt(v)" for i in each]
+        parts += [f"{new}[{i + 1}] * (ln({new}[{2 * k + i + 1}]) - ln({old}[{2 * k + i + 1}]))" for i in each]
+        return f"[{', '.join(parts)}]"
+
+    def along(x: str, y: str, z: str) -> str:
+        return f"({x} + 2 * far * ({y} - {x}) + far * far * ({z} - 2 * {y} + {x}))"
+
+    weights = [f"greatest({along(*(f'{t}[{i + 1}]' for t in ('start', 'cur', 'new')))}, {mixture_em.LEAST_WEIGHT!r})" for i in each]
+    kept = " + ".join(f"new[{i + 1}]" for i in each)
+    spots = [along(*(f"{t}[{k + i + 1}]" for t in ("start", "cur", "new"))) for i in each]
+    low, high = f"(0.5 * ln(v) + 0.5 * ln({mixture_em.VARIANCE_FLOOR!r}::double))", f"(0.5 * ln(v) + {mixture_em.WIDEST})"
+    spread = [f"exp(least(greatest({along(*(f'ln({t}[{2 * k + i + 1}])' for t in ('start', 'cur', 'new')))}, {low}), {high}))" for i in each]
     inside = f" where {value} <= u" if tail else ""
     joined = f" join {tail} using ({by})" if tail else ""
-    return f"""{name}_q as (select {by}, count(*) as n, var_pop({value}) as v, quantile_disc({value}, {starts}) as qs
+    own = f"""{name}_q as (select {by}, count(*) as n, var_pop({value}) as v, quantile_disc({value}, {level_list([(i + 0.5) / k for i in each])}) as qs
   from {source} group by {by}),
- {name}_e as (select {by}, n, v{extra}, 0 as step, -1e308::double as ll, false as done, {
-        ", ".join(f"{1.0 / k!r}::double as w{i}, qs[{i + 1}]::double as m{i}, sqrt(v) as s{i}" for i in each)}
-  from {name}_q{joined} where n >= {10 * k} and v > 0
+ """
+    begin = ", ".join([f"{1.0 / k!r}::double" for _ in each] + [f"qs[{i + 1}]::double" for i in each] + ["sqrt(v)" for _ in each])
+    return f"""{own if starts is None else ""}{name}_e as (select {by}, n, v, 0 as step, 0 as phase, [{begin}] as cur, [{begin}] as start, [{begin}] as other,
+  -1e308::double as best, false as done{extra} from {starts or f"{name}_q"}{joined} where n >= {10 * k} and v > 0
  union all
- select {by}, n, v{extra}, step + 1, {likelihood} / n,
-  (step > 0 and abs({likelihood} / n - ll) <= 1e-4 * abs({likelihood} / n)) or step + 1 >= 200, {moved}
- from (select *{parts} from (select {by}, n, v{extra}, step, ll, {carried}, {sums},
-   sum(case when {whole} > 0 then ln({whole}) else -745.0 end) as l
-  from (select {by}, {value}, n, v{extra}, step, ll, {carried}, {densities} from {source} join {name}_e using ({by}) where not done)
-  {inside} group by {by}, n, v{extra}, step, ll, {carried}))),
- {name} as (select {by}, n, {carried} from {name}_e where done)"""
+ select {by}, n, v, step, (phase + 1) % 3, case phase when 0 then new when 2 then (case when ll >= best then new else other end)
+   else [{", ".join([f"w{i} / ({' + '.join(f'w{j}' for j in each)}) * ({kept})" for i in each] + spots + spread)}] end,
+  case phase when 0 then cur else start end, case phase when 1 then new else other end, case phase when 1 then ll else best end,
+  phase = 0 and (move <= {fit.TOLERANCE!r} or step >= {fit.ITERATIONS}){extra}
+ from (select *, {", ".join(f"{weights[i]} as w{i}" for i in each)} from (select *, list_aggregate(list_transform({moves('cur', 'new')}, lambda x: abs(x)), 'max') as move,
+   least({mixture_em.LONGEST}, greatest(1.0, coalesce(sqrt(list_sum(list_transform({moves('start', 'cur')}, lambda x: x * x))) / nullif(sqrt(list_sum(list_transform(
+    list_zip({moves('start', 'cur')}, {moves('cur', 'new')}), lambda p: (p[2] - p[1]) * (p[2] - p[1])))), 0), 1.0))) as far
+  from (select *, [{moved}] as new, {likelihood} as ll
+  from (select *{parts} from (select {by}, any_value(n) as n, any_value(v) as v, any_value(step) + 1 as step, any_value(phase) as phase, any_value(cur) as cur,
+   any_value(start) as start, any_value(other) as other, any_value(best) as best{", any_value(u) as u, any_value(n_tail) as n_tail" if tail else ""}, {sums},
+   sum(top + ln(t)) - {mixture_em.LOG_SQRT_2PI!r} * count(*) as l
+  from (select *, {whole} as t from (select *, {top} as top from (select {by}, {value}, {carried}, {logs} from {source} join {name}_e using ({by}) where not done)))
+  {inside} group by {by})))))),
+ {name} as (select {by}, n, {", ".join(f"cur[{i + 1}] as w{i}, cur[{k + i + 1}] as m{i}, cur[{2 * k + i + 1}] as s{i}" for i in each)} from {name}_e where done)"""
 
 
 def emm_sql(source: str, keys: list[str], k: int, name: str, level: float = 0.95) -> str:
