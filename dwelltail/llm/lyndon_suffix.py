@@ -110,6 +110,15 @@ def from6(raw: bytes) -> np.ndarray:
     return wide.view("<u8").reshape(-1)
 
 
+def planes(values: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then the second ones, and so on: high bytes are mostly zeros and compress as a run."""
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def from_planes(raw: bytes, kind) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
+
+
 PACKED = "bucket int, owners binary, keys binary, counts binary, minimisers binary, pieces binary, starts binary, small binary"
 
 
@@ -149,9 +158,9 @@ def _packed(buckets: int):
                 owner, count = np.unique(document[rows], return_counts=True)
                 done = number < 0
                 for column, value in zip(columns, (
-                    int(keys[0] % buckets) if done else number, np.diff(ids[owner], prepend=0).tobytes(), keys[owner].tobytes(), count.astype(np.uint32).tobytes(),
+                    int(keys[0] % buckets) if done else number, planes(np.diff(ids[owner], prepend=0)), keys[owner].tobytes(), planes(count.astype(np.uint32)),
                     None if done else low6(minimiser[rows] & _LOW48), None if done else low6(piece[rows] & _LOW48),
-                    start[rows].tobytes(), small[rows].tobytes(),
+                    planes(start[rows]), small[rows].tobytes(),
                 )):
                     column.append(value)
             yield pa.RecordBatch.from_arrays(
@@ -182,17 +191,17 @@ def compared_pieces(rows: list[dict]):
         if row["pieces"] is not None:
             open_rows.append(row)
             continue
-        ids, keys = np.cumsum(np.frombuffer(row["owners"], np.int64)), np.frombuffer(row["keys"], np.int32)
-        owner = np.repeat(np.arange(len(ids)), np.frombuffer(row["counts"], np.uint32))
+        ids, keys = np.cumsum(from_planes(row["owners"], np.int64)), np.frombuffer(row["keys"], np.int32)
+        owner = np.repeat(np.arange(len(ids)), from_planes(row["counts"], np.uint32))
         length = np.frombuffer(row["small"], np.uint8)[::4].astype(np.uint32) + LENGTH
-        yield by_owner(owner, keys, ids, [np.frombuffer(row["starts"], np.uint32), length], 0)
+        yield by_owner(owner, keys, ids, [from_planes(row["starts"], np.uint32), length], 0)
     if not open_rows:
         return
-    ids = np.concatenate([np.cumsum(np.frombuffer(r["owners"], np.int64)) for r in open_rows])
+    ids = np.concatenate([np.cumsum(from_planes(r["owners"], np.int64)) for r in open_rows])
     keys = np.concatenate([np.frombuffer(r["keys"], np.int32) for r in open_rows])
-    counts = np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in open_rows])
+    counts = np.concatenate([from_planes(r["counts"], np.uint32) for r in open_rows])
     minimiser, piece = (np.concatenate([from6(r[c]) for r in open_rows]) for c in ("minimisers", "pieces"))
-    start = np.concatenate([np.frombuffer(r["starts"], np.uint32) for r in open_rows])
+    start = np.concatenate([from_planes(r["starts"], np.uint32) for r in open_rows])
     small = np.concatenate([np.frombuffer(r["small"], np.uint8).reshape(-1, 4) for r in open_rows])
     for row in open_rows:
         row.clear()
