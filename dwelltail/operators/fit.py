@@ -24,6 +24,7 @@ TOLERANCE = 1e-12
 #: Largest move of a plain step over the records themselves from a fit over their summary; beyond, the cells are made finer.
 CERTIFIED = 1e-7
 FINER, ROUNDS = 8, 3
+RUNG = ("level", "u", "n_tail", "xi", "beta", "loglik")
 #: Candidate shares of the records at or below the threshold of a tail.
 LADDER = (0.8, 0.85, 0.9, 0.925, 0.95, 0.97, 0.98, 0.99)
 
@@ -56,10 +57,10 @@ def fit_gmm(
     return _settled(rows, starts, keys, k, iterations, tolerance, small)
 
 
-def _places(params: DataFrame, keys: list[str], k: int, extra: list[str]) -> DataFrame:
-    """Centre and unit of the cells: the middle starting quantile, and the distance of the outer ones."""
+def _places(params: DataFrame, k: int) -> DataFrame:
+    """``params`` with centre and unit of the cells: the middle starting quantile, and the distance of the outer ones."""
     spread = F.greatest(F.col(f"_m{k - 1}") - F.col("_m0"), 0.01 * F.sqrt("_v"))
-    return params.select(*keys, "n", *extra, F.col(f"_m{k // 2}").alias("_a"), (spread if k > 1 else F.sqrt("_v")).alias("_b"))
+    return params.select("*", F.col(f"_m{k // 2}").alias("_a"), (spread if k > 1 else F.sqrt("_v")).alias("_b"))
 
 
 def _settled(rows, starts, keys, k, iterations, tolerance, small, tail: tuple[str, ...] = ()) -> DataFrame:
@@ -67,13 +68,26 @@ def _settled(rows, starts, keys, k, iterations, tolerance, small, tail: tuple[st
     numbers = [F.col(f"_m{i}").cast("double").alias(f"_m{i}") for i in range(k)]
     params = cut(starts.select(*keys, "n", *tail, F.col("_s2").alias("_v"), *numbers))
     usable = (F.col("n") >= ROWS_PER_COMPONENT * k) & (F.col("_v") > 0)
-    fitted, open_, per_unit = None, params.filter(usable), cells.PER_UNIT
+
+    def solve(summary: DataFrame, open_: DataFrame, per_unit: int) -> DataFrame:
+        return _each_state(summary.join(open_, keys), keys, k, iterations, tolerance, per_unit, tail)
+
+    only = F.col("_y") <= F.col("u").cast("double") if tail else None
+    fitted = _certified(rows, params.filter(usable), keys, k, small, solve, tail, only=only)
+    packed = fitted.select(*keys, "w", "mu", "sigma", "steps", "loglik", "_done")
+    joined = params.withColumn("_usable", usable).join(packed, keys, "left")
+    status = F.when(F.col("_usable"), "ok").when(F.col("n") < ROWS_PER_COMPONENT * k, "few_rows").otherwise("constant")
+    return joined.select(*keys, "n", *tail, status.alias("status"), "w", "mu", "sigma", "steps", "loglik", F.col("_done").alias("settled"))
+
+
+def _certified(rows, params, keys, k, small, solve, tail, part: Column | None = None, only: Column | None = None) -> DataFrame:
+    """``solve`` on summaries of the rows, with finer cells for large states whose records a plain step still moves."""
+    fitted, open_, per_unit = None, _places(params, k), cells.PER_UNIT
     for number in range(ROUNDS + 1):
-        places = cut(_places(open_, keys, k, list(tail)))
-        only = F.col("_y") <= F.col("u").cast("double") if tail else None
-        summary = cells.summarise(rows, places, keys, small=small, per_unit=per_unit, only=only)
-        found = cut(_each_state(summary, open_.join(places.select(*keys, "_a", "_b"), keys), keys, k, iterations, tolerance, per_unit, tail))
-        large = found.filter(F.col("n") > small)
+        open_ = cut(open_)
+        summary = cells.summarise(rows, open_, keys, part, small, per_unit, only)
+        found = cut(solve(summary, open_, per_unit))
+        large = found.filter((F.col("n") > small) & F.col("w").isNotNull())
         if number == ROUNDS or large.isEmpty():
             break
         # one plain step over the records, of the large states only
@@ -83,17 +97,12 @@ def _settled(rows, starts, keys, k, iterations, tolerance, small, tail: tuple[st
         coarse = moved.filter(F.col("_move") > CERTIFIED).select(*keys)
         good = found.join(coarse, keys, "left_anti")
         fitted = good if fitted is None else fitted.unionByName(good)
-        open_, per_unit = cut(open_.join(coarse, keys, "left_semi")), per_unit * FINER
-    fitted = found if fitted is None else fitted.unionByName(found)
-    packed = fitted.select(*keys, "w", "mu", "sigma", "steps", "loglik", "_done")
-    joined = params.withColumn("_usable", usable).join(packed, keys, "left")
-    status = F.when(F.col("_usable"), "ok").when(F.col("n") < ROWS_PER_COMPONENT * k, "few_rows").otherwise("constant")
-    return joined.select(*keys, "n", *tail, status.alias("status"), "w", "mu", "sigma", "steps", "loglik", F.col("_done").alias("settled"))
+        open_, per_unit = open_.join(coarse, keys, "left_semi"), per_unit * FINER
+    return found if fitted is None else fitted.unionByName(found)
 
 
-def _each_state(summary, params, keys, k, iterations, tolerance, per_unit, tail) -> DataFrame:
+def _each_state(joined, keys, k, iterations, tolerance, per_unit, tail) -> DataFrame:
     """Settle every state on its summary: n, the tail columns, ``_v``, w, mu, sigma, steps, loglik (mean), ``_done``."""
-    joined = summary.join(params, keys)
     carried = ["n", *tail, "_v"]
 
     def settled(batches):
@@ -197,6 +206,91 @@ def fit_emm(
     )
 
 
+def fit_emm_ladder(
+    df: DataFrame,
+    keys: list[str],
+    value: str,
+    k: int = 2,
+    levels: tuple[float, ...] = LADDER,
+    iterations: int = ITERATIONS,
+    tolerance: float = TOLERANCE,
+    small: int = cells.SMALL,
+) -> DataFrame:
+    """``fit_emm`` with a threshold learned per state: the rung of a ladder of levels with the highest likelihood of bulk and tail together.
+
+    Records are summarised once, apart between neighbouring thresholds, so every rung's excess moments, censored bulk and likelihood
+    come from parts of one summary. A rung needs 30 excesses that vary and an end point above the largest record; equal likelihoods
+    go to the lower rung. ``rungs`` has them all: level, u, n_tail, xi, beta, loglik (mean; NULL where a rung cannot be used).
+    Without a usable rung the parameters are NULL (``few_excesses``).
+    """
+    levels = sorted(levels)
+    rows = complete_rows(df.select(*keys, F.col(value).cast("double").alias("_y")), "_y", keys)
+    ranks, starts = starting_ranks(k)
+    ranks |= {f"_u{j}": disc_rank(q) for j, q in enumerate(levels)}
+    ranked = select_ranks(rows, keys, "_y", ranks, [*starts, *levels], stats={"_s2": "var_pop(_v)", "_top": "max(_v)"})
+    us = F.array(*[F.col(f"_u{j}") for j in range(len(levels))])
+    params = cut(ranked.select(*keys, "n", F.col("_s2").alias("_v"), "_top", *[f"_m{i}" for i in range(k)], us.alias("_us")))
+    usable = (F.col("n") >= ROWS_PER_COMPONENT * k) & (F.col("_v") > 0)
+
+    def solve(summary: DataFrame, open_: DataFrame, per_unit: int) -> DataFrame:
+        return _each_ladder(summary.join(open_, keys), keys, k, levels, iterations, tolerance, per_unit)
+
+    part = F.size(F.filter("_us", lambda u: u < F.col("_y")))
+    fitted = _certified(rows, params.filter(usable), keys, k, small, solve, ("u", "n_tail"), part)
+    joined = params.withColumn("_usable", usable).join(fitted.drop("n", "_v"), keys, "left").withColumn("norm", F.col("n_tail") / F.col("n"))
+    below = F.try_divide(1 - F.col("norm"), 1 - gmm_tail(F.col("u"), k))
+    status = F.when(~F.col("_usable"), F.when(F.col("n") < ROWS_PER_COMPONENT * k, "few_rows").otherwise("constant"))
+    status = status.when(F.col("u").isNull(), "few_excesses").otherwise("ok")
+    # one row per state, stored: planning what follows need not carry the long expression of the scale
+    return cut(joined.select(
+        *keys, "n", "n_tail", F.transform("w", lambda w: w * below).alias("w"), "mu", "sigma", "u", "xi", "beta", "norm", "level", "steps", "loglik",
+        F.col("_done").alias("settled"), status.alias("status"), "rungs",
+    ))
+
+
+def _each_ladder(joined, keys, k, levels, iterations, tolerance, per_unit) -> DataFrame:
+    columns = ["n", "_v", "_top", "_a", "_b", "_us", *[f"_m{i}" for i in range(k)]]
+
+    def climbed(batches):
+        for batch in batches:
+            known = {name: batch.column(name).to_pylist() for name in columns}
+            out = {name: [] for name in ("u", "n_tail", "w", "mu", "sigma", "xi", "beta", "level", "steps", "loglik", "_done", "rungs")}
+            for place in range(batch.num_rows):
+                row = {name: values[place] for name, values in known.items()}
+                part, y, weight = cells.read_nodes(batch.column("cells")[place], row["_a"], row["_b"], per_unit)
+                start = np.full(k, 1.0 / k), np.array([row[f"_m{i}"] for i in range(k)]), np.full(k, row["_v"] ** 0.5)
+                best, rungs = None, []
+                for j, (level, u) in enumerate(zip(levels, row["_us"])):
+                    at = mixture_em.spliced(y, weight, part <= j, u, row["_top"], start, row["n"], row["_v"], iterations, tolerance, MIN_EXCESSES)
+                    mean = None if at is None or not np.isfinite(at.loglik) else at.loglik / row["n"]
+                    rungs.append((level, u, None if at is None else at.n_tail, *((None, None) if at is None else (at.xi, at.beta)), mean))
+                    if mean is not None and (best is None or mean > best[0]):
+                        best = mean, level, u, at
+                mean, level, u, at = best or (None,) * 4
+                bulk = at and at.bulk
+                for name, found in zip(out, (
+                    u, at and at.n_tail, bulk and bulk.w.tolist(), bulk and bulk.mu.tolist(), bulk and bulk.sigma.tolist(), at and at.xi, at and at.beta,
+                    level, bulk and bulk.steps, mean, bulk and bulk.done, rungs,
+                )):
+                    out[name].append(found)
+            kinds = dict(n_tail=pa.int64(), steps=pa.int32(), _done=pa.bool_()) | dict.fromkeys(("w", "mu", "sigma"), pa.list_(pa.float64()))
+            rung = pa.struct([(n, pa.int64() if n == "n_tail" else pa.float64()) for n in RUNG])
+            arrays = [
+                pa.array([[dict(zip(RUNG, r)) for r in v] for v in values], pa.list_(rung))
+                if name == "rungs" else pa.array(values, kinds.get(name, pa.float64()))
+                for name, values in out.items()
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in [*keys, "n", "_v"]] + arrays, names=[*keys, "n", "_v", *out])
+
+    rung = "array<struct<level:double,u:double,n_tail:bigint,xi:double,beta:double,loglik:double>>"
+    added = (
+        "u double, n_tail long, w array<double>, mu array<double>, sigma array<double>, xi double, beta double, level double, steps int, "
+        f"loglik double, _done boolean, rungs {rung}"
+    )
+    kept = joined.select(*keys, "n", "_v").schema
+    return joined.mapInArrow(climbed, type(kept)(kept.fields + joined.sparkSession.createDataFrame([], added).schema.fields))
+
+
 def fit_affine(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Location and log scale of one normal per state: y = exp(a) z + b."""
     return complete_rows(df, value, keys).groupBy(*keys).agg(

@@ -118,3 +118,44 @@ def log_density(y, w, m, s) -> np.ndarray:
     logs = np.log(np.maximum(w, 1e-300)) - np.log(s) - 0.5 * ((y[:, None] - m) / s) ** 2
     top = logs.max(1)
     return top + np.log(np.exp(logs - top[:, None]).sum(1)) - LOG_SQRT_2PI
+
+
+@dataclass
+class Spliced:
+    """A censored bulk with a Pareto tail above u, and their likelihood together."""
+
+    bulk: Settled
+    n_tail: int
+    xi: float
+    beta: float
+    loglik: float
+
+
+def spliced(y, weight, below, u: float, top: float, start, n: float, variance: float, iterations: int, tolerance: float, least: int) -> Spliced | None:
+    """Bulk and tail at one threshold; None with fewer than ``least`` excesses or if they do not vary.
+
+    The likelihood is that of the spliced density: the bulk scaled to the share of records up to u, the Pareto density times the
+    share above; minus infinity if the Pareto's end point lies below the largest record ``top``.
+    """
+    bulk_y, bulk_weight, excess, tail_weight = y[below], weight[below], y[~below] - u, weight[~below]
+    n_tail = int(round(float(tail_weight.sum())))
+    if n_tail < least:
+        return None
+    mean = float(tail_weight @ excess) / n_tail
+    spread = float(tail_weight @ (excess - mean) ** 2) / (n_tail - 1)
+    if not spread > 1e-300:
+        return None
+    ratio = mean * mean / spread
+    xi, beta = 0.5 * (1 - ratio), 0.5 * mean * (ratio + 1)
+    bulk = settle(bulk_y, bulk_weight, start, n, variance, iterations, tolerance, (u, float(n_tail)))
+    inside = 1 - float(above(u, bulk.w, bulk.mu, bulk.sigma)[0].sum())
+    share = n_tail / n
+    loglik = float(bulk_weight @ log_density(bulk_y, bulk.w, bulk.mu, bulk.sigma)) + (n - n_tail) * math.log((1 - share) / inside) + n_tail * math.log(share / beta)
+    if abs(xi) < 1e-8:
+        return Spliced(bulk, n_tail, xi, beta, loglik - mean * n_tail / beta)
+    last = 1 + xi * (top - u) / beta
+    if last <= 0:
+        return Spliced(bulk, n_tail, xi, beta, -math.inf)
+    # nodes can lie beyond the largest record
+    grown = np.maximum(1 + xi * excess / beta, min(last, 1.0))
+    return Spliced(bulk, n_tail, xi, beta, loglik - (1 + 1 / xi) * float(tail_weight @ np.log(grown)))

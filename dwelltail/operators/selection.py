@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dwelltail.functions.special import SQRT_2PI
+from dwelltail.operators import cells, fit, mixture_em
 from dwelltail.operators.kernels import ORDER, REACH, cell_moments, combine_moments, kernel_log_sums, normal_reference
 from dwelltail.operators.matching import _pairs_within
-from dwelltail.session import attach, cut
+from dwelltail.operators.ranks import disc_rank, select_ranks
+from dwelltail.session import attach, complete_rows, cut
 
 
 def cv_affine(df: DataFrame, keys: list[str], value: str, scales: list[float], fold: str = "fold") -> DataFrame:
@@ -94,3 +98,57 @@ def best_of_grid(scores: DataFrame, fold: str = "fold") -> DataFrame:
     means = cut(means)
     top = means.agg(F.max_by("param", F.struct("mean_loglik", -F.col("param")))).scalar()
     return means.withColumn("is_best", (F.col("param") == top).cast("int"))
+
+
+def cv_mixture(
+    df: DataFrame, keys: list[str], value: str, sizes: tuple[int, ...] = (1, 2, 3), fold: str = "fold", iterations: int = fit.ITERATIONS,
+    tolerance: float = fit.TOLERANCE, small: int = cells.SMALL,
+) -> DataFrame:
+    """param (number of components), fold, loglik: held-out mean log density of a Gaussian mixture per state.
+
+    One summary of the records, apart by fold, serves all sizes and folds: a fold is left out by leaving out its nodes. Every fit starts from the
+    quantiles of all rows of its state. A state counts in a fold that leaves it 10 rows per component of the largest size, so
+    all sizes are compared on the same rows; one whose rows do not vary counts nowhere.
+    """
+    most = max(sizes)
+    rows = complete_rows(df.select(*keys, F.col(fold).cast("int").alias("_fold"), F.col(value).cast("double").alias("_y")), "_y", [*keys, "_fold"])
+    levels = sorted({(i + 0.5) / k for k in sizes for i in range(k)})
+    ranked = select_ranks(rows, keys, "_y", {f"_q{i}": disc_rank(q) for i, q in enumerate(levels)}, levels, stats={"_s2": "var_pop(_v)"})
+    quantiles = [F.col(f"_q{i}") for i in range(len(levels))]
+    spread = F.greatest(quantiles[-1] - quantiles[0], 0.01 * F.sqrt("_s2"))
+    places = ranked.filter(F.col("_s2") > 0).select(
+        *keys, "n", F.col("_s2").alias("_v"), F.array(*quantiles).alias("_qs"), quantiles[len(levels) // 2].alias("_a"), spread.alias("_b")
+    )
+    places = cut(places)
+    joined = cells.summarise(rows, places, keys, F.col("_fold"), small).join(places, keys)
+
+    def scored(batches):
+        for batch in batches:
+            known = {name: batch.column(name).to_pylist() for name in ("_v", "_a", "_b", "_qs")}
+            found = []
+            for place in range(batch.num_rows):
+                variance, qs = known["_v"][place], dict(zip(levels, known["_qs"][place]))
+                part, y, weight = cells.read_nodes(batch.column("cells")[place], known["_a"][place], known["_b"][place])
+                for held in np.unique(part):
+                    train, test = part != held, part == held
+                    n = int(round(float(weight[train].sum())))
+                    if n < fit.ROWS_PER_COMPONENT * most:
+                        continue
+                    for k in sizes:
+                        start = np.full(k, 1.0 / k), np.array([qs[(i + 0.5) / k] for i in range(k)]), np.full(k, variance**0.5)
+                        best = mixture_em.settle(y[train], weight[train], start, n, variance, iterations, tolerance)
+                        total = float(weight[test] @ mixture_em.log_density(y[test], best.w, best.mu, best.sigma))
+                        found.append((k, int(held), total, float(weight[test].sum())))
+            columns = list(zip(*found)) or [()] * 4
+            kinds = pa.int32(), pa.int32(), pa.float64(), pa.float64()
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["k", "held", "total", "rows"])
+
+    each = joined.mapInArrow(scored, "k int, held int, total double, rows double")
+    return each.groupBy(F.col("k").alias("param"), F.col("held").alias(fold)).agg((F.sum("total") / F.sum("rows")).alias("loglik"))
+
+
+def refit_best(df: DataFrame, keys: list[str], value: str, scores: DataFrame, **options) -> DataFrame:
+    """The mixture of the best size of ``scores`` (see ``cv_mixture``) over all rows, with the size as ``k``; NULLs where nothing was scored."""
+    best = best_of_grid(scores).filter("is_best = 1").select("param").first()
+    k = 1 if best is None else int(best["param"])
+    return fit.fit_gmm(df, keys, value, k, **options).withColumn("k", F.lit(k))

@@ -159,11 +159,12 @@ def em_sql(source: str, keys: list[str], k: int, name: str, value: str = "y", ta
  {name} as (select {by}, n, {", ".join(f"cur[{i + 1}] as w{i}, cur[{k + i + 1}] as m{i}, cur[{2 * k + i + 1}] as s{i}" for i in each)} from {name}_e where done)"""
 
 
-def emm_sql(source: str, keys: list[str], k: int, name: str, level: float = 0.95) -> str:
-    """Chain ending in ``name``: the mixture columns and n_tail, u, xi, beta, norm."""
+def emm_sql(source: str, keys: list[str], k: int, name: str, level: float = 0.95, thresholds: str | None = None) -> str:
+    """Chain ending in ``name``: the mixture columns and n_tail, u, xi, beta, norm; u from a table (keys, u) if one is named."""
     by = ", ".join(keys)
     return ",\n".join(
         [
+            f"{name}_u as (select {by}, u from {thresholds})" if thresholds else
             f"{name}_u as (select {by}, quantile_disc(y, {level}) as u from {source} group by {by})",
             f"{name}_z as (select {by}, u, y - u as z from {source} join {name}_u using ({by}) where y > u)",
             f"{name}_m as (select {by}, any_value(u) as u, count(*) as n_tail, avg(z) as zm, var_samp(z) as zv "

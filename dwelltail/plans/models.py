@@ -32,7 +32,7 @@ from dwelltail.plans.registry import (
     scratch,
     uniform_sql,
 )
-from dwelltail.session import attach
+from dwelltail.session import attach, cut
 from dwelltail.sources import derived, io
 from dwelltail.sources.schemas import EVALUATION, PARAMETERS
 
@@ -89,6 +89,42 @@ def fit_emm(spark, sf):
     )
 
 
+# --- thresholds learned per state ---
+
+_LADDER = f"""{TAIL}, tll as (select level, state, y from tl, (select unnest({level_list(fit.LADDER)}) as level)),
+ tu as (select state, unnest({level_list(fit.LADDER)}) as level, unnest(quantile_disc(y, {level_list(fit.LADDER)})) as u from tl group by state),
+ {q.emm_sql('tll', ['level', 'state'], BULK, 'el', thresholds='tu')},
+ tops as (select level, state, max(y) as top, count(*) as rows from tll group by level, state),
+ lls as (select level, state, avg(case when y > u then case when 1 + xi * (y - u) / beta > 0
+   then ln(norm / beta) - (1 + 1 / xi) * ln(1 + xi * (y - u) / beta) else '-inf'::double end else ln({q.gmm_pdf_sql('y', BULK)}) end) as ll
+  from tll join el using (level, state) group by level, state),
+ best as (select state, arg_min(level, (-ll, level)) as level from lls where isfinite(ll) group by state)"""
+
+
+@query(
+    f"""with recursive {_LADDER} select state, level, u, n_tail, round(xi, 6) as xi, round(beta, 6) as beta,
+ case when isfinite(ll) then round(ll, 6) end as loglik, case when b.level is null then 0 else 1 end as is_best
+ from el join lls using (level, state) left join best b using (level, state)"""
+)
+def gpd_threshold(spark, sf):
+    """Every rung of the ladder with its tail and the likelihood of bulk and tail together."""
+    fitted = fit.fit_emm_ladder(derived.tail_rows(spark, sf), STATE, "y", BULK)
+    rungs = fitted.select("state", F.col("level").alias("_best"), F.explode("rungs").alias("r")).filter("r.n_tail is not null")
+    return rungs.select(
+        "state", "r.level", "r.u", "r.n_tail", *[F.round(f"r.{c}", 6).alias(c) for c in ("xi", "beta", "loglik")],
+        F.coalesce((F.col("r.level") == F.col("_best")).cast("int"), F.lit(0)).alias("is_best"),
+    )
+
+
+@query(
+    f"""with recursive {_LADDER} select state, el.n, {flat_sql(BULK)}, n_tail, el.level, u, round(xi, 6) as xi, round(beta, 6) as beta,
+ round(norm, 6) as norm, 'ok' as status from el join best using (level, state)"""
+)
+def fit_emm_u(spark, sf):
+    fitted = fit.fit_emm_ladder(derived.tail_rows(spark, sf), STATE, "y", BULK)
+    return rounded(flat(fitted, BULK, ("n_tail", "level", "u", "xi", "beta", "norm", "status")))
+
+
 _BOOT = f"""{TAIL}, ix as (select *, row_number() over (order by id) - 1 as idx from tl)"""
 
 
@@ -643,6 +679,39 @@ def cv_grid(spark, sf):
     return rounded(selection.best_of_grid(selection.cv_affine(folded, STATE, "y", SCALES)))
 
 
+SIZES = (1, 2, 3)
+_CV_GMM = f"""{TAIL}, f as (select *, (ntile({FOLDS}) over (order by id) - 1)::int as fold from tl),
+ tr as (select held, state, y from f, (select distinct fold as held from f) where fold <> held),
+ tn as (select held, state, count(*) as n from tr group by held, state),
+ {", ".join(f"""st{k} as (select held, state, n, v, qs from tn join (select state, var_pop(y) as v, quantile_disc(y, {level_list([(i + 0.5) / k for i in range(k)])}) as qs
+  from tl group by state) using (state) where n >= {10 * max(SIZES)}),
+ {q.em_sql('tr', ['held', 'state'], k, f'g{k}', starts=f'st{k}')}""" for k in SIZES)},
+ s as ({" union all ".join(f"select {k} as param, fold, avg(ln({q.gmm_pdf_sql('y', k)})) as loglik from f join g{k} on held = fold and g{k}.state = f.state group by fold" for k in SIZES)})"""
+
+
+def _sizes_scored(spark, sf):
+    # stored once: numbering the rows by their order costs more than a copy, and three passes follow
+    folded = cut(sampling.kfold(derived.tail_rows(spark, sf), "id", FOLDS).select("state", "fold", "y"))
+    return selection.cv_mixture(folded, STATE, "y", SIZES)
+
+
+@query(f"with recursive {_CV_GMM}, {_BEST}")
+def cv_grid_gmm(spark, sf):
+    return rounded(selection.best_of_grid(_sizes_scored(spark, sf)))
+
+
+@query(
+    f"""with recursive {_CV_GMM}, a as (select param, avg(loglik) as l from s group by param), top as (select arg_max(param, l) as k from a),
+ {", ".join(q.em_sql('tl', STATE, k, f'r{k}') for k in SIZES)}
+ {" union all ".join(f"select state, n, {k} as k, " + ", ".join(
+     (f"round({c}{i}, 6)" if i < k else "null::double") + f" as {c}{i}" for i in range(max(SIZES)) for c in "wms") + f" from r{k} where {k} = (select k from top)" for k in SIZES)}"""
+)
+def cv_refit(spark, sf):
+    best = selection.refit_best(derived.tail_rows(spark, sf), STATE, "y", _sizes_scored(spark, sf))
+    columns = [F.round(F.get(name, F.lit(i)), 6).alias(f"{name[0]}{i}") for i in range(max(SIZES)) for name in ("w", "mu", "sigma")]
+    return best.select("state", "n", "k", *columns)
+
+
 MULTIPLES = [0.5, 1.0, 2.0]
 
 
