@@ -144,7 +144,7 @@ def cv_mixture(
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["k", "held", "total", "rows"])
 
     each = joined.mapInArrow(scored, "k int, held int, total double, rows double")
-    return each.groupBy(F.col("k").alias("param"), F.col("held").alias(fold)).agg((F.sum("total") / F.sum("rows")).alias("loglik"))
+    return cut(each.groupBy(F.col("k").alias("param"), F.col("held").alias(fold)).agg((F.sum("total") / F.sum("rows")).alias("loglik")))
 
 
 def refit_best(df: DataFrame, keys: list[str], value: str, scores: DataFrame, **options) -> DataFrame:
