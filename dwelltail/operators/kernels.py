@@ -25,9 +25,11 @@ from dwelltail.session import attach, complete_rows, cut
 REACH = 38.7
 #: Cells within this many bandwidths decide the sum unless a row is isolated.
 NEAR_REACH = 10.0
-#: Cells per bandwidth for the near sum, and the finer ones for isolated rows.
-COARSE, FINE = 3, 32
+#: Cells per bandwidth for the near sum.
+COARSE = 3
 ORDER = 12
+#: Terms smaller by exp(-NEGLIGIBLE) than the largest of an isolated row are left out.
+NEGLIGIBLE = 40.0
 #: Below this sum of kernels a row counts as isolated.
 LONELY = 1e-6
 
@@ -227,8 +229,7 @@ def kernel_log_sums(
 
     ``moments(per, only)`` gives the cell moments at a resolution, of all groups or of the listed
     ones; ``own`` says that the row is itself a source, to be left out. A row meets the cells within ten bandwidths. Where that
-    sum is next to nothing, the row meets all finer cells of its group, summed as logarithms;
-    its own cell then holds no other source.
+    sum is next to nothing the row is isolated (see ``_isolated_sums``).
     """
     rows = targets.select(row_id, *keys, F.col(value).cast("double").alias("_y"))
     wide = int(math.ceil(NEAR_REACH * COARSE))
@@ -245,16 +246,153 @@ def kernel_log_sums(
     result = near.filter(~lonely).select(row_id, *keys, F.log("_t").alias("log_sum"))
     if not near._measured:
         return result
-    rest = near.filter(lonely).drop("_t")
-    fine = rest.join(moments(FINE, rest.select(*keys).distinct()), keys)
-    fine = fine.withColumn("_d", _offset(F.col("_y"), F.col("_cell"), bandwidth, FINE))
-    if own:
-        fine = fine.filter(F.col("_cell") != _cell(F.col("_y"), bandwidth, FINE))
-    log_term = F.lit(-0.5) * F.col("_d") * F.col("_d") + F.log(F.greatest(_series(), F.lit(5e-324)))
-    fine = fine.withColumn("_l", log_term)
-    top = fine.groupBy(row_id, *keys).agg(F.collect_list("_l").alias("_ls"))
+    return result.unionByName(_isolated_sums(near.filter(lonely).drop("_t"), row_id, keys, moments, bandwidth, own))
+
+
+def _isolated_sums(rest: DataFrame, row_id: str, keys: list[str], moments, bandwidth: float, own: bool) -> DataFrame:
+    """``kernel_log_sums`` of isolated rows, at any distance from the sources.
+
+    One pass over the coarse cells of a row's group bounds its largest term, a second keeps the cells that reach that bound
+    but for a factor of exp(-40); its own cell holds no other source. In a kept cell the expansion needs cells the finer the farther
+    they are (half a cell times the distance stays below 1), so each row takes that resolution; the terms are summed relative to their largest.
+    """
+    half = 0.5 / COARSE
+    coarse = cut(moments(COARSE, rest.select(*keys).distinct()).select(*keys, "_cell", F.log("m0").alias("_mass")))
+
+    def met(rows: DataFrame) -> DataFrame:
+        found = attach(rows, coarse, keys)
+        if own:
+            found = found.filter(F.col("_cell") != _cell(F.col("_y"), bandwidth, COARSE))
+        return found.withColumn("_far", F.abs(_offset(F.col("_y"), F.col("_cell"), bandwidth, COARSE)))
+
+    least = F.col("_mass") - 0.5 * (F.col("_far") + half) * (F.col("_far") + half)
+    nearest = F.greatest(F.col("_far") - half, F.lit(0.0))
+    most = F.col("_mass") + 0.5 * half * half - 0.5 * nearest * nearest
+    tops = met(rest).groupBy(row_id).agg(F.max(least).alias("_top"))
+    # cells per coarse one, as a power of eight
+    level = F.greatest(F.lit(1), F.ceil(F.log2((F.col("_far") + half) * half) / 3)).cast("int")
+    kept = met(rest.join(tops, row_id)).filter(most >= F.col("_top") - NEGLIGIBLE)
+    kept = cut(kept.select(row_id, *keys, "_y", F.col("_cell").alias("_in"), level.alias("_level")))
+    parts = []
+    for number in sorted(r[0] for r in kept.select("_level").distinct().collect()):
+        split = 8**number
+        rows = kept.filter(F.col("_level") == number)
+        finer = moments(COARSE * split, rows.select(*keys).distinct())
+        finer = finer.withColumn("_in", F.floor(F.col("_cell") / split))
+        wanted = rows.select(*keys, "_in").distinct()
+        fine = attach(rows, finer.join(wanted, [*keys, "_in"], "left_semi"), [*keys, "_in"])
+        fine = fine.withColumn("_d", _offset(F.col("_y"), F.col("_cell"), bandwidth, COARSE * split))
+        log_term = F.lit(-0.5) * F.col("_d") * F.col("_d") + F.log(_series())
+        parts.append(fine.select(row_id, *keys, log_term.alias("_term")))
+    if not parts:
+        return rest.select(row_id, *keys, F.lit(None).cast("double").alias("log_sum")).limit(0)
+    terms = cut(reduce(lambda a, b: a.unionByName(b), parts))
+    largest = attach(terms, terms.groupBy(row_id).agg(F.max("_term").alias("_most")), [row_id])
+    return largest.groupBy(row_id, *keys).agg((F.first("_most") + F.log(F.sum(F.exp(F.col("_term") - F.col("_most"))))).alias("log_sum"))
+
+
+# --- scores of given rows ---
+
+
+def _scored(queries: DataFrame, row_id: str, scores: DataFrame) -> DataFrame:
+    return queries.select(row_id).join(scores, row_id, "left")
+
+
+def _unscored(queries: DataFrame, row_id: str) -> DataFrame:
+    return queries.select(row_id, F.lit(None).cast("double").alias("log_pdf"))
+
+
+def ckde_score(
+    df: DataFrame, queries: DataFrame, row_id: str, columns: list[str], value: str, bandwidths: list[float] | None = None
+) -> DataFrame:
+    """row_id and ``log_pdf``: ln p(y | x) of ``ckde`` over ``df`` at the rows of ``queries``, at any x and y.
+
+    ``row_id`` is unique in ``queries``. Sums over the sources come from moments of cells in y per distinct x, also where they
+    would underflow. NULL where a query lacks a coordinate or its value, lies beyond the reach of all x, or ``df`` has no complete row.
+    """
+    df = complete_rows(known(df, columns), value, [])
+    asked = complete_rows(known(queries, columns), value, [])
+    if bandwidths is None:
+        row = df.agg(F.count("*"), *[F.stddev_pop(c) for c in [*columns, value]]).first()
+        if not row[0]:
+            return _unscored(queries, row_id)
+        bandwidths = normal_reference(row[0], list(row[1:]))
+    *hx, hy = bandwidths
+    if not hy > 0:
+        raise ValueError("the values do not vary: give bandwidths")
+    d = len(columns)
+    near = [f"near_{c}" for c in columns]
+    states = cut(support(df, columns))
+    pairs = cut(_pairs_within(asked.select(*columns).distinct(), states, columns, [0.0] * d, hx, REACH / math.sqrt(d)))
+    # relative to the nearest x: the share of a far query does not underflow
+    closest = pairs.groupBy(*columns).agg(F.min("dist").alias("_least"))
+    gap = F.lit(-0.5 * d) * (F.col("dist") * F.col("dist") - F.col("_least") * F.col("_least"))
+    pairs = cut(attach(pairs, closest, columns).select(*columns, *near, "n", F.exp(gap).alias("_k")))
+    mass = pairs.groupBy(*columns).agg(F.sum(F.col("_k") * F.col("n")).alias("_all"))
+
+    def around(per: int, only: DataFrame | None) -> DataFrame:
+        moments = cell_moments(df, columns, value, hy, per).withColumnsRenamed(dict(zip(columns, near)))
+        linked = pairs.drop("n") if only is None else pairs.drop("n").join(only, columns, "left_semi")
+        return combine_moments(moments, linked, columns, near, F.col("_k"))
+
+    sums = attach(kernel_log_sums(asked, row_id, columns, value, around, hy, own=False), mass, columns)
+    density = F.col("log_sum") - F.log(F.col("_all") * F.lit(hy * SQRT_2PI))
+    return _scored(queries, row_id, sums.select(row_id, density.alias("log_pdf")))
+
+
+def nkde_score(
+    df: DataFrame,
+    queries: DataFrame,
+    row_id: str,
+    columns: list[str],
+    value: str,
+    epsilon: float = 0.4,
+    bandwidth: float | None = None,
+    weighting: str = "uniform",
+    order: str | None = None,
+) -> DataFrame:
+    """row_id and ``log_pdf``: ln p(y | x) of ``nkde`` over ``df`` at the rows of ``queries``, at any x and y.
+
+    ``row_id`` is unique in ``queries``, ``order`` (by default ``row_id``) in ``df``: it names which rows of a state come first where a
+    query takes only its five nearest rows. NULL where a query lacks a coordinate or its value, or ``df`` has no complete row.
+    """
+    df = complete_rows(known(df, columns), value, [])
+    asked = complete_rows(known(queries, columns), value, [])
+    means, stds = scales_of(df, columns)
+    found = cut(support(df, columns))
+    if found.isEmpty():
+        return _unscored(queries, row_id)
+    if bandwidth is None:
+        within = _pairs_within(found, found, columns, means, stds, epsilon)
+        bandwidth = nkde_bandwidth(within, df.agg(F.stddev_pop(value)).first()[0], found)
+    near = [f"near_{c}" for c in columns]
+    places = cut(asked.select(*columns).distinct())
+    pairs = cut(neighbor_weights(eps_neighbors(places, found, columns, means, stds, epsilon), columns, weighting))
+    # weights of about one per row; their sum over a query's rows is ``_rows``
+    sizes = cut(pairs.groupBy(*columns).agg(F.sum("take").alias("_rows")))
+    pairs = cut(attach(pairs, sizes, columns).filter("weight > 0").withColumn("_k", F.col("weight") * F.col("_rows")))
+    sparse = F.col("_rows") <= NEAREST
+    dense = pairs.filter(~sparse).select(*columns, *near, "_k")
+
+    def around(per: int, only: DataFrame | None) -> DataFrame:
+        moments = cell_moments(df, columns, value, bandwidth, per).withColumnsRenamed(dict(zip(columns, near)))
+        linked = dense if only is None else dense.join(only, columns, "left_semi")
+        return combine_moments(moments, linked, columns, near, F.col("_k"))
+
+    sized = cut(attach(asked.select(row_id, *columns, F.col(value).cast("double").alias(value)), sizes, columns))
+    sums = kernel_log_sums(sized.filter(~sparse), row_id, columns, value, around, bandwidth, own=False)
+    few = pairs.filter(sparse)
+    wanted = few.select(*[F.col(a).alias(c) for a, c in zip(near, columns)]).distinct()
+    ranked = df.join(wanted, columns, "left_semi").withColumn("_rn", F.row_number().over(Window.partitionBy(*columns).orderBy(order or row_id)))
+    first = ranked.filter(F.col("_rn") <= NEAREST).select(*[F.col(c).alias(a) for a, c in zip(near, columns)], "_rn", F.col(value).alias("_source"))
+    taken = few.join(first, near).filter(F.col("_rn") <= F.col("take")).groupBy(*columns).agg(F.collect_list(F.struct("_source", "_k")).alias("_taken"))
+    # at most five terms a row
+    each = F.transform("_taken", lambda t: F.log(t["_k"]) - 0.5 * F.pow((F.col(value) - t["_source"]) / F.lit(bandwidth), 2.0))
+    listed = attach(sized.filter(sparse), taken, columns).withColumn("_ls", each)
     shifted = F.aggregate("_ls", F.lit(0.0), lambda acc, v: acc + F.exp(v - F.array_max("_ls")))
-    return result.unionByName(top.select(row_id, *keys, (F.array_max("_ls") + F.log(shifted)).alias("log_sum")))
+    sums = sums.unionByName(listed.select(row_id, *columns, (F.array_max("_ls") + F.log(shifted)).alias("log_sum")))
+    density = F.col("log_sum") - F.log(F.col("_rows") * F.lit(bandwidth * SQRT_2PI))
+    return _scored(queries, row_id, attach(sums, sizes, columns).select(row_id, density.alias("log_pdf")))
 
 
 def nkde_loo(

@@ -534,6 +534,49 @@ def nkde_pdf(spark, sf):
     return rounded(kernels.nkde(derived.kernel_rows(spark, sf), ["x"], "y", Y_POINTS))
 
 
+#: Every row is scored at its own value and this far above it, where the kernel sums underflow.
+BEYOND = 2000.0
+_SCORED = f"""q as (select 2 * id as id, x, y from kr union all select 2 * id + 1, x, y + {BEYOND} from kr)"""
+
+
+def _score_sql(pairs: str, log_weight: str, width: str) -> str:
+    """Log of the kernel sum of every row of ``q``: ``pairs`` (a table: x, nx, ...) links states; relative to the largest term."""
+    term = f"{log_weight} - 0.5 * pow((q.y - kr.y) / {width}, 2)"
+    joined = f"from q join {pairs} using (x) join kr on kr.x = nx"
+    return f"""top as (select q.id as id, max({term}) as top {joined} group by q.id),
+ ls as (select q.id as id, any_value(top) + ln(sum(exp({term} - top))) as ls {joined} join top on top.id = q.id group by q.id)"""
+
+
+def _scored_rows(rows):
+    return rows.select((2 * F.col("id")).alias("id"), "x", "y").unionByName(
+        rows.select((2 * F.col("id") + 1).alias("id"), "x", (F.col("y") + BEYOND).alias("y"))
+    )
+
+
+@query(
+    f"""with recursive {KERN}, h as (select 1.06 * stddev_pop(x) * pow(count(*), -1.0 / 6) as hx, 1.06 * stddev_pop(y) * pow(count(*), -1.0 / 6) as hy
+ from kr), sp as (select x, count(*) as n from kr group by x), {_SCORED},
+ pr as (select a.x as x, b.x as nx, -0.5 * pow((a.x - b.x) / hx, 2) as lk, b.n as n, hy from sp a, sp b, h),
+ ma as (select x, ln(sum(n * exp(lk)) * any_value(hy) * {q.special.SQRT_2PI!r}::double) as norm from pr group by x),
+ {_score_sql('pr', 'lk', 'hy')}
+ select id, round(ls - norm, 4) as log_pdf from ls join q using (id) join ma using (x)"""
+)
+def ckde_score(spark, sf):
+    rows = derived.kernel_rows(spark, sf)
+    return rounded(kernels.ckde_score(rows, _scored_rows(rows), "id", ["x"], "y"), 4)
+
+
+@query(
+    f"""with recursive {_NK}, {_near_sql(0.4)}, bw as (select 1.06 * any_value(sy) * pow(sum(own * n) / any_value(total) - 1, -0.2) as h from pr, sc), {_SCORED},
+ ps as (select x, nx, n, h from pr, bw), ma as (select x, ln(sum(n) * any_value(h) * {q.special.SQRT_2PI!r}::double) as norm from ps group by x),
+ {_score_sql('ps', '0', 'h')}
+ select id, round(ls - norm, 4) as log_pdf from ls join q using (id) join ma using (x)"""
+)
+def nkde_score(spark, sf):
+    rows = derived.kernel_rows(spark, sf)
+    return rounded(kernels.nkde_score(rows, _scored_rows(rows), "id", ["x"], "y"), 4)
+
+
 LOO_WIDTHS, LOO_EPS = [10.0, 25.0], [0.05, 0.2]
 
 
