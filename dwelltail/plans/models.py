@@ -32,7 +32,7 @@ from dwelltail.plans.registry import (
     scratch,
     uniform_sql,
 )
-from dwelltail.session import attach
+from dwelltail.session import attach, cut
 from dwelltail.sources import derived, io
 from dwelltail.sources.schemas import EVALUATION, PARAMETERS
 
@@ -722,6 +722,39 @@ def cv_grid(spark, sf):
     return rounded(selection.best_of_grid(selection.cv_affine(folded, STATE, "y", SCALES)))
 
 
+COMPONENTS = (1, 2, 3)
+_CV_GMM = f"""{TAIL}, f as (select *, (ntile({FOLDS}) over (order by id) - 1)::int as fold from tl),
+ tr as (select held, state, y from f, (select distinct fold as held from f) where fold <> held),
+ tn as (select held, state, count(*) as n from tr group by held, state),
+ {", ".join(f"""st{k} as (select held, state, n, v, qs from tn join (select state, var_pop(y) as v, quantile_disc(y, {level_list([(i + 0.5) / k for i in range(k)])}) as qs
+  from tl group by state) using (state) where n >= {10 * max(COMPONENTS)}),
+ {q.em_sql('tr', ['held', 'state'], k, f'g{k}', starts=f'st{k}')}""" for k in COMPONENTS)},
+ s as ({" union all ".join(f"select {k} as param, fold, avg(ln({q.gmm_pdf_sql('y', k)})) as loglik from f join g{k} on held = fold and g{k}.state = f.state group by fold" for k in COMPONENTS)})"""
+
+
+def _sizes_scored(spark, sf):
+    # stored once: numbering the rows by their order costs more than a copy, and three passes follow
+    folded = cut(sampling.kfold(derived.tail_rows(spark, sf), "id", FOLDS).select("state", "fold", "y"))
+    return selection.cv_mixture(folded, STATE, "y", COMPONENTS)
+
+
+@query(f"with recursive {_CV_GMM}, {_BEST}")
+def cv_grid_gmm(spark, sf):
+    return rounded(selection.best_of_grid(_sizes_scored(spark, sf)))
+
+
+@query(
+    f"""with recursive {_CV_GMM}, a as (select param, avg(loglik) as l from s group by param), top as (select arg_max(param, l) as k from a),
+ {", ".join(q.em_sql('tl', STATE, k, f'r{k}') for k in COMPONENTS)}
+ {" union all ".join(f"select state, n, {k} as k, " + ", ".join(
+     (f"round({c}{i}, 6)" if i < k else "null::double") + f" as {c}{i}" for i in range(max(COMPONENTS)) for c in "wms") + f" from r{k} where {k} = (select k from top)" for k in COMPONENTS)}"""
+)
+def cv_refit(spark, sf):
+    best = selection.refit_best(derived.tail_rows(spark, sf), STATE, "y", _sizes_scored(spark, sf))
+    columns = [F.round(F.get(name, F.lit(i)), 6).alias(f"{name[0]}{i}") for i in range(max(COMPONENTS)) for name in ("w", "mu", "sigma")]
+    return best.select("state", "n", "k", *columns)
+
+
 MULTIPLES = [0.5, 1.0, 2.0]
 
 

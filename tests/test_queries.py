@@ -11,7 +11,8 @@ from dwelltail.plans import ground_truth
 CHECKED_MODELS = [
     "em_gmm", "fit_emm", "kernel_mixture", "gmm_tail", "emm_quantile", "mixture_sample", "ckde_pdf",
     "nkde_pdf", "lscde_fit", "lscde_pdf", "centers_farthest", "centers_edges", "cv_grid", "dvp_calibration",
-    "affine_normal", "tail_by_integral", "mixture_var_cvar", "emm_var_cvar", "loglik_score",
+    "affine_normal", "tail_by_integral", "mixture_var_cvar", "emm_var_cvar", "loglik_score", "ckde_score",
+    "nkde_score", "cv_grid_gmm", "cv_refit",
 ]
 GROUND = [n for n, f in queries().items() if f.__module__ == ground_truth.__name__]
 NAMES = list(queries()) if os.environ.get("DWELLTAIL_ALL") else GROUND + CHECKED_MODELS
