@@ -6,7 +6,8 @@ class is known by sums over the pages of its count times the page's random weigh
 merged. Classes with enough tokens on enough of the host's pages make the template; on each page only those classes
 count whose tokens keep their order and nest in the gaps of the larger classes. What lies between
 template tokens are slots. A slot is content unless an element around it is one of menus, headers, footers, sidebars,
-notices, adverts, forms or comments by its tag or name (a whole class or id, of an element that does not hold the page's main element), or, where the page marks no main element, unless the
+notices, adverts, forms or comments by its tag or name (a whole class or id; names, forms and dialogs do not count where the element holds the page's main
+element, nor a main element's header with the h1), or, where the page marks no main element, unless the
 host's text at that path is mostly links. Template text is dropped, outside a main element
 and inside it; only headings and what stands in the main element itself stay there, because an article may well repeat.
 
@@ -52,8 +53,11 @@ INLINE = frozenset(
 LOOSE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th thead tbody tfoot option pre caption".split())
 MAIN = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-SIDE = frozenset("nav header footer aside form button menu dialog fieldset".split())
-SIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+SIDE = frozenset("nav header footer aside button menu".split())
+SIDE_ROLES = frozenset("navigation banner contentinfo complementary alert alertdialog menu menubar".split())
+#: Side elements that may as well wrap a whole page, judged like side names.
+WRAPS = frozenset("form fieldset dialog".split())
+WRAP_ROLES = frozenset("form search dialog".split())
 SIDE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline consent cookie cookies copyright footer form header login "
     "masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted recommended related reply "
@@ -143,7 +147,8 @@ def read_page(html: str) -> tuple[list[str], list[Block]]:
     # tag, path, inside a main element, inside a side element by tag or role, role main, innermost element with a side name
     stack: list[tuple[str, str, bool, bool, bool, int]] = []
     outer: list[int] = []  # per element with a side name the next one around it
-    heart, heading = None, None  # where the page's first main element and first h1 stand among them
+    heart, heading, title = None, None, None  # where the page's first main element, first h1 and first h1 in a main element stand among them
+    headers: set[int] = set()  # those that are headers of a main element
     leaf, links, current, place = "", 0, None, 0
     unclosed: set[str] = set()
 
@@ -182,8 +187,12 @@ def read_page(html: str) -> tuple[list[str], list[Block]]:
                 current = None
             continue
         words, role, odd = names_of(attributes) if attributes and not closing else ((), "", False)
-        odd = odd and tag not in ("html", "body") and tag not in MAIN and tag not in HEADINGS and role != "main"
-        sure = tag in SIDE or role in SIDE_ROLES
+        odd = odd and tag not in ("html", "body", "main") and tag not in HEADINGS and role != "main"
+        # an article among the comments is no main element; the header of a main element stays if it has the h1
+        central = tag in MAIN and not odd or role == "main"
+        top = tag == "header" and bool(stack) and stack[-1][2] and role not in SIDE_ROLES
+        sure = (tag in SIDE and not top) or role in SIDE_ROLES
+        odd = odd or top or not central and (tag in WRAPS or role in WRAP_ROLES)
         side = sure or odd
         if closing:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
@@ -198,32 +207,37 @@ def read_page(html: str) -> tuple[list[str], list[Block]]:
             continue
         current, leaf, links = None, tag if tag in LOOSE else "", links if tag in LOOSE or tag in INLINE else 0
         named = stack[-1][5] if stack else -1
-        if tag == "h1" and heading is None and not (stack and stack[-1][3]):
-            heading = named
+        if tag == "h1" and not (stack and stack[-1][3]):
+            heading = named if heading is None else heading
+            if title is None and stack and stack[-1][2]:
+                title = named
         if tag in LOOSE and not side:
             tags.append(f"{stack[-1][1] if stack else ''}/{tag}")
             continue
         path, main, inside = stack[-1][1:4] if stack else ("", False, False)
         label = ".".join([tag, *sorted(words)])
-        main = main or tag in MAIN or role == "main"
-        if heart is None and (tag in MAIN or role == "main") and not (inside or sure):
+        main = main or central
+        if heart is None and central and not (inside or sure):
             heart = named
         if odd and not sure:
             outer.append(named)
             named = len(outer) - 1
+            if top:
+                headers.add(named)
         stack.append((tag, f"{path}/{label}", main, inside or sure, role == "main", named))
         tags.append(f"{path}/{label}")
     if place < len(html):
         add(html[place:])
-    settle(blocks, outer, heading if heart is None else heart, heart is not None)
+    kept = title if title in headers else None  # the header right around the h1
+    settle(blocks, outer, heading if heart is None else heart, heart is not None, kept)
     return tags, blocks
 
 
-def settle(blocks: list[Block], outer: list[int], heart: int | None, marked: bool) -> None:
-    """Side blocks by name: not where the element holds the page's main element (else its h1, or most of its text)."""
+def settle(blocks: list[Block], outer: list[int], heart: int | None, marked: bool, header: int | None = None) -> None:
+    """Side blocks by name: not where the element holds the page's main element (else its h1, or most of its text), or is the main element's ``header``."""
     if not outer:
         return
-    holds = [False] * len(outer)
+    holds = [i == header for i in range(len(outer))]
     while heart is not None and heart >= 0:
         holds[heart] = True
         heart = outer[heart]

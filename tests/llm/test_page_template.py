@@ -1,6 +1,8 @@
 import html
 import re
 
+import pytest
+
 from dwelltail.llm import page_template, queries
 
 
@@ -113,3 +115,17 @@ def test_edge_rows(spark):
     assert out.columns == ["page_id", "url", "note", "text", "n_chars", "n_template", "n_slots"]
     assert sorted(r["n_chars"] for r in out.collect()) == [0, 0, 0, 399_999]
     assert page_template.extract(spark.createDataFrame([], schema)).count() == 0
+
+
+@pytest.mark.parametrize("page, want", [
+    ("<body><form id='aspnet'><nav>Home</nav><main><h1>Title</h1><p>The text.</p></main></form></body>", "Title The text."),
+    ("<div role=dialog><article><p>The text.</p></article></div>", "The text."),
+    ("<fieldset><main><p>The text.</p><form><p>Your mail</p></form></main></fieldset>", "The text."),
+    ("<header>Site</header><article><header><h1>Title</h1><p>Lead.</p></header><p>The text.</p></article>", "Title Lead. The text."),
+    ("<article><header>Filed under news</header><h1>Title</h1><p>The text.</p></article>", "Title The text."),
+    ("<article><p>The text.</p></article><article class='comment'><p>I agree.</p></article>", "The text."),
+    ("<article><p>The text.</p><article class='comment'><p>I agree.</p></article></article>", "The text."),
+    ("<form><p>Mail</p></form><h1>Title</h1><p>The text is longer than the form.</p>", "Title The text is longer than the form."),
+])
+def test_wrappers_headers_and_comments(page, want):
+    assert page_template.main_text(page, [])[0] == want
