@@ -32,6 +32,12 @@ ORDER = 12
 NEGLIGIBLE = 40.0
 #: Below this sum of kernels a row counts as isolated.
 LONELY = 1e-6
+#: Places of a cell of ``COARSE`` between which sums are interpolated where the cell holds more rows.
+NODES = 12
+#: A row's far sources are interpolated where those that matter lie within so many bandwidths of each other.
+NARROW = 3.0
+#: Cells beyond this number are too fine for places between their ends.
+_FAR_CELL = 1 << 30
 
 
 def _sum(terms: list[Column]) -> Column:
@@ -222,23 +228,77 @@ def _series() -> Column:
     return total
 
 
+def rows_of_cells(df: DataFrame, columns: list[str], near: list[str], value: str, bandwidth: float, linked: DataFrame) -> DataFrame:
+    """Rows of ``df`` in the coarse cells ``_in`` that ``linked`` names by near x."""
+    wanted = linked.select(*[F.col(a).alias(c) for a, c in zip(near, columns)], "_in").distinct()
+    return attach(df.withColumn("_in", _cell(F.col(value), bandwidth, COARSE)), wanted, [*columns, "_in"])
+
+
+def _around(df: DataFrame, columns: list[str], near: list[str], value: str, bandwidth: float, links: DataFrame):
+    """``moments(per, only)`` of ``kernel_log_sums``: of the rows of ``df`` around each x, weighted by ``_k`` of ``links`` (columns, near, _k)."""
+
+    def moments(per: int, only: DataFrame | None) -> DataFrame:
+        if only is None:
+            found = cell_moments(df, columns, value, bandwidth, per).withColumnsRenamed(dict(zip(columns, near)))
+            return combine_moments(found, links, columns, near, F.col("_k"))
+        linked = cut(links.join(only, columns))
+        inside = rows_of_cells(df.select(*columns, value), columns, near, value, bandwidth, linked)
+        found = cell_moments(inside, [*columns, "_in"], value, bandwidth, per).withColumnsRenamed(dict(zip(columns, near)))
+        return combine_moments(found, linked, [*columns, "_in"], [*near, "_in"], F.col("_k"))
+
+    return moments
+
+
+def _nodes(cells: DataFrame, keys: list[str], bandwidth: float) -> DataFrame:
+    """keys, _at, _angle, _y: the Chebyshev nodes of the given cells."""
+    angles = F.array(*[F.lit((k + 0.5) * math.pi / NODES) for k in range(NODES)])
+    placed = cells.select(*keys, "_at", F.explode(angles).alias("_angle"))
+    return placed.withColumn("_y", ((F.col("_at") + 0.5 + 0.5 * F.cos("_angle")) / F.lit(float(COARSE))) * F.lit(bandwidth))
+
+
+def _interpolated(rows: DataFrame, nodes: DataFrame, keys: list[str], value: str, bandwidth: float, how: str = "inner") -> DataFrame:
+    """``rows`` with ``value`` of the nodes of their cells, interpolated at ``_y``; NULL (``how``: left) where a cell has no nodes."""
+    sums = [F.sum(F.col(value) * F.cos(F.lit(float(m)) * F.col("_angle"))) * F.lit((2.0 if m else 1.0) / NODES) for m in range(NODES)]
+    series = nodes.groupBy(*keys, "_at").agg(*[c.alias(f"_c{m}") for m, c in enumerate(sums)])
+    inside = _offset(F.col("_y"), F.col("_at"), bandwidth, COARSE) * F.lit(2.0 * COARSE)
+    placed = attach(rows, series, [*keys, "_at"], how)
+    placed = placed.withColumn("_angle", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), inside))))
+    total = _sum([F.col(f"_c{m}") * F.cos(F.lit(float(m)) * F.col("_angle")) for m in range(NODES)])
+    return placed.select(*rows.columns, total.alias(value))
+
+
 def kernel_log_sums(
     targets: DataFrame, row_id: str, keys: list[str], value: str, moments, bandwidth: float, own: bool
 ) -> DataFrame:
     """row_id, keys and ``log_sum``: ln of the sum of exp(-((y - y_j)/h)^2 / 2) over the group's sources.
 
-    ``moments(per, only)`` gives the cell moments at a resolution, of all groups or of the listed
-    ones; ``own`` says that the row is itself a source, to be left out. A row meets the cells within ten bandwidths. Where that
+    ``moments(per, only)`` gives the cell moments at a resolution, of all groups or of the listed ones' coarse cells
+    (keys, _in); ``own`` says that the row is itself a source, to be left out. A row meets the cells within ten bandwidths;
+    rows of a cell that holds many are interpolated between sums at its Chebyshev nodes, exactly to rounding. Where that
     sum is next to nothing the row is isolated (see ``_isolated_sums``).
     """
     rows = targets.select(row_id, *keys, F.col(value).cast("double").alias("_y"))
+    rows = rows.withColumn("_at", _cell(F.col("_y"), bandwidth, COARSE))
+    cells = cut(moments(COARSE, None))
     wide = int(math.ceil(NEAR_REACH * COARSE))
-    middle = _cell(F.col("_y"), bandwidth, COARSE)
-    cells = rows.withColumn("_cell", F.explode(F.sequence(middle - wide, middle + wide)))
-    met = attach(cells, moments(COARSE, None), [*keys, "_cell"])
-    met = met.withColumn("_d", _offset(F.col("_y"), F.col("_cell"), bandwidth, COARSE))
-    term = F.exp(F.lit(-0.5) * F.col("_d") * F.col("_d")) * _series()
-    summed = met.withColumn("_t", term).groupBy(row_id).agg(F.sum("_t").alias("_t"))
+
+    def near_sums(places: DataFrame, ids: list[str]) -> DataFrame:
+        met = places.withColumn("_cell", F.explode(F.sequence(F.col("_at") - wide, F.col("_at") + wide)))
+        met = attach(met, cells, [*keys, "_cell"])
+        met = met.withColumn("_d", _offset(F.col("_y"), F.col("_cell"), bandwidth, COARSE))
+        term = F.exp(F.lit(-0.5) * F.col("_d") * F.col("_d")) * _series()
+        return met.withColumn("_t", term).groupBy(*ids).agg(F.sum("_t").alias("_t"))
+
+    crowded = rows.groupBy(*keys, "_at").agg(F.count("*").alias("_rows")).filter((F.col("_rows") > NODES) & (F.abs("_at") < _FAR_CELL))
+    nodes = _nodes(cut(crowded), keys, bandwidth)
+    at_node = [*keys, "_at", "_angle"]
+    nodes = nodes.join(near_sums(nodes, at_node), at_node, "left").withColumn("_t", F.coalesce("_t", F.lit(0.0)))
+    placed = cut(_interpolated(rows, nodes, keys, "_t", bandwidth, "left"), measure=F.count(F.when(F.col("_t").isNull(), 1)))
+    each = placed.filter("_t is not null").select(row_id, "_t")
+    if placed._measured:
+        each = each.unionByName(near_sums(placed.filter("_t is null").drop("_t"), [row_id]))
+    # the rows of a repeated id share one sum
+    summed = each.groupBy(row_id).agg(F.sum("_t").alias("_t"))
     near = rows.join(summed, row_id, "left")
     lonely = F.col("_t") < LONELY
     near = near.withColumn("_t", F.coalesce("_t", F.lit(0.0)) - F.lit(1.0 if own else 0.0))
@@ -246,49 +306,80 @@ def kernel_log_sums(
     result = near.filter(~lonely).select(row_id, *keys, F.log("_t").alias("log_sum"))
     if not near._measured:
         return result
-    return result.unionByName(_isolated_sums(near.filter(lonely).drop("_t"), row_id, keys, moments, bandwidth, own))
+    rest = near.filter(lonely & F.col(row_id).isNotNull()).drop("_t")
+    return result.unionByName(_isolated_sums(rest, row_id, keys, cells, moments, bandwidth, own))
 
 
-def _isolated_sums(rest: DataFrame, row_id: str, keys: list[str], moments, bandwidth: float, own: bool) -> DataFrame:
+def _isolated_sums(rest: DataFrame, row_id: str, keys: list[str], cells: DataFrame, moments, bandwidth: float, own: bool) -> DataFrame:
     """``kernel_log_sums`` of isolated rows, at any distance from the sources.
 
-    One pass over the coarse cells of a row's group bounds its largest term, a second keeps the cells that reach that bound
-    but for a factor of exp(-40); its own cell holds no other source. In a kept cell the expansion needs cells the finer the farther
-    they are (half a cell times the distance stays below 1), so each row takes that resolution; the terms are summed relative to their largest.
+    Each cell that holds isolated rows is compared once with the coarse cells of its group: those stay that may reach the largest term of
+    one of its rows but for a factor of exp(-40); its own cell holds no other source. Logarithms of sums over sources that lie close
+    together are smooth, so where a cell holds many rows and its sources are narrow the sums are taken at its nodes, else at its rows.
     """
     half = 0.5 / COARSE
-    coarse = cut(moments(COARSE, rest.select(*keys).distinct()).select(*keys, "_cell", F.log("m0").alias("_mass")))
-
-    def met(rows: DataFrame) -> DataFrame:
-        found = attach(rows, coarse, keys)
-        if own:
-            found = found.filter(F.col("_cell") != _cell(F.col("_y"), bandwidth, COARSE))
-        return found.withColumn("_far", F.abs(_offset(F.col("_y"), F.col("_cell"), bandwidth, COARSE)))
-
-    least = F.col("_mass") - 0.5 * (F.col("_far") + half) * (F.col("_far") + half)
-    nearest = F.greatest(F.col("_far") - half, F.lit(0.0))
-    most = F.col("_mass") + 0.5 * half * half - 0.5 * nearest * nearest
-    tops = met(rest).groupBy(row_id).agg(F.max(least).alias("_top"))
-    # cells per coarse one, as a power of eight
-    level = F.greatest(F.lit(1), F.ceil(F.log2((F.col("_far") + half) * half) / 3)).cast("int")
-    kept = met(rest.join(tops, row_id)).filter(most >= F.col("_top") - NEGLIGIBLE)
-    kept = cut(kept.select(row_id, *keys, "_y", F.col("_cell").alias("_in"), level.alias("_level")))
-    parts = []
-    for number in sorted(r[0] for r in kept.select("_level").distinct().collect()):
-        split = 8**number
-        rows = kept.filter(F.col("_level") == number)
-        finer = moments(COARSE * split, rows.select(*keys).distinct())
-        finer = finer.withColumn("_in", F.floor(F.col("_cell") / split))
-        wanted = rows.select(*keys, "_in").distinct()
-        fine = attach(rows, finer.join(wanted, [*keys, "_in"], "left_semi"), [*keys, "_in"])
-        fine = fine.withColumn("_d", _offset(F.col("_y"), F.col("_cell"), bandwidth, COARSE * split))
-        log_term = F.lit(-0.5) * F.col("_d") * F.col("_d") + F.log(_series())
-        parts.append(fine.select(row_id, *keys, log_term.alias("_term")))
-    if not parts:
-        return rest.select(row_id, *keys, F.lit(None).cast("double").alias("log_sum")).limit(0)
-    terms = cut(reduce(lambda a, b: a.unionByName(b), parts))
-    largest = attach(terms, terms.groupBy(row_id).agg(F.max("_term").alias("_most")), [row_id])
-    return largest.groupBy(row_id, *keys).agg((F.first("_most") + F.log(F.sum(F.exp(F.col("_term") - F.col("_most"))))).alias("log_sum"))
+    at = [*keys, "_at"]
+    places = cut(rest.groupBy(*at).agg(F.count("*").alias("_rows")))
+    coarse = cut(cells.select(*keys, "_cell", F.log("m0").alias("_mass")))
+    met = attach(places, coarse, keys).withColumn("_gap", (F.col("_at") - F.col("_cell")) / F.lit(float(COARSE)))
+    if own:
+        met = met.filter("_gap != 0")
+
+    def least(mass: Column, far: Column) -> Column:
+        return mass - 0.5 * (far + half) * (far + half)
+
+    def most(mass: Column, far: Column) -> Column:
+        nearest = F.greatest(far - half, F.lit(0.0))
+        return mass + 0.5 * half * half - 0.5 * nearest * nearest
+
+    # but for u^2/2 both bounds are linear in a row's offset u on either side of the middle, or convex: ends and middle decide
+    tops = met.groupBy(*at).agg(F.max(F.struct(least(F.col("_mass"), F.abs("_gap")).alias("least"), F.col("_mass").alias("mass"), F.col("_gap").alias("gap"))).alias("_top"))
+    may = [
+        most(F.col("_mass"), F.abs(F.col("_gap") + u)) >= least(F.col("_top.mass"), F.abs(F.col("_top.gap") + u)) - NEGLIGIBLE
+        for u in (-half, 0.0, half)
+    ]
+    found = cut(attach(met, tops, at).filter(may[0] | may[1] | may[2]).select(*at, F.col("_cell").alias("_in"), "_mass", "_gap", "_rows"))
+    narrow = (F.max("_gap") - F.min("_gap") <= NARROW) & (F.first("_rows") > NODES)
+    smooth = found.groupBy(*at).agg(narrow.alias("_narrow")).filter(F.col("_narrow") & (F.abs("_at") < _FAR_CELL)).select(*at)
+    smooth = cut(smooth.withColumn("_smooth", F.lit(True)))
+    found = found.drop("_gap", "_rows")
+
+    def far_sums(rows: DataFrame, ids: list[str]) -> DataFrame:
+        near = attach(rows, found, at).withColumn("_far", F.abs(_offset(F.col("_y"), F.col("_in"), bandwidth, COARSE)))
+        own_tops = near.groupBy(*ids).agg(F.max(least(F.col("_mass"), F.col("_far"))).alias("_top"))
+        kept = near.join(own_tops, ids).filter(most(F.col("_mass"), F.col("_far")) >= F.col("_top") - NEGLIGIBLE)
+        # in a kept cell half a fine cell times the distance stays below 1; fine cells per coarse one, as a power of eight
+        level = F.greatest(F.lit(1), F.ceil(F.log2((F.col("_far") + half) * half) / 3)).cast("int")
+        more = [c for c in ids if c not in keys]
+        kept = cut(kept.select(*keys, *more, "_y", "_in", level.alias("_level")))
+        parts = []
+        for number in sorted(r[0] for r in kept.select("_level").distinct().collect()):
+            split = 8**number
+            level_rows = kept.filter(F.col("_level") == number)
+            finer = moments(COARSE * split, level_rows.select(*keys, "_in").distinct())
+            fine = attach(level_rows, finer, [*keys, "_in"])
+            fine = fine.withColumn("_d", _offset(F.col("_y"), F.col("_cell"), bandwidth, COARSE * split))
+            log_term = F.lit(-0.5) * F.col("_d") * F.col("_d") + F.log(_series())
+            parts.append(fine.select(*ids, log_term.alias("_term")))
+        if not parts:
+            return rows.select(*ids, F.lit(None).cast("double").alias("log_sum")).limit(0)
+        terms = cut(reduce(lambda a, b: a.unionByName(b), parts))
+        largest = attach(terms, terms.groupBy(*ids).agg(F.max("_term").alias("_most")), ids)
+        return largest.groupBy(*ids).agg((F.first("_most") + F.log(F.sum(F.exp(F.col("_term") - F.col("_most"))))).alias("log_sum"))
+
+    # without u^2/2, which all terms share, the logarithm is all but linear
+    bend = 0.5 * F.pow(_offset(F.col("_y"), F.col("_at"), bandwidth, COARSE), F.lit(2.0))
+    nodes = _nodes(smooth, keys, bandwidth)
+    at_node = far_sums(nodes, [*at, "_angle"])
+    at_node = nodes.join(at_node, [*at, "_angle"]).withColumn("log_sum", F.col("log_sum") + bend)
+    among = _interpolated(rest, at_node, keys, "log_sum", bandwidth).select(row_id, *keys, (F.col("log_sum") - bend).alias("log_sum"))
+    single = cut(attach(rest, smooth, at, "left").filter("_smooth is null").select(row_id, *keys, "_y", "_at"))
+    if single._stored_rows:
+        among = among.unionByName(far_sums(single, [row_id, *keys]))
+    # the rows of a repeated id share one sum
+    listed = among.groupBy(row_id, *keys).agg(F.collect_list("log_sum").alias("_ls"))
+    shifted = F.aggregate("_ls", F.lit(0.0), lambda acc, v: acc + F.exp(v - F.array_max("_ls")))
+    return listed.select(row_id, *keys, (F.array_max("_ls") + F.log(shifted)).alias("log_sum"))
 
 
 # --- scores of given rows ---
@@ -330,11 +421,7 @@ def ckde_score(
     pairs = cut(attach(pairs, closest, columns).select(*columns, *near, "n", F.exp(gap).alias("_k")))
     mass = pairs.groupBy(*columns).agg(F.sum(F.col("_k") * F.col("n")).alias("_all"))
 
-    def around(per: int, only: DataFrame | None) -> DataFrame:
-        moments = cell_moments(df, columns, value, hy, per).withColumnsRenamed(dict(zip(columns, near)))
-        linked = pairs.drop("n") if only is None else pairs.drop("n").join(only, columns, "left_semi")
-        return combine_moments(moments, linked, columns, near, F.col("_k"))
-
+    around = _around(df, columns, near, value, hy, pairs.drop("n"))
     sums = attach(kernel_log_sums(asked, row_id, columns, value, around, hy, own=False), mass, columns)
     density = F.col("log_sum") - F.log(F.col("_all") * F.lit(hy * SQRT_2PI))
     return _scored(queries, row_id, sums.select(row_id, density.alias("log_pdf")))
@@ -373,12 +460,7 @@ def nkde_score(
     pairs = cut(attach(pairs, sizes, columns).filter("weight > 0").withColumn("_k", F.col("weight") * F.col("_rows")))
     sparse = F.col("_rows") <= NEAREST
     dense = pairs.filter(~sparse).select(*columns, *near, "_k")
-
-    def around(per: int, only: DataFrame | None) -> DataFrame:
-        moments = cell_moments(df, columns, value, bandwidth, per).withColumnsRenamed(dict(zip(columns, near)))
-        linked = dense if only is None else dense.join(only, columns, "left_semi")
-        return combine_moments(moments, linked, columns, near, F.col("_k"))
-
+    around = _around(df, columns, near, value, bandwidth, dense)
     sized = cut(attach(asked.select(row_id, *columns, F.col(value).cast("double").alias(value)), sizes, columns))
     sums = kernel_log_sums(sized.filter(~sparse), row_id, columns, value, around, bandwidth, own=False)
     few = pairs.filter(sparse)
@@ -420,12 +502,7 @@ def nkde_loo(
         else:
             df_dense = df
         for bandwidth in bandwidths:
-
-            def around(per: int, only: DataFrame | None, bandwidth: float = bandwidth, pairs: DataFrame = pairs) -> DataFrame:
-                moments = cell_moments(df, columns, value, bandwidth, per).withColumnsRenamed(dict(zip(columns, near)))
-                linked = pairs.drop("n") if only is None else pairs.drop("n").join(only, columns, "left_semi")
-                return combine_moments(moments, linked, columns, near, F.lit(1.0))
-
+            around = _around(df, columns, near, value, bandwidth, pairs.select(*columns, *near, F.lit(1.0).alias("_k")))
             sums = kernel_log_sums(df_dense, row_id, columns, value, around, bandwidth, own=True)
             if some is not None:
                 gap = F.col("_gap") / F.lit(bandwidth)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from dwelltail.functions.special import SQRT_2PI
 from dwelltail.operators import cells, fit, mixture_em
-from dwelltail.operators.kernels import ORDER, REACH, cell_moments, combine_moments, kernel_log_sums, normal_reference
+from dwelltail.operators.kernels import ORDER, REACH, cell_moments, combine_moments, kernel_log_sums, normal_reference, rows_of_cells
 from dwelltail.operators.matching import _pairs_within
 from dwelltail.operators.ranks import disc_rank, select_ranks
 from dwelltail.session import attach, complete_rows, cut
@@ -63,15 +63,20 @@ def cv_ckde(
         others = lambda table: table.select("*", held).filter(F.col("_held") != F.col(fold)).drop(fold)
 
         def around(per: int, only: DataFrame | None, hy: float = hy, pairs: DataFrame = pairs) -> DataFrame:
-            moments = cell_moments(df, [*columns, fold], value, hy, per)
+            linked, inside = pairs, []
+            rows = df
+            if only is not None:
+                inside = ["_in"]
+                linked = cut(pairs.join(only.select(*columns, *inside).distinct(), columns))
+                rows = rows_of_cells(df.select(*columns, fold, value), columns, near, value, hy, linked)
+            moments = cell_moments(rows, [*columns, fold, *inside], value, hy, per)
             moments = moments.withColumnsRenamed(dict(zip(columns, near)))
-            linked = pairs if only is None else pairs.join(only.select(*columns).distinct(), columns, "left_semi")
-            mixed = combine_moments(moments, linked, [*columns, fold], near, F.col("_k"))
+            mixed = combine_moments(moments, linked, [*columns, fold, *inside], [*near, *inside], F.col("_k"))
             if only is not None:
-                mixed = mixed.join(only.withColumnRenamed(fold, "_held"), columns).filter(F.col("_held") != F.col(fold))
+                mixed = mixed.join(only.withColumnRenamed(fold, "_held"), [*columns, *inside]).filter(F.col("_held") != F.col(fold))
             else:
                 mixed = others(mixed)
-            summed = mixed.groupBy(*columns, "_held", "_cell").agg(
+            summed = mixed.groupBy(*columns, "_held", *inside, "_cell").agg(
                 *[F.sum(f"m{p}").alias(f"m{p}") for p in range(ORDER + 1)]
             )
             return summed.withColumnRenamed("_held", fold)

@@ -75,3 +75,26 @@ def test_missing_and_empty(spark):
         assert found[3] is not None and [found[i] for i in (1, 2, 4)] == [None] * 3
         assert scores(score(none, asked, "id", ["x1", "x2"], "y")) == dict.fromkeys((1, 2, 3, 4))
         assert scores(score(rows, none, "id", ["x1", "x2"], "y")) == {}
+
+
+def test_crowded_rows_are_scored_between_nodes(spark, monkeypatch):
+    """Many queries in few cells, near and far, do not meet the sources one by one; all agree with sums over all sources."""
+    rows, h, eps = sources(), 2.5, 0.6
+    places = [12.0 + 0.01 * i for i in range(120)] + [2000.0 + 0.01 * i for i in range(120)] + [460.0 + 0.005 * i for i in range(60)]
+    asked = [(i, 2.0, 1.0, y) for i, y in enumerate(places)]
+    met, attach = [], kernels.attach
+
+    def noted(left, small, keys, how="inner"):
+        if keys[-1] == "_cell" or keys == ["x1", "x2"] and "_mass" in small.columns:
+            met.append(left.count())
+        return attach(left, small, keys, how)
+
+    monkeypatch.setattr(kernels, "attach", noted)
+    found = scores(kernels.nkde_score(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(asked, SCHEMA), "id", ["x1", "x2"], "y", eps, h))
+    assert len(met) >= 2 and sum(met) < 61 * len(asked) / 2
+    x = np.array([r[1:3] for r in rows])
+    chosen = np.flatnonzero(np.sqrt(((((x - [2.0, 1.0]) / x.std(0)) ** 2).sum(1)) / 2) <= eps)
+    assert len(chosen) > kernels.NEAREST
+    for i, _, _, y in asked:
+        want = log_sum([-0.5 * ((y - rows[j][3]) / h) ** 2 for j in chosen]) - math.log(len(chosen) * h * math.sqrt(2 * math.pi))
+        assert found[i] == pytest.approx(want, rel=1e-9, abs=1e-8), i
